@@ -7,7 +7,7 @@ fixed number of rows and ``(key, chunk)`` is the unit of work.  Three idioms
 cover every ordered operator:
 
 * ``with_halo``  - bounded look-around: border rows are copied to neighbours;
-* ``carry``      - unbounded look-back/ahead: one summary row per chunk;
+* ``scan``       - unbounded look-back/ahead: one summary row per chunk;
 * ``spread_join``- per-series values joined at chunk grain.
 """
 
@@ -101,46 +101,48 @@ def over_neighbours(
     return built.where("_core").drop("_core", "chunk")
 
 
-def carry(
+def scan(
     df: DataFrame,
     keys: Sequence[str],
     prev: dict[str, Column] | None = None,
     next_: dict[str, Column] | None = None,
+    totals: dict[str, Column] | None = None,
     inclusive: bool = True,
     size: int = CHUNK,
     idx: str = "pose_idx",
 ) -> DataFrame:
-    """Nearest non-null value at or before (``prev``) / at or after (``next_``).
+    """Unbounded look-around in one pass.
 
-    Inside a chunk this is a window; across chunks it is a window over one
+    ``prev`` / ``next_``: nearest non-null value at or before / at or after a row
+    (strictly when not ``inclusive``).  ``totals``: inclusive running sums.
+    Inside a chunk these are windows; across chunks they are windows over one
     summary row per chunk.
     """
-    keys, prev, next_ = list(keys), prev or {}, next_ or {}
+    keys, prev, next_, totals = list(keys), prev or {}, next_ or {}, totals or {}
     rows = df.withColumn("chunk", chunk_index(idx, size))
     rows = rows.select(
         "*",
         *[c.alias(f"_p_{k}") for k, c in prev.items()],
         *[c.alias(f"_n_{k}") for k, c in next_.items()],
+        *[c.alias(f"_t_{k}") for k, c in totals.items()],
     ).repartition(*keys, "chunk")
     near = 0 if inclusive else 1
     w = chunk_window(keys, idx)
     w_prev = w.rowsBetween(Window.unboundedPreceding, -near)
     w_next = w.rowsBetween(near, Window.unboundedFollowing)
+    w_sum = w.rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select(
         "*",
         *[F.last(f"_p_{k}", True).over(w_prev).alias(f"_lp_{k}") for k in prev],
         *[F.first(f"_n_{k}", True).over(w_next).alias(f"_ln_{k}") for k in next_],
+        *[F.sum(f"_t_{k}").over(w_sum).alias(f"_lt_{k}") for k in totals],
     )
     at = F.col(idx)
+    known = lambda c: F.when(F.col(c).isNotNull(), at)
     summary = rows.groupBy(*keys, "chunk").agg(
-        *[
-            F.max_by(f"_p_{k}", F.when(F.col(f"_p_{k}").isNotNull(), at)).alias(f"_sp_{k}")
-            for k in prev
-        ],
-        *[
-            F.min_by(f"_n_{k}", F.when(F.col(f"_n_{k}").isNotNull(), at)).alias(f"_sn_{k}")
-            for k in next_
-        ],
+        *[F.max_by(f"_p_{k}", known(f"_p_{k}")).alias(f"_sp_{k}") for k in prev],
+        *[F.min_by(f"_n_{k}", known(f"_n_{k}")).alias(f"_sn_{k}") for k in next_],
+        *[F.sum(f"_t_{k}").alias(f"_st_{k}") for k in totals],
     )
     by_chunk = Window.partitionBy(*keys).orderBy("chunk")
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
@@ -150,45 +152,31 @@ def carry(
         "chunk",
         *[F.last(f"_sp_{k}", True).over(earlier).alias(f"_cp_{k}") for k in prev],
         *[F.first(f"_sn_{k}", True).over(later).alias(f"_cn_{k}") for k in next_],
+        *[F.sum(f"_st_{k}").over(earlier).alias(f"_ct_{k}") for k in totals],
     )
     joined = local.join(incoming, [*keys, "chunk"], "left")
+    zero = F.lit(0)
     return joined.select(
         *df.columns,
         *[F.coalesce(f"_lp_{k}", f"_cp_{k}").alias(k) for k in prev],
         *[F.coalesce(f"_ln_{k}", f"_cn_{k}").alias(k) for k in next_],
-    )
-
-
-def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    totals: dict[str, Column],
-    size: int = CHUNK,
-    idx: str = "pose_idx",
-) -> DataFrame:
-    """Inclusive running sums: chunk-local window plus the sum of earlier chunks."""
-    keys = list(keys)
-    rows = df.withColumn("chunk", chunk_index(idx, size)).select(
-        "*", *[c.alias(f"_t_{k}") for k, c in totals.items()]
-    ).repartition(*keys, "chunk")
-    w = chunk_window(keys, idx).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.select("*", *[F.sum(f"_t_{k}").over(w).alias(f"_l_{k}") for k in totals])
-    summary = rows.groupBy(*keys, "chunk").agg(
-        *[F.sum(f"_t_{k}").alias(f"_s_{k}") for k in totals]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    incoming = summary.select(
-        *keys, "chunk", *[F.sum(f"_s_{k}").over(earlier).alias(f"_c_{k}") for k in totals]
-    )
-    return local.join(incoming, [*keys, "chunk"], "left").select(
-        *df.columns,
         *[
-            (F.coalesce(F.col(f"_l_{k}"), F.lit(0)) + F.coalesce(F.col(f"_c_{k}"), F.lit(0))).alias(k)
+            (F.coalesce(f"_lt_{k}", zero) + F.coalesce(f"_ct_{k}", zero)).alias(k)
             for k in totals
         ],
     )
 
 
+def carry(df, keys, prev=None, next_=None, inclusive=True, size=CHUNK, idx="pose_idx") -> DataFrame:
+    """``scan`` without running totals."""
+    return scan(df, keys, prev, next_, None, inclusive, size, idx)
+
+
+def running_total(df, keys, totals, size=CHUNK, idx="pose_idx") -> DataFrame:
+    """``scan`` with running totals only."""
+    return scan(df, keys, totals=totals, size=size, idx=idx)
+
+
 def spread_join(
     df: DataFrame,
     stats: DataFrame,

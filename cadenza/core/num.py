@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def rnd(col: Column | str, digits: int) -> Column:
-    """Half-even rounding."""
-    return F.bround(F.col(col) if isinstance(col, str) else col, digits)
+    """Half-even rounding; noise far below the last digit cannot flip a tie."""
+    return F.bround(F.round(F.col(col) if isinstance(col, str) else col, digits + 6), digits)
 
 
 def clamp(col: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -1,9 +1,10 @@
 """Exact linear-interpolated percentiles that survive a hot group.
 
-``percentile`` keeps all distinct values of a group in one task.  Here values
-are pre-aggregated to (group, value) counts, an order-preserving logarithmic
-bucket gives a bounded histogram per group, and only the buckets that hold a
-requested rank are opened.
+``percentile`` keeps all distinct values of a group in one task, which is fine
+for a series known to be short (its length ``n`` is on the rows).  For longer
+ones values are pre-aggregated to (group, value) counts, an order-preserving
+logarithmic bucket gives a bounded histogram per group, and only the buckets
+that hold a requested rank are opened.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SHORT = 100_000  # series up to this length use the built-in aggregate
 _PER_OCTAVE = 512
 _TINY = 1e-12
 
@@ -27,10 +29,28 @@ def quantiles(
     df: DataFrame,
     keys: Sequence[str],
     specs: dict[str, tuple[str | Column, float]],
-    counts: dict[str, str] | None = None,
+    short: int = SHORT,
 ) -> DataFrame:
     """One row per group with a column per spec ``name -> (value, p)``; nulls and
-    NaN are ignored.  ``counts`` adds ``name -> spec`` non-null counts."""
+    NaN are ignored.  With a series length ``n`` on the rows, groups inside short
+    series take the built-in aggregate."""
+    if "n" not in df.columns:
+        return ranked_quantiles(df, keys, specs)
+    direct = df.where(F.col("n") <= short).groupBy(*keys).agg(
+        *[F.percentile(_usable(value), F.lit(float(p))).alias(name) for name, (value, p) in specs.items()]
+    )
+    return direct.unionByName(ranked_quantiles(df.where(F.col("n") > short), keys, specs))
+
+
+def _usable(value: str | Column) -> Column:
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def ranked_quantiles(
+    df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str | Column, float]]
+) -> DataFrame:
+    """``quantiles`` for groups of any size."""
     keys = list(keys)
     measures: list[tuple[str, Column]] = []
     ids: dict[str, int] = {}
@@ -101,7 +121,4 @@ def quantiles(
         part = F.max(F.when(F.col("_r.spec") == spec, F.col("_r.pos") - F.floor(F.col("_r.pos"))))
         lo, hi = pick(spec, 0), pick(spec, 1)
         aggs.append((lo + (hi - lo) * part).alias(name))
-    for name, of in (counts or {}).items():
-        spec = list(specs).index(of)
-        aggs.append(F.max(F.when(F.col("_r.spec") == spec, F.col("_total"))).alias(name))
     return hits.groupBy(*keys).agg(*aggs)

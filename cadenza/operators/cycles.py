@@ -105,7 +105,8 @@ def _finish(events: DataFrame, keys: Sequence[str], fps: float, amplitude) -> Da
     return timed(reps, fps).select(*keys, "n", *REP_COLUMNS)
 
 
-RISE = F.col("key_signal") - F.col("start_signal")
+def rise():
+    return F.col("key_signal") - F.col("start_signal")
 
 
 def _prepared(sig: DataFrame, keys: Sequence[str], value: str, params: Sequence[str] = ()) -> DataFrame:
@@ -145,7 +146,7 @@ def cycles_threshold(sig: DataFrame, keys: Sequence[str], value: str, fps: float
 
     events = chunked_fold(_prepared(sig, keys, value), keys, ["v", "quality", "time_ms"], step, EVENT,
                           back=look + 1, forward=2 * reach + tail + 3, size=size)
-    return _finish(events, keys, fps, RISE)
+    return _finish(events, keys, fps, rise())
 
 
 def cycles_or_partial(sig: DataFrame, keys: Sequence[str], value: str, fps: float, extended: float = 135.0,
@@ -197,7 +198,7 @@ def _low_high_low(sig, keys, value, fps, params, limits, min_amp, least_seconds,
 
     events = chunked_fold(_prepared(sig, keys, value, params), keys, ["v", "quality", "time_ms"], step, EVENT,
                           params=params, back=cycle + 3, forward=2 * cycle + 4, size=size)
-    amp = F.col("key_signal") - F.least("start_signal", "end_signal") if from_lower_end else RISE
+    amp = F.col("key_signal") - F.least("start_signal", "end_signal") if from_lower_end else rise()
     return _finish(events, keys, fps, amp)
 
 
@@ -245,7 +246,7 @@ def _hinge(rows, keys, value, fps, limit, least_seconds, size):
     params = ["low_thr", "top_thr"]
     events = chunked_fold(_prepared(rows, keys, value, params), keys, ["v", "quality", "time_ms"], step, EVENT,
                           params=params, back=limit + 3, forward=limit + 4, size=size)
-    return _finish(events, keys, fps, RISE)
+    return _finish(events, keys, fps, rise())
 
 
 def _hinge_thresholds(sig, keys, value):

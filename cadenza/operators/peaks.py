@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.core.layout import CHUNK, chunk_index, over_neighbours, spread_join, with_halo
+from cadenza.core.layout import CHUNK, over_neighbours, spread_join, with_halo
 from cadenza.core.quantiles import quantiles
 from cadenza.core.session import materialise
 
@@ -29,7 +29,8 @@ def peak_candidates(df: DataFrame, keys: Sequence[str], value: str, window: int,
     return d.where(rises & (v - F.greatest("_left", "_right") >= need)).drop("_prev", "_next", "_left", "_right")
 
 
-def separate(cands: DataFrame, keys: Sequence[str], value: str, distance: int, size: int = CHUNK) -> DataFrame:
+def separate(cands: DataFrame, keys: Sequence[str], value: str, distance: int, size: int = CHUNK,
+             params: Sequence[str] = ()) -> DataFrame:
     """Keep peaks from the highest down when no kept peak is closer than
     ``distance`` (ties: the earlier one first).
 
@@ -37,14 +38,15 @@ def separate(cands: DataFrame, keys: Sequence[str], value: str, distance: int, s
     candidate outside that view stays open and is taken in the next round with
     the neighbours' decisions known, so the result equals one global pass.
     """
-    keys = list(keys)
+    keys, params = list(keys), list(params)
     halo = min(size, 8 * distance)
-    todo = cands.withColumn("_kept", F.lit(None).cast("boolean"))
+    todo = cands.select(*keys, "pose_idx", "n", value, *params, F.lit(None).cast("boolean").alias("_kept"))
     while True:
         padded = with_halo(todo, halo, halo, size)
         entry = F.struct((-F.col(value)).alias("h"), F.col("pose_idx").alias("i"), F.col("_kept").alias("k"))
         chunks = padded.groupBy(*keys, "chunk").agg(
-            F.array_sort(F.collect_list(entry)).alias("_c"), F.max("n").alias("n")
+            F.array_sort(F.collect_list(entry)).alias("_c"), F.max("n").alias("n"),
+            *[F.max(p).alias(p) for p in params],
         )
         low = F.greatest(F.lit(0).cast("long"), F.col("chunk") * size - halo)
         high = F.least(F.col("n"), (F.col("chunk") + 1) * size + halo)
@@ -67,19 +69,17 @@ def separate(cands: DataFrame, keys: Sequence[str], value: str, distance: int, s
             )
 
         start = F.struct(known.alias("kept"), nothing.alias("wait"))
+        visited = F.aggregate("_open", start, visit)
         decided = chunks.withColumn("low", low).withColumn("high", high).withColumn("_open", open_).select(
-            *keys, "chunk", F.aggregate("_open", start, visit).alias("_d")
-        )
-        verdict = todo.withColumn("chunk", chunk_index("pose_idx", size)).join(decided, [*keys, "chunk"])
-        i = F.col("pose_idx")
-        state = (
-            F.when(F.array_contains("_d.kept", i), F.lit(True))
-            .when(F.array_contains("_d.wait", i), F.lit(None).cast("boolean"))
-            .otherwise(F.lit(False))
+            *keys, "chunk", "n", *params, "_c", visited.alias("_d")
         )
+        own = lambda i: F.floor(i / F.lit(size)) == F.col("chunk")
+        i = F.col("c.i")
+        state = F.when(F.array_contains("_d.kept", i), F.lit(True))
         verdict = materialise(
-            verdict.withColumn("_kept", F.coalesce("_kept", state)).drop("_d", "chunk")
-            .where(F.col("_kept").isNull() | F.col("_kept"))
+            decided.select(*keys, "chunk", "n", *params, "_d", F.explode("_c").alias("c"))
+            .where(own(i) & (F.array_contains("_d.kept", i) | F.array_contains("_d.wait", i)))
+            .select(*keys, i.alias("pose_idx"), "n", (-F.col("c.h")).alias(value), *params, state.alias("_kept"))
         )
         if verdict.where(F.col("_kept").isNull()).isEmpty():
             return verdict.drop("_kept")
@@ -103,4 +103,5 @@ def detect_repetitions(
     usable = stats.where((F.col("n") >= need) & (F.col("signal_range") >= min_range))
     rows = spread_join(df, usable, keys, "inner")
     prominence = F.greatest(F.lit(float(min_prominence)), F.col("signal_range") * prominence_ratio)
-    return separate(peak_candidates(rows, keys, value, window, prominence, size), keys, value, distance, size)
+    cands = peak_candidates(rows, keys, value, window, prominence, size)
+    return separate(cands, keys, value, distance, size, ["signal_range"])

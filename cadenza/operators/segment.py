@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.core.layout import CHUNK, carry, chunk_index, spread_join, with_ordinal
+from cadenza.core.layout import CHUNK, chunk_index, scan, spread_join, with_ordinal
 from cadenza.core.num import rnd
+from cadenza.core.session import materialise
 
 REP_COLUMNS = [
     "rep_index", "start_idx", "key_idx", "end_idx", "start_ms", "key_ms", "end_ms", "quality",
@@ -73,8 +74,14 @@ def segment_by_peaks(sig: DataFrame, peaks: DataFrame, keys: Sequence[str], valu
     mark = own.select(*keys, F.col("key_idx").alias("pose_idx"), F.lit(True).alias("_is_peak"))
     rows = sig.where("n >= 4").select(*keys, "pose_idx", "n", "time_ms", "quality", F.col(value).alias("_v"))
     rows = rows.join(mark, [*keys, "pose_idx"], "left")
-    at = F.when("_is_peak", F.col("pose_idx"))
-    rows = carry(rows, keys, {"_before": at}, {"_after": at}, size=size)
+    at = F.when(F.col("_is_peak"), F.col("pose_idx"))
+    usable = F.col("quality").isNotNull()
+    rows = scan(
+        rows, keys, {"_before": at}, {"_after": at},
+        {"_rank": F.when(F.col("_is_peak"), 1).otherwise(0), "_q": F.coalesce("quality", F.lit(0.0)),
+         "_qn": usable.cast("int")},
+        size=size,
+    )
     i, a, b = F.col("pose_idx"), F.col("_before"), F.col("_after")
     middle = F.floor((a + b) / 2)
     lone = a == b
@@ -87,41 +94,35 @@ def segment_by_peaks(sig: DataFrame, peaks: DataFrame, keys: Sequence[str], valu
         ),
         lambda h: h.isNotNull(),
     )
-    sample = F.struct(F.col("_v").alias("v"), i.alias("i"), F.col("time_ms").alias("t"))
-    by_index = F.struct(i.alias("i"), F.col("_v").alias("v"), F.col("time_ms").alias("t"))
-    h = rows.select(*keys, "pose_idx", "n", "_is_peak", sample.alias("s"), by_index.alias("e"), F.explode(halves).alias("h"))
+    rest = [F.col("time_ms").alias("t"), F.col("quality").alias("q"), F.col("_q").alias("qs"), F.col("_qn").alias("qn")]
+    v = F.col("_v").alias("v")
+    sample, by_index = F.struct(v, i.alias("i"), *rest), F.struct(i.alias("i"), v, *rest)
+    h = rows.select(*keys, "n", "_is_peak", "_rank", sample.alias("s"), by_index.alias("e"), F.explode(halves).alias("h"))
     left, right = F.col("h.half") == 0, F.col("h.half") == 1
     cycles = h.groupBy(*keys, F.col("h.key_idx").alias("key_idx")).agg(
         F.max("n").alias("n"),
+        F.max(F.when(F.col("_is_peak"), F.col("_rank"))).cast("long").alias("rep_index"),
         F.min(F.when(left, F.col("s"))).alias("start"),
         F.min(F.when(right, F.col("s"))).alias("end"),
         F.min(F.when(left, F.col("e"))).alias("edge_l"),
         F.max(F.when(right, F.col("e"))).alias("edge_r"),
-        F.max(F.when("_is_peak", F.col("s"))).alias("key"),
+        F.max(F.when(F.col("_is_peak"), F.col("s"))).alias("key"),
     )
     flat = F.col("end.i") <= F.col("start.i")
-    start = F.when(flat, F.struct(F.col("edge_l.v").alias("v"), F.col("edge_l.i").alias("i"), F.col("edge_l.t").alias("t"))).otherwise(F.col("start"))
-    end = F.when(flat, F.struct(F.col("edge_r.v").alias("v"), F.col("edge_r.i").alias("i"), F.col("edge_r.t").alias("t"))).otherwise(F.col("end"))
-    cycles = number_in_order(cycles, keys, "key_idx").select(*keys, "n", "rep_index", "key_idx", "key", start.alias("start"), end.alias("end"))
-    cycles = cycles.where(F.col("end.i") > F.col("start.i"))
+    fields = ["v", "i", "t", "q", "qs", "qn"]
+    reorder = lambda c: F.struct(*[F.col(f"{c}.{f}").alias(f) for f in fields])
+    start, end = F.when(flat, reorder("edge_l")).otherwise(F.col("start")), F.when(flat, reorder("edge_r")).otherwise(F.col("end"))
+    cycles = cycles.withColumn("start", start).withColumn("end", end).where(F.col("end.i") > F.col("start.i"))
+    # mean quality of the cycle from the running sums at its two ends
+    first_q, first_n = F.coalesce(F.col("start.q"), F.lit(0.0)), F.when(F.col("start.q").isNull(), 0).otherwise(1)
+    total, count = F.col("end.qs") - F.col("start.qs") + first_q, F.col("end.qn") - F.col("start.qn") + first_n
     reps = cycles.select(
         *keys, "n", "rep_index", F.col("start.i").alias("start_idx"), "key_idx", F.col("end.i").alias("end_idx"),
         F.col("start.t").alias("start_ms"), F.col("key.t").alias("key_ms"), F.col("end.t").alias("end_ms"),
-        F.col("start.v").alias("start_signal"), F.col("key.v").alias("key_signal"), F.col("end.v").alias("end_signal"),
-    )
-    # mean quality: a sample can only lie in the cycles of its two peaks
-    near = rows.select(
-        *keys, "pose_idx", "quality",
-        F.explode(F.array_distinct(F.filter(F.array(a, b), lambda p: p.isNotNull()))).alias("key_idx"),
-    )
-    inside = near.join(reps.select(*keys, "key_idx", "start_idx", "end_idx"), [*keys, "key_idx"]).where(
-        F.col("pose_idx").between(F.col("start_idx"), F.col("end_idx"))
+        rnd(F.when(count > 0, total / count).otherwise(0.0), 3).alias("quality"),
+        rnd("start.v", 3).alias("start_signal"), rnd("key.v", 3).alias("key_signal"), rnd("end.v", 3).alias("end_signal"),
+        rnd(F.col("key.v") - F.least("start.v", "end.v"), 2).alias("amplitude"),
     )
-    quality = inside.groupBy(*keys, "key_idx").agg(F.avg("quality").alias("quality"))
-    reps = reps.join(quality, [*keys, "key_idx"], "left")
-    reps = reps.withColumn("amplitude", rnd(F.col("key_signal") - F.least("start_signal", "end_signal"), 2))
-    for c in ("start_signal", "key_signal", "end_signal", "quality"):
-        reps = reps.withColumn(c, rnd(c, 3))
     return timed(reps, fps).select(*keys, "n", *REP_COLUMNS)
 
 
@@ -168,24 +169,11 @@ def validate_reps(reps: DataFrame, keys: Sequence[str], action: Column, fps: flo
     return valid, diagnostics
 
 
-def closest_index(sig: DataFrame, keys: Sequence[str], value: str, spans: DataFrame, start: str, end: str,
-                  target: str, out: str) -> DataFrame:
-    """First index in [start, end] whose value is closest to ``target``; one span
-    per key, met at chunk grain."""
-    hit = spread_join(sig, spans.select(*keys, "n", start, end, target), keys, "inner")
-    hit = hit.where(F.col("pose_idx").between(F.col(start), F.col(end)))
-    gap = F.struct(F.abs(F.col(value) - F.col(target)).alias("d"), F.col("pose_idx").alias("i"))
-    best = hit.groupBy(*keys).agg(F.min(gap)["i"].alias("_hit"))
-    return spans.join(best, list(keys), "left").withColumn(out, F.coalesce("_hit", start)).drop("_hit")
-
-
 def median_rep(reps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rep in the middle of the order by amplitude, quality and duration
     (descending, earlier first on ties); the top one when there are at most two."""
-    order = [F.col("_na"), F.col("_nq"), F.col("_nd"), F.col("rep_index")]
     r = reps.withColumn("_na", -F.col("amplitude")).withColumn("_nq", -F.col("quality")).withColumn("_nd", -F.col("duration_s"))
     ranked = with_ordinal(r, keys, ["_na", "_nq", "_nd", "rep_index"], F.floor(F.col("_na") * 16).cast("long"), "_r", "_m")
-    del order
     want = F.when(F.col("_m") > 2, F.floor(F.col("_m") / 2)).otherwise(0)
     return ranked.where(F.col("_r") == want).drop("_na", "_nq", "_nd", "_r", "_m")
 
@@ -202,14 +190,21 @@ def stage_frames(sig: DataFrame, reps: DataFrame, keys: Sequence[str], value: st
         F.col("stage_end").alias("end_idx"), "stage_thirds",
     )
     spans = chosen.withColumn("stage_thirds", F.lit(None).cast("boolean")).unionByName(plain)
-    at = lambda c: F.max(F.when(F.col("pose_idx") == F.col(c), F.col(value)))
-    values = spread_join(sig, spans, keys, "inner").groupBy(*keys).agg(
+    i = F.col("pose_idx")
+    at = lambda c: F.max(F.when(i == F.col(c), F.col(value)))
+    ends = [F.col(c) for c in ("start_idx", "key_idx", "end_idx", "stage_thirds")]
+    hit = spread_join(sig, materialise(spans), keys, "inner").where(i.between(F.col("start_idx"), F.col("end_idx")))
+    known = hit.where((i == F.col("start_idx")) | (i == F.col("key_idx")) | (i == F.col("end_idx")))
+    values = known.groupBy(*keys, "n", *ends).agg(
         at("start_idx").alias("_vs"), at("key_idx").alias("_vk"), at("end_idx").alias("_ve")
     )
-    spans = spans.join(values, keys)
-    spans = spans.withColumn("_half_down", (F.col("_vs") + F.col("_vk")) / 2.0).withColumn("_half_up", (F.col("_vk") + F.col("_ve")) / 2.0)
-    spans = closest_index(sig, keys, value, spans, "start_idx", "key_idx", "_half_down", "_down")
-    spans = closest_index(sig, keys, value, spans, "key_idx", "end_idx", "_half_up", "_up")
+    spans = materialise(values)
+    hit = spread_join(sig, spans, keys, "inner")
+    gap = lambda a, b: F.struct(F.abs(F.col(value) - (F.col(a) + F.col(b)) / 2.0).alias("d"), i.alias("i"))
+    down, up = i.between(F.col("start_idx"), F.col("key_idx")), i.between(F.col("key_idx"), F.col("end_idx"))
+    spans = hit.where(down | up).groupBy(*keys, "n", *ends).agg(
+        F.min(F.when(down, gap("_vs", "_vk")))["i"].alias("_down"), F.min(F.when(up, gap("_vk", "_ve")))["i"].alias("_up")
+    )
     thirds = F.col("stage_thirds")
     return spans.select(
         *keys, F.col("start_idx").alias("stage_1"),

@@ -23,7 +23,7 @@ REPS = """, pk0 AS (SELECT user_id, pose_idx AS key_idx FROM peaks),
   min(struct_pack(v := s.v, i := s.pose_idx)) FILTER (WHERE s.pose_idx >= key_idx AND s.pose_idx <= coalesce((np + key_idx) // 2, s.n - 1)) AS rs,
   max(s.v) FILTER (WHERE s.pose_idx = key_idx) AS kv FROM pk p JOIN sig s USING (user_id) GROUP BY ALL),
  reps AS (SELECT r.user_id, r.n, rep_index, ls.i AS start_idx, key_idx, rs.i AS end_idx, ls.i * 100 AS start_ms, key_idx * 100 AS key_ms, rs.i * 100 AS end_ms,
-  round_even(avg(s.quality), 3) AS quality, round_even(ls.v, 3) AS start_signal, round_even(kv, 3) AS key_signal, round_even(rs.v, 3) AS end_signal,
+  round_even(round(avg(s.quality), 9), 3) AS quality, round_even(ls.v, 3) AS start_signal, round_even(kv, 3) AS key_signal, round_even(rs.v, 3) AS end_signal,
   round_even(kv - least(ls.v, rs.v), 2) AS amplitude, round_even((rs.i - ls.i) / 10, 2) AS duration_s, round_even((key_idx - ls.i) / 10, 2) AS descent_s, round_even((rs.i - key_idx) / 10, 2) AS ascent_s
   FROM lr r JOIN sig s ON s.user_id = r.user_id AND s.pose_idx BETWEEN ls.i AND rs.i WHERE rs.i > ls.i GROUP BY ALL)"""
 OUT = ", ".join(["user_id", *segment.REP_COLUMNS])

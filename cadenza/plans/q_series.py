@@ -132,7 +132,7 @@ def w10(spark, d):
 
 @query("w11_baseline_window", SIG + """, w AS (SELECT user_id, pose_idx, n, 9 AS win, list(v) OVER f AS vs, list(quality) OVER f AS cs FROM sig
  WINDOW f AS (PARTITION BY user_id ORDER BY pose_idx ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)),
- sc AS (SELECT user_id, pose_idx, n, list_aggregate(vs, 'quantile_cont', .9) - list_aggregate(vs, 'quantile_cont', .1) + greatest(0, .55 - list_avg(cs)) * 10 AS score
+ sc AS (SELECT user_id, pose_idx, n, list_aggregate(vs, 'quantile_cont', .9) - list_aggregate(vs, 'quantile_cont', .1) + greatest(0, .3 - list_avg(cs)) * 10 AS score
  FROM w WHERE len(list_filter(cs, lambda c: c >= .3)) / len(cs) >= .7 AND len(vs) >= 3 AND pose_idx < greatest(1, greatest(win, least(n, round_even(greatest(win, n * .45), 0)::BIGINT)) - win + 1)),
  b AS (SELECT user_id, min(struct_pack(score := score, i := pose_idx)).i AS i FROM sc GROUP BY 1)
  SELECT u.user_id, coalesce(i, 0) AS start_idx, least(n, coalesce(i, 0) + 9) - 1 AS end_idx FROM (SELECT DISTINCT user_id, n FROM sig) u LEFT JOIN b USING (user_id)""")
