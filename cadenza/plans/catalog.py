@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_series", "q_segment"]
+MODULES = ["q_series", "q_segment", "q_pose"]
 for _module in MODULES:
     import_module(f"cadenza.plans.{_module}")
 
