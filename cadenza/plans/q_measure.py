@@ -18,18 +18,18 @@ FR = "WITH " + frames_sql()
 V = ["video_id"]
 
 
-@query("a1_numeric_summary", SIGG + """ SELECT user_id, count(v) AS count, round_even(min(v), 3) AS min, round_even(max(v), 3) AS max, round_even(round(avg(v), 9), 3) AS mean,
- round_even(round(quantile_cont(v, .05), 9), 3) AS p05, round_even(round(quantile_cont(v, .5), 9), 3) AS median, round_even(round(quantile_cont(v, .95), 9), 3) AS p95,
- round_even(round(quantile_cont(v, .95) - quantile_cont(v, .05), 9), 3) AS range FROM sig GROUP BY 1""")
+@query("a1_numeric_summary", SIGG + """ SELECT user_id, count(v) AS count, round(min(v), 9) AS min, round(max(v), 9) AS max, round(avg(v), 9) AS mean,
+ round(quantile_cont(v, .05), 9) AS p05, round(quantile_cont(v, .5), 9) AS median, round(quantile_cont(v, .95), 9) AS p95,
+ round(quantile_cont(v, .95) - quantile_cont(v, .05), 9) AS range FROM sig GROUP BY 1""")
 def a1(spark, d):
-    return measure.numeric_summary(sig(spark, d, gaps=True), K, "v")
+    return measure.numeric_summary(sig(spark, d, gaps=True), K, "v", 9)
 
 
-@query("a1_summary_by_type", """SELECT event_type, count(value) AS count, round_even(min(value), 3) AS min, round_even(max(value), 3) AS max, round_even(round(avg(value), 9), 3) AS mean,
- round_even(round(quantile_cont(value, .05), 9), 3) AS p05, round_even(round(quantile_cont(value, .5), 9), 3) AS median, round_even(round(quantile_cont(value, .95), 9), 3) AS p95,
- round_even(round(quantile_cont(value, .95) - quantile_cont(value, .05), 9), 3) AS range FROM events GROUP BY 1""")
+@query("a1_summary_by_type", """SELECT event_type, count(value) AS count, round(min(value), 9) AS min, round(max(value), 9) AS max, round(avg(value), 9) AS mean,
+ round(quantile_cont(value, .05), 9) AS p05, round(quantile_cont(value, .5), 9) AS median, round(quantile_cont(value, .95), 9) AS p95,
+ round(quantile_cont(value, .95) - quantile_cont(value, .05), 9) AS range FROM events GROUP BY 1""")
 def a1b(spark, d):
-    return measure.numeric_summary(spark.read.parquet(f"{d}/events.parquet").select("event_type", "value"), ["event_type"], "value")
+    return measure.numeric_summary(spark.read.parquet(f"{d}/events.parquet").select("event_type", "value"), ["event_type"], "value", 9)
 
 
 @query("a2_robust_range", SIGG + """ SELECT user_id, round(coalesce(quantile_cont(v, .95) - quantile_cont(v, .05), 0), 6) AS range, round(coalesce(avg(v), 0), 6) AS mean FROM sig GROUP BY 1""")
