@@ -114,18 +114,20 @@ def _prepared(sig: DataFrame, keys: Sequence[str], value: str, params: Sequence[
 
 
 def cycles_threshold(sig: DataFrame, keys: Sequence[str], value: str, fps: float, extended: float = 135.0,
-                     flexed: float = 90.0, size: int = CHUNK) -> DataFrame:
+                     flexed: float | str = 90.0, size: int = CHUNK) -> DataFrame:
     """Complete extension -> flexion cycles of a flexion signal (180 - angle).
 
     The start moves to the last sample near the floor of the 2.5 s before the
-    flexion crossing; turning point and return lie within 4 s each.
+    flexion crossing; turning point and return lie within 4 s each.  ``flexed``
+    may name a column that is constant per series.
     """
-    rest, work = 180.0 - extended, 180.0 - flexed
+    rest = 180.0 - extended
+    sig = sig.withColumn("flex_limit", F.col(flexed) if isinstance(flexed, str) else F.lit(float(flexed)))
     gap, look, reach = _samples(fps, 0.35, 1), _samples(fps, 2.5, 2), int(fps * 4.0)
     tail = max(1, int(fps * 0.45))
 
     def step(arrays, first, lo, hi, n, params, state):
-        x = Series(arrays, first, n)
+        x, work = Series(arrays, first, n), 180.0 - params["flex_limit"]
         resting, working = x.v <= rest, x.v >= work
 
         def close(start, crossing):
@@ -144,13 +146,13 @@ def cycles_threshold(sig: DataFrame, keys: Sequence[str], value: str, fps: float
 
         return _search(x, lo, hi, state, resting, working, close, None)
 
-    events = chunked_fold(_prepared(sig, keys, value), keys, ["v", "quality", "time_ms"], step, EVENT,
-                          back=look + 1, forward=2 * reach + tail + 3, size=size)
+    events = chunked_fold(_prepared(sig, keys, value, ["flex_limit"]), keys, ["v", "quality", "time_ms"], step, EVENT,
+                          params=["flex_limit"], back=look + 1, forward=2 * reach + tail + 3, size=size)
     return _finish(events, keys, fps, rise())
 
 
 def cycles_or_partial(sig: DataFrame, keys: Sequence[str], value: str, fps: float, extended: float = 135.0,
-                      flexed: float = 90.0, size: int = CHUNK) -> DataFrame:
+                      flexed: float | str = 90.0, size: int = CHUNK) -> DataFrame:
     """Complete cycles; a series without any keeps its clear direction reversals
     as partial repetitions, with ``range_status`` telling which."""
     keys = list(keys)
@@ -165,7 +167,11 @@ def cycles_or_partial(sig: DataFrame, keys: Sequence[str], value: str, fps: floa
         (F.col("amplitude") >= 8.0) & (F.col("key_idx") - F.col("start_idx") >= shortest)
         & (F.col("end_idx") - F.col("key_idx") >= shortest)
     )
-    whole = (180.0 - F.col("start_signal") >= extended) & (180.0 - F.col("key_signal") <= flexed)
+    if isinstance(flexed, str):
+        part = part.join(sig.groupBy(*keys).agg(F.max(flexed).alias("_limit")), keys)
+    else:
+        part = part.withColumn("_limit", F.lit(float(flexed)))
+    whole = (180.0 - F.col("start_signal") >= extended) & (180.0 - F.col("key_signal") <= F.col("_limit"))
     part = number_in_order(part.drop("rep_index"), keys, "key_idx").withColumn(
         "range_status", F.when(whole, "complete").otherwise("insufficient")
     )

@@ -99,7 +99,7 @@ def w9(spark, d):
 
 
 JUDGE = """, j AS (SELECT user_id, pose_idx, n, time_ms, CASE WHEN quality < .25 THEN 'unknown' WHEN v >= 90 THEN 'unstable' WHEN v >= 45 THEN 'watch' ELSE 'stable' END AS state,
- CASE WHEN v >= 120 THEN 'screen_right' ELSE 'centered' END AS direction, v AS angle_delta, v / 100 AS score, quality AS confidence,
+ CASE WHEN v >= 120 THEN 'screen_right' ELSE 'centered' END AS direction, v AS angle_delta, v / 100 AS score, v / 700 AS confidence,
  CASE WHEN pose_idx % 7 < 5 THEN pose_idx // 7 + 1 END AS rep_index FROM sig)"""
 
 
@@ -110,7 +110,7 @@ def judged(spark, d):
         F.when(F.col("quality") < 0.25, "unknown").when(F.col("v") >= 90, "unstable")
         .when(F.col("v") >= 45, "watch").otherwise("stable").alias("state"),
         F.when(F.col("v") >= 120, "screen_right").otherwise("centered").alias("direction"),
-        F.col("v").alias("angle_delta"), (F.col("v") / 100).alias("score"), F.col("quality").alias("confidence"),
+        F.col("v").alias("angle_delta"), (F.col("v") / 100).alias("score"), (F.col("v") / 700).alias("confidence"),
         F.when(F.col("pose_idx") % 7 < 5, F.floor(F.col("pose_idx") / 7) + 1).alias("rep_index"),
     )
 
