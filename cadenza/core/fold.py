@@ -31,6 +31,7 @@ def chunk_rows(
     forward: int = 0,
     size: int = CHUNK,
     idx: str = "pose_idx",
+    ragged: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (key, chunk) with the samples of chunk and halo in order; the
     list holds at most ``size + back + forward`` samples."""
@@ -44,7 +45,8 @@ def chunk_rows(
     return grouped.select(
         *keys, "chunk", "n", *params,
         F.col("_s.i")[0].alias("_first"),
-        *[F.col(f"_s.{v}").alias(f"_a_{v}") for v in values],
+        *[(F.flatten(f"_s.{v}") if v in ragged else F.col(f"_s.{v}")).alias(f"_a_{v}") for v in values],
+        *[F.transform(f"_s.{v}", F.size).alias(f"_a_{v}_len") for v in ragged],
     )
 
 
@@ -59,15 +61,18 @@ def chunked_fold(
     forward: int = 0,
     size: int = CHUNK,
     idx: str = "pose_idx",
+    ragged: Sequence[str] = (),
 ) -> DataFrame:
     """Run ``step(arrays, first, lo, hi, n, params, state) -> (events, state)``.
 
     ``arrays`` maps each value name to a NumPy array starting at index
     ``first``; the chunk owns ``[lo, hi)``.  ``state`` is a list of floats, empty
     at the start of a series (and as the neutral guess); ``[DEAD]`` ends the
-    search for the rest of the series.
+    search for the rest of the series.  ``ragged`` values are arrays per sample:
+    they arrive flattened, with their lengths under ``<name>_len``.
     """
     keys, values, params = list(keys), list(values), list(params)
+    names = [*values, *[f"{r}_len" for r in ragged]]
     schema = f"struct<events:array<{event_type}>,state:array<double>>"
 
     @F.pandas_udf(schema)
@@ -78,7 +83,7 @@ def chunked_fold(
             hi = min(lo + size, int(row.n))
             given = {p: getattr(row, p) for p in params}
             found, out = step(
-                dict(zip(values, arr)), int(row.first), lo, hi, int(row.n), given,
+                dict(zip(names, arr)), int(row.first), lo, hi, int(row.n), given,
                 [] if state is None else list(state),
             )
             events.append(found)
@@ -86,8 +91,8 @@ def chunked_fold(
         return pd.DataFrame({"events": events, "state": states})
 
     head = F.struct("chunk", "n", F.col("_first").alias("first"), *params)
-    arrays = F.struct(*[F.col(f"_a_{v}").alias(v) for v in values])
-    chunks = chunk_rows(df, keys, values, params, back, forward, size, idx)
+    arrays = F.struct(*[F.col(f"_a_{v}").alias(v) for v in names])
+    chunks = chunk_rows(df, keys, values, params, back, forward, size, idx, ragged)
     chunks = chunks.withColumn("_entry", F.array().cast("array<double>"))
     done = materialise(chunks.withColumn("_out", run(head, arrays, F.col("_entry"))))
     series = Window.partitionBy(*keys)

@@ -281,22 +281,46 @@ def side(lm: Column, left: bool) -> tuple[int, int, int, int]:
     return (LS, LE, LW, LH) if left else (RS, RE, RW, RH)
 
 
+def _shown(value: Column, lm: Column, slots: Sequence[int], floor: float = 0.35) -> Column:
+    """NULL unless all landmarks of the ratio are visible enough."""
+    return F.when(chain_min(lm, slots) >= floor, value)
+
+
 def wrist_above_shoulder(lm: Column, left: bool) -> Column:
     s, _, w, _ = side(lm, left)
-    return at(lm, s, "y") - at(lm, w, "y")
+    return _shown(at(lm, s, "y") - at(lm, w, "y"), lm, (s, w))
+
+
+def wrist_outward_ratio(lm: Column, left: bool) -> Column:
+    s, _, w, _ = side(lm, left)
+    width = F.greatest(F.lit(0.03), distance(lm, LS, RS))
+    return _shown(F.abs(at(lm, w, "x") - at(lm, s, "x")) / width, lm, (s, w))
 
 
-def wrist_outward_ratio(lm: Column, left: bool, scale: Column) -> Column:
+def vertical_outward_ratio(lm: Column, left: bool) -> Column:
     s, _, w, _ = side(lm, left)
-    return F.abs(at(lm, w, "x") - at(lm, s, "x")) / scale
+    up, out = at(lm, s, "y") - at(lm, w, "y"), F.abs(at(lm, w, "x") - at(lm, s, "x"))
+    return _shown(F.when(up > 0, up / F.greatest(F.lit(0.03), out)).otherwise(0.0), lm, (s, w))
 
 
-def forearm_tilt(lm: Column, left: bool, floor: float = 0.02) -> Column:
+def forearm_tilt(lm: Column, left: bool) -> Column:
     _, e, w, _ = side(lm, left)
     dx, dy = F.abs(at(lm, w, "x") - at(lm, e, "x")), F.abs(at(lm, w, "y") - at(lm, e, "y"))
-    return dx / F.greatest(F.lit(floor), dy)
+    return _shown(dx / F.greatest(F.lit(0.015), dy), lm, (e, w))
+
+
+def elbow_descent(start: Column, key: Column, left: bool) -> Column:
+    """How far the elbow moves down from the start to the key frame."""
+    s, e, w, _ = side(start, left)
+    drop = at(key, e, "y") - at(start, e, "y")
+    return F.when((chain_min(start, (s, e, w)) >= 0.35) & (chain_min(key, (s, e, w)) >= 0.35), drop)
 
 
 def elbow_drop(lm: Column, left: bool) -> Column:
     s, e, _, _ = side(lm, left)
-    return at(lm, e, "y") - at(lm, s, "y")
+    return _shown(at(lm, e, "y") - at(lm, s, "y"), lm, (s, e), 0.45)
+
+
+def of_sides(left: Column, right: Column) -> Column:
+    """Mean of the measurable sides, 0 without any."""
+    return both_sides(left, right, 0.0)

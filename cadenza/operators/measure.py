@@ -155,7 +155,8 @@ def _mirror(chain: Sequence[int], left: bool) -> tuple[int, ...]:
 
 
 def side_samples(frames: DataFrame, keys: Sequence[str], conf: Sequence[int], angle: Sequence[int] | None,
-                 extra: tuple[int, str] | None, min_conf: float = 0.12) -> DataFrame:
+                 extra: tuple[int, str] | None, min_conf: float = 0.12,
+                 rise_chain: Sequence[int] = (LS, LW), rise_conf: float = 0.45) -> DataFrame:
     """Two rows per frame (left, right) with confidence, angle and a coordinate;
     measurable samples only carry values."""
     lm = F.col("landmarks")
@@ -167,7 +168,7 @@ def side_samples(frames: DataFrame, keys: Sequence[str], conf: Sequence[int], an
         e = g.at(lm, _mirror((extra[0],), left)[0], extra[1]) if extra else F.lit(0.0)
         shoulder, wrist = _mirror((LS,), left)[0], _mirror((LW,), left)[0]
         rise = g.at(lm, shoulder, "y") - g.at(lm, wrist, "y")
-        shown = g.chain_min(lm, (shoulder, wrist)) >= 0.45
+        shown = g.chain_min(lm, _mirror(rise_chain, left)) >= rise_conf
         return F.struct(
             F.lit("left" if left else "right").alias("side"), F.when(ok, c).alias("c"), F.when(ok, a).alias("a"),
             F.when(ok, e).alias("e"), F.when(shown, rise).alias("rise"), c.alias("raw_c"),
@@ -190,7 +191,8 @@ def working_side(frames: DataFrame, variant: str, keys: Sequence[str] = ("video_
         "press": ((LS, LE, LW), None, None),
         "y_raise": ((LH, LS, LE), (LH, LS, LE), None),
     }[variant]
-    s = side_samples(frames, keys, *shape)
+    rise = ((LH, LS, LE, LW), 0.35) if variant == "y_raise" else ((LS, LW), 0.45)
+    s = side_samples(frames, keys, *shape, rise_chain=rise[0], rise_conf=rise[1])
     flexion = F.lit(180.0) - F.col("a") if variant in ("pulldown", "row") else F.col("a")
     s = s.withColumn("f", flexion)
     low_p = 0.10 if variant == "y_raise" else 0.05

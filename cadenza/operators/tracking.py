@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,14 +92,19 @@ def candidate_rows(frames: DataFrame, keys: Sequence[str], people: Column, famil
 def track_target(rows: DataFrame, keys: Sequence[str], has_roi: bool = False, size: int = CHUNK) -> DataFrame:
     """One verdict per frame that has candidates, in frame order per video."""
 
+    fields = ("no", "base", "x1", "y1", "x2", "y2")
+    flat = F.flatten(F.transform("people", lambda p: F.array(*[p[f].cast("double") for f in fields])))
+
     def step(arrays, first, lo, hi, n, params, state):
-        held = dict(zip(("x1", "y1", "x2", "y2"), state)) if state else None
+        held = dict(zip(fields[2:], state)) if state else None
+        ends = np.cumsum(arrays["p_len"])
         events = []
         for i in range(lo - first, hi - first):
-            people = [dict(p) if not isinstance(p, dict) else p for p in arrays["people"][i]]
-            if people:
-                verdict, held = choose(people, held, has_roi)
+            people = np.asarray(arrays["p"][ends[i] - arrays["p_len"][i] : ends[i]]).reshape(-1, len(fields))
+            if len(people):
+                verdict, held = choose([dict(zip(fields, map(float, p))) for p in people], held, has_roi)
                 events.append(verdict | {"frame_index": int(arrays["frame_index"][i])})
         return events, list(held.values()) if held else []
 
-    return chunked_fold(rows, keys, ["frame_index", "people"], step, FRAME_OUT, size=size)
+    rows = rows.select(*keys, "pose_idx", "n", "frame_index", flat.alias("p"))
+    return chunked_fold(rows, keys, ["frame_index", "p"], step, FRAME_OUT, size=size, ragged=["p"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_series", "q_segment", "q_pose", "q_measure", "q_joins", "q_results", "q_motion"]
+MODULES = ["q_series", "q_segment", "q_pose", "q_measure", "q_joins", "q_results", "q_motion", "q_rules"]
 for _module in MODULES:
     import_module(f"cadenza.plans.{_module}")
 

@@ -111,7 +111,7 @@ def q_side(conf, angle, flex, extra, low_p, score, raw_conf=False):
         ok = f"{c} >= .12 AND {a} IS NOT NULL"
         s, w = m((LS, LW))
         parts.append(f"""SELECT video_id, n, '{'left' if left else 'right'}' AS side, CASE WHEN {ok if not raw_conf else 'true'} THEN {c} END AS c, CASE WHEN {ok} THEN {flex.format(a=a)} END AS f,
- CASE WHEN {ok} THEN {e} END AS e, CASE WHEN least(v{s}, v{w}) >= .45 THEN y{s} - y{w} END AS rise FROM fr""")
+ CASE WHEN {ok} THEN {e} END AS e, CASE WHEN {q_min(m((LH, LS, LE, LW)))} >= .35 THEN y{s} - y{w} END AS rise FROM fr""")
     return FR + f""", s AS ({' UNION ALL '.join(parts)}), q AS (SELECT video_id, n, side, coalesce(quantile_cont(c, .25), 0) AS conf, coalesce(quantile_cont(f, .95), 0) AS hi,
  coalesce(quantile_cont(f, {low_p}), 0) AS lo, quantile_cont(f, .05) AS lo5, coalesce(quantile_cont(e, .95), 0) - coalesce(quantile_cont(e, .05), 0) AS er, count(f) / greatest(1, n) AS ratio,
  coalesce(quantile_cont(rise, .8), 0) AS above FROM s GROUP BY 1, 2, 3), sc AS (SELECT *, {score} AS score FROM q),

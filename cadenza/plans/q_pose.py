@@ -227,14 +227,26 @@ def x3(spark, d):
     return frames(spark, d).select(*ID, f.alias("family"), r6(g.family_signal(lm(), f), "signal"))
 
 
-@query("x4_limb_ratios", q_select6({
-    "above_left": f"y{LS} - y{LW}", "above_right": f"y{RS} - y{RW}", "outward_left": f"abs(x{LW} - x{LS}) / greatest(.03, {q_dist(LS, RS)})",
-    "tilt_left": f"abs(x{LW} - x{LE}) / greatest(.02, abs(y{LW} - y{LE}))", "drop_right": f"y{RE} - y{RS}"}))
+def q_limbs():
+    sh = lambda e, ids, f=.35: f"(CASE WHEN {q_min(ids)} >= {f} THEN {e} END)"
+    out = {}
+    for label, (s, e, w) in {"left": (LS, LE, LW), "right": (RS, RE, RW)}.items():
+        out[f"above_{label}"] = sh(f"y{s} - y{w}", (s, w))
+        out[f"outward_{label}"] = sh(f"abs(x{w} - x{s}) / greatest(.03, {q_dist(LS, RS)})", (s, w))
+        out[f"vertical_{label}"] = sh(f"CASE WHEN y{s} - y{w} > 0 THEN (y{s} - y{w}) / greatest(.03, abs(x{w} - x{s})) ELSE 0 END", (s, w))
+        out[f"tilt_{label}"] = sh(f"abs(x{w} - x{e}) / greatest(.015, abs(y{w} - y{e}))", (e, w))
+        out[f"drop_{label}"] = sh(f"y{e} - y{s}", (s, e), .45)
+    out["tilt"] = f"coalesce(({out['tilt_left']} + {out['tilt_right']}) / 2, {out['tilt_left']}, {out['tilt_right']}, 0)"
+    return out
+
+
+@query("x4_limb_ratios", q_select6(q_limbs()))
 def x4(spark, d):
-    width = F.greatest(F.lit(0.03), g.distance(lm(), LS, RS))
-    return select6(spark, d, {
-        "above_left": g.wrist_above_shoulder(lm(), True), "above_right": g.wrist_above_shoulder(lm(), False),
-        "outward_left": g.wrist_outward_ratio(lm(), True, width), "tilt_left": g.forearm_tilt(lm(), True), "drop_right": g.elbow_drop(lm(), False)})
+    out = {}
+    for label, left in (("left", True), ("right", False)):
+        out |= {f"above_{label}": g.wrist_above_shoulder(lm(), left), f"outward_{label}": g.wrist_outward_ratio(lm(), left),
+                f"vertical_{label}": g.vertical_outward_ratio(lm(), left), f"tilt_{label}": g.forearm_tilt(lm(), left), f"drop_{label}": g.elbow_drop(lm(), left)}
+    return select6(spark, d, out | {"tilt": g.of_sides(g.forearm_tilt(lm(), True), g.forearm_tilt(lm(), False))})
 
 
 CHECKED = [LE, RW, LK]
