@@ -201,28 +201,35 @@ def reach(lm: Column) -> Column:
     return (_norm(wx, wy) + _norm(*trunk_vector(lm))) * F.lit(100.0)
 
 
-def family_signals(lm: Column) -> dict[str, Column]:
-    """One motion signal per movement family."""
-    knee = F.lit(180.0) - bilateral(lm, LEG)
-    elbow = F.lit(180.0) - bilateral(lm, ARM)
+SIGNAL_OF = {
+    "squat": "knee", "isolation_knee": "knee", "hinge": "hip", "press": "elbow", "pull": "elbow", "isolation_elbow": "elbow",
+    "isolation_shoulder": "shoulder", "isolation_hip": "apart", "core_flexion": "lean",
+}
+
+
+def base_signals(lm: Column) -> dict[str, Column]:
+    """The distinct formulas behind the family signals; select them as columns
+    before using several, so that each is evaluated once."""
     return {
-        "squat": knee, "isolation_knee": knee,
-        "hinge": F.lit(180.0) - bilateral(lm, HINGE),
-        "press": elbow, "pull": elbow, "isolation_elbow": elbow,
-        "isolation_shoulder": bilateral(lm, SHOULDER_SIDES),
-        "isolation_hip": knee_separation(lm),
-        "core_flexion": trunk_lean(lm),
+        "knee": F.lit(180.0) - bilateral(lm, LEG), "hip": F.lit(180.0) - bilateral(lm, HINGE), "elbow": F.lit(180.0) - bilateral(lm, ARM),
+        "shoulder": bilateral(lm, SHOULDER_SIDES), "apart": knee_separation(lm), "lean": trunk_lean(lm), "reach": reach(lm),
     }
 
 
+def family_signals(lm: Column) -> dict[str, Column]:
+    """One motion signal per movement family."""
+    base = base_signals(lm)
+    return {family: base[name] for family, name in SIGNAL_OF.items()}
+
+
 def family_signal(lm: Column, family: Column | str) -> Column:
-    signals = family_signals(lm)
+    base = base_signals(lm)
     if isinstance(family, str):
-        return signals.get(family, reach(lm))
+        return base[SIGNAL_OF.get(family, "reach")]
     out = F.when(F.lit(False), F.lit(0.0))
-    for name, signal in signals.items():
-        out = out.when(family == name, signal)
-    return out.otherwise(reach(lm))
+    for name in dict.fromkeys(SIGNAL_OF.values()):
+        out = out.when(family.isin([f for f, n in SIGNAL_OF.items() if n == name]), base[name])
+    return out.otherwise(base["reach"])
 
 
 # ---- boxes -------------------------------------------------------------------------

@@ -77,26 +77,32 @@ FULL_SIGNAL = {
 }
 
 
-def posture_score(lm: Column, family: Column, action: Column, quality: Column) -> Column:
-    """How much a pose looks like the action is under way, scaled by quality."""
-    s = g.family_signals(lm)
-    ramp = lambda v, lo, span: clamp((v - lo) / span)
+def with_posture(frames: DataFrame) -> DataFrame:
+    """Add ``posture``: how much a pose looks like the action is under way, scaled
+    by quality.  The joint formulas are selected first, then compared."""
+    lm = F.col("landmarks")
     hips = F.coalesce(F.greatest(g.joint_angle(lm, *HINGE[0]), g.joint_angle(lm, *HINGE[1])), F.lit(105.0))
+    parts = g.base_signals(lm) | {"flat": g.torso_horizontal(lm), "open": hips, "bent": g.knee_flexion_score(lm)}
+    d = frames.select(*frames.columns, *[c.alias(f"_g_{n}") for n, c in parts.items()])
+    action, family, quality = F.col("action_type"), F.col("family"), F.col("quality")
+    s = {n: F.col(f"_g_{n}") for n in parts}
+    ramp = lambda v, lo, span: clamp((v - lo) / span)
     out = (
-        F.when(action == "bench_press", g.torso_horizontal(lm))
-        .when(action.isin("lat_pulldown", "single_arm_pulldown", "single_arm_hammer_row", "chest_supported_row", "plate_loaded_pulldown"), ramp(s["pull"], 8.0, 75.0))
-        .when(action == "hip_thrust", ramp(g.bilateral(lm, HINGE), 105.0, 55.0))
-        .when(action == "plate_loaded_rear_leg_raise", ramp(hips, 105.0, 55.0))
-        .when(action == "preacher_curl", ramp(s["isolation_elbow"], 8.0, 85.0))
-        .when(action == "y_raise", ramp(s["isolation_shoulder"], 35.0, 85.0))
-        .when(action == "machine_crunch", ramp(s["core_flexion"], 8.0, 55.0))
-        .when(action.isin("standing_hip_abduction", "seated_hip_abduction"), ramp(s["isolation_hip"], 20.0, 90.0))
-        .when(family.isin("hinge", "pull"), ramp(g.trunk_lean(lm), 18.0, 42.0))
-        .when(family.isin("squat", "isolation_knee", "isolation_hip"), g.knee_flexion_score(lm))
-        .when(family.isin("press", "isolation_shoulder", "isolation_elbow"), ramp(g.family_signal(lm, family), 8.0, 55.0))
+        F.when(action == "bench_press", s["flat"])
+        .when(action.isin("lat_pulldown", "single_arm_pulldown", "single_arm_hammer_row", "chest_supported_row", "plate_loaded_pulldown"), ramp(s["elbow"], 8.0, 75.0))
+        .when(action == "hip_thrust", ramp(180.0 - s["hip"], 105.0, 55.0))
+        .when(action == "plate_loaded_rear_leg_raise", ramp(s["open"], 105.0, 55.0))
+        .when(action == "preacher_curl", ramp(s["elbow"], 8.0, 85.0))
+        .when(action == "y_raise", ramp(s["shoulder"], 35.0, 85.0))
+        .when(action == "machine_crunch", ramp(s["lean"], 8.0, 55.0))
+        .when(action.isin("standing_hip_abduction", "seated_hip_abduction"), ramp(s["apart"], 20.0, 90.0))
+        .when(family.isin("hinge", "pull"), ramp(s["lean"], 18.0, 42.0))
+        .when(family.isin("squat", "isolation_knee", "isolation_hip"), s["bent"])
+        .when(family.isin("press", "isolation_elbow"), ramp(s["elbow"], 8.0, 55.0))
+        .when(family == "isolation_shoulder", ramp(s["shoulder"], 8.0, 55.0))
         .otherwise(quality)
     )
-    return out * clamp((quality - 0.18) / 0.52)
+    return d.select(*frames.columns, (out * clamp((quality - 0.18) / 0.52)).alias("posture"))
 
 
 def active_window(frames: DataFrame, fps: float, signal: str = "raw_signal", keys: Sequence[str] = ("video_id",)) -> DataFrame:
@@ -107,8 +113,7 @@ def active_window(frames: DataFrame, fps: float, signal: str = "raw_signal", key
     """
     keys = list(keys)
     action, family = F.col("action_type"), F.col("family")
-    d = tracking_quality(frames, keys)
-    d = d.withColumn("posture", posture_score(F.col("landmarks"), family, action, F.col("quality"))).drop("landmarks")
+    d = materialise(with_posture(tracking_quality(frames, keys)).drop("landmarks"))
     d = motion_energy(d, keys, signal, fps, "motion")
     wp, wm = F.lit(0.58), F.lit(0.42)
     for weights, col in ((FAMILY_WEIGHTS, family), (ACTION_WEIGHTS, action)):
@@ -136,6 +141,7 @@ def active_window(frames: DataFrame, fps: float, signal: str = "raw_signal", key
     c = mean.join(rng, group)
     worth = (F.col("e") - F.col("s") + 1) * (0.72 * F.col("mean") + 0.28 * clamp((F.col("_h") - F.col("_l")) / F.col("span")))
     best = c.groupBy(*keys, "n").agg(F.min(F.struct((-worth).alias("o"), "s", "e", "mean")).alias("b"))
+    best = materialise(best)
     calm = reliable_window(d, fps, keys).select(*keys, "n", F.struct(F.col("start_idx").alias("s"), F.col("end_idx").alias("e"), "trimmed").alias("r"))
     flexed = F.lit(None).cast("double")
     for name, limit in ELBOW_PHASE.items():

@@ -260,9 +260,10 @@ def family_profile(frames: DataFrame, fps: float, keys: Sequence[str] = ("video_
     """Range and repetition count of every candidate family per video."""
     keys = list(keys)
     lm = F.col("landmarks")
-    signals = g.family_signals(lm)
-    pairs = [F.struct(F.lit(f).alias("family"), signals[f].alias("v")) for f in MATCH_FAMILIES]
-    rows = frames.where("n >= 8").select(*keys, "pose_idx", "n", F.explode(F.array(*pairs)).alias("p"))
+    base = g.base_signals(lm)
+    rows = frames.where("n >= 8").select(*keys, "pose_idx", "n", *[base[b].alias(b) for b in set(g.SIGNAL_OF[f] for f in MATCH_FAMILIES)])
+    pairs = [F.struct(F.lit(f).alias("family"), F.col(g.SIGNAL_OF[f]).alias("v")) for f in MATCH_FAMILIES]
+    rows = rows.select(*keys, "pose_idx", "n", F.explode(F.array(*pairs)).alias("p"))
     rows = rows.select(*keys, "p.family", "pose_idx", "n", "p.v")
     series = [*keys, "family"]
     sm = smooth(rows, series, "v", odd_window(fps * 0.25), "s")

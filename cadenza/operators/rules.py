@@ -111,6 +111,21 @@ def set_rules(m: DataFrame, keys: Sequence[str]) -> DataFrame:
     return fire(gated, m, keys).drop("metric")
 
 
+def _shot(lm: Column) -> dict[str, Column]:
+    """Angles and ratios of one frame that repetition rules look at."""
+    out = {"lean": g.trunk_lean(lm)}
+    for x, no in (("l", 0), ("r", 1)):
+        left = no == 0
+        out |= {
+            f"a_knee_{x}": g.joint_angle(lm, *LEG[no]), f"a_hip_{x}": g.joint_angle(lm, *HINGE[no]), f"a_elbow_{x}": g.joint_angle(lm, *ARM[no]),
+            f"a_shoulder_{x}": g.joint_angle(lm, *g.SHOULDER_SIDES[no]),
+            f"depth_{x}": g.at(lm, LH if left else RH, "y") - g.at(lm, LK if left else RK, "y"),
+            f"outward_{x}": g.wrist_outward_ratio(lm, left), f"vertical_{x}": g.vertical_outward_ratio(lm, left),
+            f"above_{x}": g.wrist_above_shoulder(lm, left), f"tilt_{x}": g.forearm_tilt(lm, left),
+        }
+    return out
+
+
 def rep_rules(reps: DataFrame, frames: DataFrame, keys: Sequence[str], sides: DataFrame | None = None) -> DataFrame:
     """Repetition-level issues.
 
@@ -133,20 +148,29 @@ def rep_rules(reps: DataFrame, frames: DataFrame, keys: Sequence[str], sides: Da
     cols.append(g.chain_min(lm, TRUNK))
     names.append("trunk_conf")
     r = event_confidence(reps, frames, keys, cols).withColumnsRenamed({f"conf_{i}": n for i, n in enumerate(names)}).drop("best_side", "best_confidence")
-    r = rep_keyframes(r, frames, keys, ["landmarks"]).where(F.col("key_frame").isNotNull())
+    # every angle and ratio becomes a column once; the rules only compare columns
+    shots = frames.select(*keys, "pose_idx", *[col.alias(n) for n, col in _shot(lm).items()], F.struct(*[lm[i].alias(f"p{i}") for i in (LE, RE)]).alias("elbows"),
+                          *[g.chain_min(lm, ch).alias(f"arm_{x}") for x, ch in zip("lr", ARM)])
+    shot_cols = [n for n in shots.columns if n not in (*keys, "pose_idx")]
+    r = rep_keyframes(r, shots, keys, shot_cols).where(F.col("key_frame").isNotNull())
+    drop = {
+        x: F.when((F.col(f"start_frame.arm_{x}") >= 0.35) & (F.col(f"key_frame.arm_{x}") >= 0.35), F.col(f"key_frame.elbows.p{i}.y") - F.col(f"start_frame.elbows.p{i}.y"))
+        for x, i in (("l", LE), ("r", RE))
+    }
+    r = r.withColumns({"drop_l": drop["l"], "drop_r": drop["r"]})
     if sides is not None:
         r = r.join(sides, keys, "left")
     c, act, fam, cam = F.col, F.col("action_type"), F.col("family"), F.col("camera_angle")
-    s, k, e = (F.col(f"{m}_frame.landmarks") for m in ("start", "key", "end"))
+    s, k, e = "start", "key", "end"
+    col = lambda m, n: F.col(f"{m}_frame.{n}")
     left_best = lambda n: c(f"{n}_l") >= c(f"{n}_r")
     best = lambda n: F.greatest(f"{n}_l", f"{n}_r")
     side_view = cam.isin(SIDE_VIEWS)
     seen = lambda n: F.when(side_view, best(n)).otherwise(c(f"{n}_both"))
-    on_side = lambda left, fn: F.when(left, fn(True)).otherwise(fn(False))
-    angle = lambda m, chains, left: on_side(left, lambda is_left: g.joint_angle(m, *chains[0 if is_left else 1]))
+    pick = lambda left, m, n: F.when(left, col(m, f"{n}_l")).otherwise(col(m, f"{n}_r"))
     # outside a side view both sides have to be measurable
-    lower = lambda m, chains: F.when(g.joint_angle(m, *chains[0]).isNotNull(), F.least(g.joint_angle(m, *chains[0]), g.joint_angle(m, *chains[1])))
-    view_angle = lambda m, chains, n: F.when(side_view, angle(m, chains, left_best(n))).otherwise(lower(m, chains))
+    lower = lambda m, n: F.when(col(m, f"{n}_l").isNotNull(), F.least(col(m, f"{n}_l"), col(m, f"{n}_r")))
+    view_angle = lambda m, n, conf: F.when(side_view, pick(left_best(conf), m, n)).otherwise(lower(m, n))
     is_ = lambda *a: act.isin(*a)
     low = lambda conf: conf < POSE_FLOOR
     side_of = lambda name: (F.coalesce(c(name), F.lit("left")) == "left") if sides is not None else F.lit(True)
@@ -161,71 +185,70 @@ def rep_rules(reps: DataFrame, frames: DataFrame, keys: Sequence[str], sides: Da
 
     hack = is_("hack_squat")
     squat = (fam == "squat") & ~hack
-    depth = on_side(left_best("thigh"), lambda l: g.at(k, LH if l else RH, "y") - g.at(k, LK if l else RK, "y"))
+    depth = pick(left_best("thigh"), k, "depth")
     judge((fam == "squat") & hack, best("thigh"), "hipKneeDepth", ("HACK_SQUAT_DEPTH_LIMITED", depth < -0.075))
-    judge(squat, seen("knee"), "kneeAngle", ("SQUAT_DEPTH_LIMITED", view_angle(k, LEG, "knee") > 118),
-          ("SQUAT_TRUNK_LEAN", (c("trunk_conf") >= POSE_FLOOR) & (g.trunk_lean(k) > 62)))
+    judge(squat, seen("knee"), "kneeAngle", ("SQUAT_DEPTH_LIMITED", view_angle(k, "a_knee", "knee") > 118),
+          ("SQUAT_TRUNK_LEAN", (c("trunk_conf") >= POSE_FLOOR) & (col(k, "lean") > 62)))
     rear, left = (fam == "hinge") & is_("plate_loaded_rear_leg_raise"), side_of("rear_side")
-    hips = [angle(m, HINGE, left) for m in (s, k, e)]
+    hips = [pick(left, m, "a_hip") for m in (s, k, e)]
     judge(rear, work("hip", left), "hipAngle", ("REAR_LEG_RAISE_EXTENSION_LIMITED", (hips[1] < 142) | (hips[1] - F.least(*hips) < 18)))
     back = (fam == "hinge") & is_("back_extension")
-    va = [view_angle(m, HINGE, "hip") for m in (s, k, e)]
+    va = [view_angle(m, "a_hip", "hip") for m in (s, k, e)]
     span = F.coalesce(F.greatest(va[0], va[2]) - va[1], F.lit(0.0))
     judge(back, seen("hip"), "hipAngle", ("BACK_EXTENSION_RANGE_LIMITED", va[1].isNotNull() & ((va[1] > 130) | (span < 22))), ("BACK_EXTENSION_TOP_SHORT", va[2] < 145))
     hinge = (fam == "hinge") & ~is_("plate_loaded_rear_leg_raise", "back_extension")
     thrust, rdl = is_("hip_thrust"), is_("romanian_deadlift", "plate_loaded_romanian_deadlift")
     judge(hinge, seen("hip"), "hipAngle", ("HIP_THRUST_LOCKOUT_INCOMPLETE", thrust & (va[1] < 150)), ("HINGE_RANGE_LIMITED", ~thrust & (va[1] > 130)),
-          ("RDL_EXCESSIVE_KNEE_BEND", rdl & (seen("knee") >= POSE_FLOOR) & (view_angle(k, LEG, "knee") < 105) & (va[1] > 115)))
+          ("RDL_EXCESSIVE_KNEE_BEND", rdl & (seen("knee") >= POSE_FLOOR) & (view_angle(k, "a_knee", "knee") < 105) & (va[1] > 115)))
     press = fam == "press"
     chest, shoulder = is_("machine_chest_press"), is_("shoulder_press")
     front = chest & cam.isin(FRONT_VIEWS)
     rules.append(("MACHINE_CHEST_PRESS_RANGE_LIMITED", press & front & (c("amplitude") < 10.0)))
     up = left_best("upper")
     wrist = F.when(up, c("wrist_l")).otherwise(c("wrist_r"))
-    el = [angle(m, ARM, up) for m in (s, k, e)]
+    el = [pick(up, m, "a_elbow") for m in (s, k, e)]
     short = lambda bottom, top: el[1].isNotNull() & el[0].isNotNull() & el[2].isNotNull() & ((el[1] > bottom) | (F.greatest(el[0], el[2]) < top))
     judge(press & (chest | shoulder) & ~front, best("upper"), "visibleElbowAngle", ("MACHINE_CHEST_PRESS_RANGE_LIMITED", chest & short(112.0, 142.0)),
           ("SHOULDER_PRESS_RANGE_LIMITED", shoulder & short(115.0, 145.0)), extra_low=wrist < 0.08)
     bench = is_("bench_press")
     both = press & ~chest & ~shoulder & ~(bench & (cam == "side"))
-    at_key = F.least(g.chain_min(k, ARM[0]), g.chain_min(k, ARM[1]))
+    at_key = F.least(col(k, "arm_l"), col(k, "arm_r"))
     full_view = ~bench | cam.isin(FRONT_VIEWS)
-    tilt = F.abs(g.joint_angle(k, *ARM[0]) - g.joint_angle(k, *ARM[1]))
+    tilt = F.abs(col(k, "a_elbow_l") - col(k, "a_elbow_r"))
     judge(both, c("elbow_both"), "elbowAngle", ("PRESS_ASYMMETRY", full_view & (tilt > 18)), extra_low=full_view & (at_key < POSE_FLOOR))
     pull = fam == "pull"
     held = {"chest_supported_row": ("CHEST_SUPPORTED_ROW_RANGE_LIMITED", 115.0), "t_bar_row": ("T_BAR_ROW_RANGE_LIMITED", 115.0),
             "plate_loaded_pulldown": ("PLATE_LOADED_PULLDOWN_RANGE_LIMITED", 110.0)}
-    pe = [angle(m, ARM, left_best("elbow")) for m in (s, k)]
+    pe = [pick(left_best("elbow"), m, "a_elbow") for m in (s, k)]
     judge(pull & is_(*held), best("elbow"), "visibleElbowAngle", *[(code, is_(name) & ((pe[0] < 132.0) | (pe[1] > limit)) & pe[0].isNotNull() & pe[1].isNotNull()) for name, (code, limit) in held.items()])
     left = side_of("row_side")
-    we = [angle(m, ARM, left) for m in (s, k)]
+    we = [pick(left, m, "a_elbow") for m in (s, k)]
     both_known = lambda pair: pair[0].isNotNull() & pair[1].isNotNull()
     judge(pull & is_("single_arm_hammer_row"), work("elbow", left), "elbowAngle", ("HAMMER_ROW_RANGE_INCOMPLETE", both_known(we) & ((we[0] < 135) | (we[1] > 110))))
     left = side_of("pulldown_side")
-    we = [angle(m, ARM, left) for m in (s, k)]
+    we = [pick(left, m, "a_elbow") for m in (s, k)]
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     judge(pull & is_("single_arm_pulldown"), work("elbow", left), "elbowAngle",
           ("SINGLE_ARM_PULLDOWN_RANGE_INCOMPLETE", both_known(we) & ((we[0] < 135) | (we[1] > 110))),
-          ("SINGLE_ARM_PULLDOWN_ELBOW_PATH_LIMITED", zero(on_side(left, lambda l: g.elbow_descent(s, k, l))) < 0.03),
-          ("SINGLE_ARM_PULLDOWN_FOREARM_DRIFT", cam.isin(FRONT_VIEWS) & (zero(on_side(left, lambda l: g.forearm_tilt(k, l))) > 2.8)))
-    lat = [g.bilateral(m, ARM) for m in (s, k)]
+          ("SINGLE_ARM_PULLDOWN_ELBOW_PATH_LIMITED", zero(work("drop", left)) < 0.03),
+          ("SINGLE_ARM_PULLDOWN_FOREARM_DRIFT", cam.isin(FRONT_VIEWS) & (zero(pick(left, k, "tilt")) > 2.8)))
+    lat = [g.both_sides(col(m, "a_elbow_l"), col(m, "a_elbow_r")) for m in (s, k)]
     judge(pull & is_("lat_pulldown"), c("elbow_both"), "elbowAngle", ("LAT_PULLDOWN_RANGE_INCOMPLETE", (lat[0] < 135) | (lat[1] > 90)),
-          ("LAT_PULLDOWN_ELBOW_PATH_LIMITED", g.of_sides(g.elbow_descent(s, k, True), g.elbow_descent(s, k, False)) < 0.035),
-          ("LAT_PULLDOWN_FOREARM_DRIFT", g.of_sides(g.forearm_tilt(k, True), g.forearm_tilt(k, False)) > 1.35))
-    ce = [angle(m, ARM, left_best("elbow")) for m in (s, k, e)]
+          ("LAT_PULLDOWN_ELBOW_PATH_LIMITED", g.of_sides(c("drop_l"), c("drop_r")) < 0.035),
+          ("LAT_PULLDOWN_FOREARM_DRIFT", g.of_sides(col(k, "tilt_l"), col(k, "tilt_r")) > 1.35))
+    ce = [pick(left_best("elbow"), m, "a_elbow") for m in (s, k, e)]
     ext = F.greatest(ce[0], ce[2])
     judge((fam == "isolation_elbow") & is_("preacher_curl"), best("elbow"), "elbowAngle",
           ("PREACHER_CURL_RANGE_INCOMPLETE", ce[1].isNotNull() & ((ce[1] > 115) | (zero(ext - ce[1]) < 28) | (F.coalesce(ext, F.lit(180.0)) < 128))))
     left = side_of("y_side")
-    sides_sh = g.SHOULDER_SIDES
-    start_y, top_y = angle(s, sides_sh, left), angle(k, sides_sh, left)
-    out, vert = zero(on_side(left, lambda l: g.wrist_outward_ratio(k, l))), zero(on_side(left, lambda l: g.vertical_outward_ratio(k, l)))
-    above = zero(on_side(left, lambda l: g.wrist_above_shoulder(k, l)))
+    start_y, top_y = pick(left, s, "a_shoulder"), pick(left, k, "a_shoulder")
+    out, vert = zero(pick(left, k, "outward")), zero(pick(left, k, "vertical"))
+    above = zero(pick(left, k, "above"))
     path = cam.isin("front", "front_oblique", "rear")
     judge((fam == "isolation_shoulder") & is_("y_raise"), work("shoulder", left), "shoulderAngle", ("Y_RAISE_START_TOO_HIGH", start_y > 70),
           ("Y_RAISE_TOP_RANGE_INCOMPLETE", top_y.isNotNull() & ((top_y < 110) | (above < 0.045))), ("Y_RAISE_PATH_TOO_NARROW", path & (out < 0.35)),
           ("Y_RAISE_PATH_TOO_FLAT", path & (out >= 0.35) & (vert < 1.0)),
-          ("Y_RAISE_ELBOW_BEND", (work("reach", left) >= POSE_FLOOR) & (angle(k, ARM, left) < 135)))
+          ("Y_RAISE_ELBOW_BEND", (work("reach", left) >= POSE_FLOOR) & (pick(left, k, "a_elbow") < 135)))
     judge((fam == "core_flexion") & is_("machine_crunch"), c("trunk_conf"), "trunkFlexion", ("MACHINE_CRUNCH_RANGE_LIMITED", c("amplitude") < 12.0))
     seated = is_("seated_hip_abduction")
     judge((fam == "isolation_hip") & is_("standing_hip_abduction", "seated_hip_abduction"), best("knee"), "hipAbductionPath",
