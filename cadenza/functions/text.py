@@ -45,8 +45,10 @@ METRIC_WORDS = "(?i)覆盖率|置信度|可见度|识别率"
 
 
 def enable_charsets(spark: SparkSession) -> None:
-    """GB18030 is only reachable with the legacy charset switch."""
+    """GB18030 is only reachable with the legacy charset switch; bytes it cannot
+    map become replacement characters, which the repair then refuses."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
 
 
 def translate_terms(c: Column) -> Column:

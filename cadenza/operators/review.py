@@ -18,3 +18,156 @@ def job_summary(results: DataFrame, keys: Sequence[str], order: Sequence[str] =
     g = results.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("engine_results"))
     mode = F.when(F.size("engine_results") > 1, "both").otherwise(F.col("engine_results")[0]["engine"])
     return g.select(*keys, F.col("engine_results")[0].alias("primary"), "engine_results", mode.alias("engine_mode"))
+
+
+SECTIONS = ["movement_task", "range_endpoints", "stability_compensation", "tempo_consistency"]
+
+
+def review_sections(issues: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Status of each review section per result: limited evidence, needs attention
+    or mostly meets.  ``issues`` has ``category``; ``results`` capture_quality."""
+    keys = list(keys)
+    counts = issues.groupBy(*keys, F.col("category").alias("section")).agg(F.count(F.lit(1)).alias("relevant"))
+    grid = results.select(*keys, "capture_quality", F.explode(F.array(*[F.lit(s) for s in SECTIONS])).alias("section"))
+    d = grid.join(counts, [*keys, "section"], "left")
+    n = F.coalesce("relevant", F.lit(0))
+    status = F.when(F.col("capture_quality") == "insufficient", "limited_evidence").when(n > 0, "needs_attention").otherwise("mostly_meets")
+    return d.select(*keys, "section", n.alias("relevant"), status.alias("status"))
+
+
+STATUSES = ["meets_standard", "mostly_meets", "needs_attention", "limited_evidence", "not_assessed"]
+
+
+def normalise_review(generated: DataFrame, fallback: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Generated section texts where present and valid, deterministic ones elsewhere."""
+    g = generated.select(*keys, "section", F.col("status").alias("_s"), F.col("assessment").alias("_a"))
+    d = fallback.join(g, [*keys, "section"], "left")
+    text = F.when(F.trim("_a") != "", F.trim("_a"))
+    return d.select(*keys, "section", F.when(F.col("_s").isin(STATUSES), F.col("_s")).otherwise(F.col("status")).alias("status"),
+                    F.coalesce(text, F.col("assessment")).alias("assessment"), text.isNotNull().alias("generated"))
+
+
+def arbitration_reasons(r: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Reasons to distrust a result, in order.
+
+    Columns: capture_quality, codes ARRAY, count_unstable, switches, lost,
+    rejected, rejected_reps, has_keyframes, selected_family, detected_family,
+    mismatch, signature_confidence, window_enabled, window_confidence,
+    full_frames, analysis_frames, trimmed_start, trimmed_end.
+    """
+    c = F.col
+    has = lambda code: F.array_contains("codes", code)
+    # the arbitration groups leave hip isolation out of the lower body
+    group = lambda f: F.when(f == "isolation_hip", "general").otherwise(family_group(f))
+    sg, dg = group(c("selected_family")), group(c("detected_family"))
+    differs = c("selected_family").isNotNull() & c("detected_family").isNotNull() & (c("selected_family") != c("detected_family")) & (c("signature_confidence") < 0.45)
+    cross = c("mismatch") | ((sg != dg) & (sg != "general") & (dg != "general"))
+    kept = F.when(c("full_frames") > 0, c("analysis_frames") / c("full_frames")).otherwise(1.0)
+    shaky = c("window_enabled") & (c("window_confidence") < 0.22) & ((kept < 0.55) | (c("trimmed_start") > 0) | (c("trimmed_end") > 0))
+    rules = [
+        ("INSUFFICIENT_EVIDENCE", "red", (c("capture_quality") == "insufficient") | has("INSUFFICIENT_EVIDENCE")),
+        ("COUNT_UNSTABLE", "yellow", c("count_unstable") | has("COUNT_UNSTABLE")),
+        ("TARGET_UNCERTAIN", "yellow", has("TARGET_UNCERTAIN") | (c("switches") > 0)),
+        ("STAGE_EVIDENCE_VISUAL_REVIEW", "info", c("has_keyframes") & ((c("lost") > 0) | (c("rejected") > 0) | (c("rejected_reps") > 0))),
+        ("ACTION_CLASS_UNCERTAIN", "yellow", differs & cross),
+        ("ACTION_SUBTYPE_VISUAL_REVIEW", "info", differs & ~cross),
+        ("ACTIVE_WINDOW_UNCERTAIN", "yellow", shaky),
+    ]
+    entries = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(i).alias("no"), F.lit(code).alias("code"), F.lit(sev).alias("severity"))) for i, (code, sev, cond) in enumerate(rules)]
+    return r.select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("x")).select(*keys, "x.*")
+
+
+CAPS = {"ACTION_CLASS_UNCERTAIN": 75.0, "ACTIVE_WINDOW_UNCERTAIN": 80.0, "COUNT_UNSTABLE": 85.0}
+DECISIONS = ["confirm_algorithm", "mark_insufficient", "mark_uncertain", "cap_score", "request_rerun"]
+
+
+def apply_arbitration(results: DataFrame, reasons: DataFrame, decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Caps, level and evidence marks from reasons and external decisions.
+
+    ``results``: overall_score, safety_level, capture_quality and has_count_issue.
+    ``decisions``: no, action, reason_code, cap; unknown actions are ignored and
+    at most the first eight count.  All effects are caps and marks, so they fold
+    into aggregates per result.
+    """
+    from cadenza.core.rangejoin import top_k
+
+    keys = list(keys)
+    code = F.col("code")
+    own = reasons.groupBy(*keys).agg(
+        F.max((code == "INSUFFICIENT_EVIDENCE").cast("int")).alias("_ins"),
+        *[F.max((code == k).cast("int")).alias(f"_r_{k}") for k in CAPS], F.max((F.col("severity") != "info").cast("int")).alias("_review"),
+    )
+    valid = top_k(decisions.where(F.col("action").isin(DECISIONS)), keys, [F.col("no")], 8)
+    a, why = F.col("action"), F.col("reason_code")
+    cap = F.when(a.isin("mark_uncertain", "cap_score", "request_rerun"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("cap"))))
+    soft = a.isin("mark_uncertain", "request_rerun")
+    joined = valid.join(own.select(*keys, F.col("_ins").alias("_known")), keys, "left")
+    marks = (a == "mark_insufficient") & ((F.coalesce("_known", F.lit(0)) == 1) | (why == "INSUFFICIENT_EVIDENCE"))
+    refused = (a == "mark_insufficient") & ~marks
+    ext = joined.groupBy(*keys).agg(
+        F.max(marks.cast("int")).alias("_mark"),
+        F.min(F.least(cap, F.when(refused, 80.0), F.when(soft & (why == "ACTION_CLASS_UNCERTAIN"), 75.0), F.when(soft & (why == "ACTIVE_WINDOW_UNCERTAIN"), 80.0))).alias("_cap"),
+        F.max((refused | (cap < 80) | (soft & why.isin("ACTION_CLASS_UNCERTAIN", "ACTIVE_WINDOW_UNCERTAIN"))).cast("int")).alias("_warn"),
+    )
+    d = results.join(own, keys, "left").join(ext, keys, "left")
+    on = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
+    insufficient = on("_ins") | on("_mark")
+    count = on("_r_COUNT_UNSTABLE") & ~F.col("has_count_issue")
+    own_cap = F.least(F.when(on("_r_ACTION_CLASS_UNCERTAIN"), 75.0), F.when(on("_r_ACTIVE_WINDOW_UNCERTAIN"), 80.0), F.when(count, 85.0))
+    limit = F.coalesce(F.least(own_cap, F.col("_cap")), F.lit(float("inf")))
+    warn = own_cap.isNotNull() | on("_warn")
+    return d.select(
+        *keys,
+        F.when(insufficient, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.col("overall_score"), limit))).alias("overall_score"),
+        F.when(insufficient, "not_applicable").when(warn & (F.col("safety_level") == "green"), "yellow").otherwise(F.col("safety_level")).alias("safety_level"),
+        F.when(insufficient, "insufficient").otherwise(F.col("capture_quality")).alias("capture_quality"), on("_review").alias("review"),
+    )
+
+
+def standard_impact(results: DataFrame, issues: DataFrame, dim: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 10) -> DataFrame:
+    """Triggered rules (first ``k``) of each result with the profile of its action."""
+    from cadenza.core.rangejoin import top_k
+
+    keys = list(keys)
+    first = top_k(issues, keys, order, k)
+    lists = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "code"))), lambda x: x["code"]).alias("triggered"))
+    d = results.join(F.broadcast(dim.select("action_type", "family", "mode")), "action_type", "left").join(lists, keys, "left")
+    return d.select(*keys, "action_type", "family", "mode", F.coalesce("triggered", F.array().cast("array<string>")).alias("triggered"))
+
+
+def session_facts(jobs: DataFrame, issues: DataFrame, volume: DataFrame, history: DataFrame, order: Sequence[Column], k: int = 8) -> DataFrame:
+    """Facts of a session report: first priorities, red flags, volume and trend."""
+    from cadenza.core.rangejoin import top_k
+
+    first = top_k(issues, ["job_id"], order, k).groupBy("job_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "code"))), lambda x: x["code"]).alias("priorities"))
+    red = issues.groupBy("job_id").agg(F.count_if(F.col("severity") == "red").alias("red_flags"), F.count_if(F.col("severity") == "yellow").alias("yellow_flags"))
+    trend = F.when(F.col("previous_job").isNull(), "first").when(F.col("score_change").isNull(), "known").when(F.col("score_change") >= 0, "up").otherwise("down")
+    d = jobs.join(first, "job_id", "left").join(red, "job_id", "left").join(volume, "job_id", "left").join(history.select("job_id", "previous_job", "score_change"), "job_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return d.select(*jobs.columns, F.coalesce("priorities", F.array().cast("array<string>")).alias("priorities"), zero("red_flags").alias("red_flags"), zero("yellow_flags").alias("yellow_flags"),
+                    zero("sets").alias("sets"), zero("tonnage_kg").alias("tonnage_kg"), trend.alias("trend"), "score_change")
+
+
+# Fields with counts that are not shown to users.
+COUNT_FIELDS = [
+    "repCount", "repCountSource", "repEvents", "repIndexes", "repSegmentation", "visualRepEstimate", "finalRepCount",
+    "repCountReason", "primaryRepCount", "secondaryRepCount", "fusedRepCount", "counterRule",
+]
+
+
+def without_fields(df: DataFrame, names: Sequence[str] = tuple(COUNT_FIELDS), prefix: str | None = None) -> DataFrame:
+    """Drop the named fields at every depth of the schema (and columns that start
+    with ``prefix``)."""
+    from pyspark.sql import types as T
+
+    def strip(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StructType):
+            kept = [f for f in t.fields if f.name not in names]
+            return F.when(c.isNotNull(), F.struct(*[strip(c[f.name], f.dataType).alias(f.name) for f in kept]))
+        if isinstance(t, T.ArrayType) and isinstance(t.elementType, (T.StructType, T.ArrayType)):
+            return F.transform(c, lambda x: strip(x, t.elementType))
+        return c
+
+    keep = [f for f in df.schema.fields if f.name not in names and not (prefix and f.name.startswith(prefix))]
+    return df.select(*[strip(F.col(f.name), f.dataType).alias(f.name) for f in keep])

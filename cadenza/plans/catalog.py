@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.plans.registry import ORACLES, QUERIES
 
-MODULES = ["q_series", "q_segment", "q_pose", "q_measure", "q_joins", "q_results", "q_motion", "q_rules"]
+MODULES = ["q_series", "q_segment", "q_pose", "q_measure", "q_joins", "q_results", "q_motion", "q_rules", "q_text"]
 for _module in MODULES:
     import_module(f"cadenza.plans.{_module}")
 
@@ -22,4 +22,4 @@ def oracle_sql():
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["w3_find_peaks"](spark, d)
+    return QUERIES["flagship_rep_summary"](spark, d)

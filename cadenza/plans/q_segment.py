@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import cycles, peaks, segment
-from cadenza.plans.q_series import K, PEAKS, r6
+from cadenza.core.num import odd_window
+from cadenza.core.quantiles import quantiles
+from cadenza.core.session import materialise
+from cadenza.operators import cycles, peaks, segment, smoothing
+from cadenza.plans.q_series import K, PEAKS, q_smooth, r6
 from cadenza.plans.registry import query
 from cadenza.plans.views import FPS, sig, sig_sql
 
@@ -81,6 +84,22 @@ def t2(spark, d):
     return segment.stage_frames(s, reps, K, "v")
 
 
+SMOOTH_REPS = REPS.replace("FROM sig", "FROM sg").replace("JOIN sig s", "JOIN sg s")
+
+
+@query("flagship_rep_summary", SIG + f", sg AS (SELECT user_id, pose_idx, n, time_ms, quality, sm AS v FROM ({q_smooth('sig', 'v', 3, 'sm')}))" + PEAKS.replace("FROM sig", "FROM sg") + SMOOTH_REPS
+       + """, ok AS (SELECT * FROM reps WHERE duration_s >= .35 AND duration_s <= 6 AND amplitude >= 3) SELECT user_id, count(*) AS rep_count, round(quantile_cont(amplitude, .5), 6) AS amplitude_p50,
+ round(quantile_cont(amplitude, .95), 6) AS amplitude_p95, round(avg(duration_s), 6) AS avg_duration_s FROM ok GROUP BY 1""")
+def flagship(spark, d):
+    """Smooth, find repetitions, validate, summarise per user."""
+    s = materialise(smoothing.smooth(sig(spark, d), K, "v", odd_window(FPS * 0.25), "sm"))
+    tops = peaks.detect_repetitions(s, K, "sm", FPS)
+    valid, _ = segment.validate_reps(segment.segment_by_peaks(s, tops, K, "sm", FPS), K, F.lit("row"), FPS)
+    q = quantiles(valid, K, {"amplitude_p50": ("amplitude", 0.5), "amplitude_p95": ("amplitude", 0.95)})
+    base = valid.groupBy(*K).agg(F.count(F.lit(1)).alias("rep_count"), F.avg("duration_s").alias("avg_duration_s"))
+    return base.join(q, K).select("user_id", "rep_count", r6("amplitude_p50"), r6("amplitude_p95"), r6("avg_duration_s"))
+
+
 # ---- cycle automata: the SQL side walks cycle by cycle in a recursive query ----------
 
 ARR = ", arr AS (SELECT user_id, n, list(v ORDER BY pose_idx) AS a FROM sig WHERE n >= 4 GROUP BY 1, 2)"
