@@ -81,11 +81,12 @@ def chunked_fold(
         for row, arr, state in zip(head.itertuples(index=False), arrays.itertuples(index=False), entry):
             lo = int(row.chunk) * size
             hi = min(lo + size, int(row.n))
+            state = [] if state is None else list(state)
             given = {p: getattr(row, p) for p in params}
-            found, out = step(
-                dict(zip(names, arr)), int(row.first), lo, hi, int(row.n), given,
-                [] if state is None else list(state),
-            )
+            if state == [DEAD]:
+                found, out = [], state
+            else:
+                found, out = step(dict(zip(names, arr)), int(row.first), lo, hi, int(row.n), given, state)
             events.append(found)
             states.append([float(x) for x in out])
         return pd.DataFrame({"events": events, "state": states})

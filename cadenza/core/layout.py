@@ -41,7 +41,7 @@ def with_ordinal(
     turned into offsets.
     """
     keys = list(keys)
-    rows = df.withColumn("_bucket", bucket).repartition(*keys, "_bucket")
+    rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     per_key = Window.partitionBy(*keys)
     before = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,7 +116,7 @@ def scan(
     ``prev`` / ``next_``: nearest non-null value at or before / at or after a row
     (strictly when not ``inclusive``).  ``totals``: inclusive running sums.
     Inside a chunk these are windows; across chunks they are windows over one
-    summary row per chunk.
+    summary row per chunk, built by partial aggregation before any shuffle.
     """
     keys, prev, next_, totals = list(keys), prev or {}, next_ or {}, totals or {}
     rows = df.withColumn("chunk", chunk_index(idx, size))
@@ -125,7 +125,7 @@ def scan(
         *[c.alias(f"_p_{k}") for k, c in prev.items()],
         *[c.alias(f"_n_{k}") for k, c in next_.items()],
         *[c.alias(f"_t_{k}") for k, c in totals.items()],
-    ).repartition(*keys, "chunk")
+    )
     near = 0 if inclusive else 1
     w = chunk_window(keys, idx)
     w_prev = w.rowsBetween(Window.unboundedPreceding, -near)
@@ -199,6 +199,21 @@ def spread_join(
     )
 
 
+def without_series(
+    df: DataFrame,
+    done: DataFrame,
+    keys: Sequence[str],
+    size: int = CHUNK,
+    idx: str = "pose_idx",
+) -> DataFrame:
+    """Rows of the series that are not in ``done`` (key and ``n``), decided at
+    chunk grain so that no long series is shuffled to one place."""
+    keys = list(keys)
+    top = F.floor((F.col("n") - 1) / F.lit(size)).cast("long")
+    small = done.select(*keys, "n").distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), top)).alias("chunk"))
+    return df.withColumn("chunk", chunk_index(idx, size)).join(small, [*keys, "chunk"], "left_anti").drop("chunk")
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.core.fold import DEAD, chunked_fold
-from cadenza.core.layout import CHUNK, spread_join
+from cadenza.core.layout import CHUNK, spread_join, without_series
 from cadenza.core.num import rnd
 from cadenza.core.quantiles import quantiles
 from cadenza.operators.peaks import detect_repetitions
@@ -157,7 +157,7 @@ def cycles_or_partial(sig: DataFrame, keys: Sequence[str], value: str, fps: floa
     as partial repetitions, with ``range_status`` telling which."""
     keys = list(keys)
     full = cycles_threshold(sig, keys, value, fps, extended, flexed, size).withColumn("range_status", F.lit("complete"))
-    rest = sig.where("n >= 4").join(full.select(*keys).distinct(), keys, "left_anti")
+    rest = without_series(sig.where("n >= 4"), full, keys, size)
     tops = detect_repetitions(
         rest, keys, value, fps, 0.08, 8.0, 0.65, 1.4, min_range=float("-inf"), min_samples=0, size=size, least_distance=2
     )

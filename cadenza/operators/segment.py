@@ -68,8 +68,8 @@ def segment_by_peaks(sig: DataFrame, peaks: DataFrame, keys: Sequence[str], valu
     keys = list(keys)
     own = peaks.select(*keys, F.col("pose_idx").alias("key_idx"))
     if fallback:
-        bare = sig.join(own.select(*keys).distinct(), keys, "left_anti")
-        guess = stages_without_peaks(extremes(bare, keys, value)).where("n >= 4 AND stage_end > stage_start")
+        ends = extremes(sig, keys, value).join(own.select(*keys).distinct(), keys, "left_anti")
+        guess = stages_without_peaks(ends).where("n >= 4 AND stage_end > stage_start")
         own = own.unionByName(guess.select(*keys, F.col("stage_key").alias("key_idx")))
     mark = own.select(*keys, F.col("key_idx").alias("pose_idx"), F.lit(True).alias("_is_peak"))
     rows = sig.where("n >= 4").select(*keys, "pose_idx", "n", "time_ms", "quality", F.col(value).alias("_v"))
@@ -183,8 +183,7 @@ def stage_frames(sig: DataFrame, reps: DataFrame, keys: Sequence[str], value: st
     of the signal's extremes when a series has no rep."""
     keys = list(keys)
     chosen = median_rep(reps, keys).select(*keys, "n", "start_idx", "key_idx", "end_idx")
-    bare = sig.join(chosen.select(*keys), keys, "left_anti")
-    ends = stages_without_peaks(extremes(bare, keys, value))
+    ends = stages_without_peaks(extremes(sig, keys, value).join(chosen.select(*keys), keys, "left_anti"))
     plain = ends.select(
         *keys, "n", F.col("stage_start").alias("start_idx"), F.col("stage_key").alias("key_idx"),
         F.col("stage_end").alias("end_idx"), "stage_thirds",
