@@ -32,7 +32,7 @@ def rep_view(spark, d):
 
 
 @query("j1_nearest_join", FR + f""", pr AS (SELECT video_id, vec_id AS prior_id, CASE WHEN vec_id % 2 = 0 THEN vec_id + vec_id % 4 END AS fi, CASE WHEN vec_id % 2 = 1 THEN time_ms + 130 END AS tm, x{RW} AS px, y{RW} AS py, greatest(.75, v{RW}) AS pc
-  FROM fr WHERE vec_id % 3 = 0), hit AS (SELECT p.prior_id, arg_min(f.vec_id, struct_pack(d := CASE WHEN fi IS NOT NULL THEN abs(f.frame_index - fi) ELSE abs(f.time_ms - tm) END, h := f.pose_idx)) AS target
+  FROM fr), hit AS (SELECT p.prior_id, arg_min(f.vec_id, struct_pack(d := CASE WHEN fi IS NOT NULL THEN abs(f.frame_index - fi) ELSE abs(f.time_ms - tm) END, h := f.pose_idx)) AS target
   FROM pr p JOIN fr f ON p.video_id = f.video_id AND CASE WHEN fi IS NOT NULL THEN abs(f.frame_index - fi) <= 2 ELSE abs(f.time_ms - tm) <= 180 END GROUP BY 1),
  ap AS (SELECT target, list(struct_pack(x := px, y := py, c := pc) ORDER BY prior_id) AS ps FROM hit JOIN pr USING (prior_id) GROUP BY 1),
  z AS (SELECT video_id, pose_idx, CASE WHEN ps IS NULL THEN struct_pack(x := x{LK}, y := y{LK}, c := v{LK}) ELSE list_reduce(list_prepend(struct_pack(x := x{LK}, y := y{LK}, c := v{LK}), ps),
@@ -41,7 +41,7 @@ def rep_view(spark, d):
 def j1(spark, d):
     f = frames(spark, d)
     p, even = lm()[RW], F.col("vec_id") % 2 == 0
-    pri = f.where(F.col("vec_id") % 3 == 0).select(
+    pri = f.select(
         "video_id", F.col("vec_id").alias("prior_id"), F.when(even, F.col("vec_id") + F.col("vec_id") % 4).alias("frame_index"),
         F.when(~even, F.col("time_ms") + 130).alias("time_ms"), F.lit(LK).alias("slot"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"),
         F.greatest(F.lit(0.75), p["vis"]).alias("conf"))

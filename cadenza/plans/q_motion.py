@@ -51,10 +51,10 @@ def w14(spark, d):
 
 
 @query("w16_event_confidence", FR + f""", c AS (SELECT video_id, pose_idx, avg({q_min(LEG[0])}) OVER w AS c0, avg({q_min(LEG[1])}) OVER w AS c1, vec_id FROM fr WINDOW w AS (PARTITION BY video_id ORDER BY pose_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
- SELECT video_id, pose_idx AS key_idx, {rq('c0', 3)} AS conf_0, {rq('c1', 3)} AS conf_1, CASE WHEN {rq('c0', 3)} >= {rq('c1', 3)} THEN 0 ELSE 1 END AS best_side FROM c WHERE vec_id % 4 = 0""")
+ SELECT video_id, pose_idx AS key_idx, {rq('c0', 3)} AS conf_0, {rq('c1', 3)} AS conf_1, CASE WHEN {rq('c0', 3)} >= {rq('c1', 3)} THEN 0 ELSE 1 END AS best_side FROM c""")
 def w16(spark, d):
     f = frames(spark, d)
-    reps = f.where("vec_id % 4 = 0").select("video_id", F.col("pose_idx").alias("key_idx"), F.col("vec_id").alias("rep_index"))
+    reps = f.select("video_id", F.col("pose_idx").alias("key_idx"), F.col("vec_id").alias("rep_index"))
     out = activity.event_confidence(reps, f, V, [g.chain_min(lm(), LEG[0]), g.chain_min(lm(), LEG[1])])
     return out.select("video_id", "key_idx", "conf_0", "conf_1", "best_side")
 

@@ -227,17 +227,17 @@ def r8(spark, d):
     return review.arbitration_reasons(arb_results(spark, d), ["job"]).select("job", "code")
 
 
-@query("r9_apply_arbitration", f"""WITH {RS}, dec AS (SELECT l_orderkey AS job, l_linenumber AS no, CASE l_suppkey % 4 WHEN 0 THEN 'cap_score' WHEN 1 THEN 'confirm_algorithm' WHEN 2 THEN 'nonsense' ELSE 'mark_insufficient' END AS action, CASE WHEN l_partkey % 9 = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'X' END AS rc, 40 + l_quantity AS cap FROM lineitem WHERE l_linenumber <= 2),
+@query("r9_apply_arbitration", f"""WITH {RS}, dec AS (SELECT l_orderkey AS job, l_linenumber AS no, CASE l_suppkey % 4 WHEN 0 THEN 'cap_score' WHEN 1 THEN 'confirm_algorithm' WHEN 2 THEN 'nonsense' ELSE 'mark_insufficient' END AS action, CASE WHEN l_partkey % 9 = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'X' END AS rc, 40 + l_quantity AS cap, l_partkey, l_suppkey, l_shipdate, l_extendedprice FROM lineitem),
  c AS (SELECT job, bool_or(code = 'INSUFFICIENT_EVIDENCE') AS ins, min(CASE code WHEN 'ACTION_CLASS_UNCERTAIN' THEN 75 WHEN 'ACTIVE_WINDOW_UNCERTAIN' THEN 80 WHEN 'COUNT_UNSTABLE' THEN 85 END) AS cap, bool_or(code NOT IN ('STAGE_EVIDENCE_VISUAL_REVIEW', 'ACTION_SUBTYPE_VISUAL_REVIEW')) AS rv FROM rr GROUP BY 1),
  dd AS (SELECT job, bool_or(action = 'mark_insufficient' AND (coalesce(ins, false) OR rc = 'INSUFFICIENT_EVIDENCE')) AS mk, min(CASE WHEN action = 'cap_score' THEN dec.cap WHEN action = 'mark_insufficient' AND NOT (coalesce(ins, false) OR rc = 'INSUFFICIENT_EVIDENCE') THEN 80 END) AS cp,
-  bool_or(action = 'cap_score' AND dec.cap < 80 OR action = 'mark_insufficient' AND NOT (coalesce(ins, false) OR rc = 'INSUFFICIENT_EVIDENCE')) AS wn FROM dec LEFT JOIN c USING (job) GROUP BY 1),
+  bool_or(action = 'cap_score' AND dec.cap < 80 OR action = 'mark_insufficient' AND NOT (coalesce(ins, false) OR rc = 'INSUFFICIENT_EVIDENCE')) AS wn FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY no, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rn FROM dec WHERE action <> 'nonsense') WHERE rn <= 8) dec LEFT JOIN c USING (job) GROUP BY 1),
  z AS (SELECT rs.*, coalesce(ins, false) OR coalesce(mk, false) AS bad, least(c.cap, cp) AS cap, c.cap IS NOT NULL OR coalesce(wn, false) AS warn, coalesce(rv, false) AS review FROM rs LEFT JOIN c USING (job) LEFT JOIN dd USING (job))
  SELECT job, CASE WHEN bad THEN 0 ELSE least(overall_score, coalesce(cap, 1e9)) END::DOUBLE AS overall_score, CASE WHEN bad THEN 'not_applicable' WHEN warn AND safety_level = 'green' THEN 'yellow' ELSE safety_level END AS safety_level, CASE WHEN bad THEN 'insufficient' ELSE capture_quality END AS capture_quality, review FROM z""")
 def r9(spark, d):
     res = arb_results(spark, d)
     k = F.col("l_suppkey") % 4
     action = F.when(k == 0, "cap_score").when(k == 1, "confirm_algorithm").when(k == 2, "nonsense").otherwise("mark_insufficient")
-    dec = read(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("no"), action.alias("action"),
+    dec = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.struct("l_linenumber", *TIE).alias("no"), action.alias("action"),
         F.when(F.col("l_partkey") % 9 == 0, "INSUFFICIENT_EVIDENCE").otherwise("X").alias("reason_code"), (F.lit(40.0) + F.col("l_quantity")).alias("cap"))
     return review.apply_arbitration(res, review.arbitration_reasons(res, ["job"]), dec, ["job"])
 
