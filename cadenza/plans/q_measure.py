@@ -32,9 +32,9 @@ def a1b(spark, d):
     return measure.numeric_summary(spark.read.parquet(f"{d}/events.parquet").select("event_type", "value"), ["event_type"], "value", 9)
 
 
-@query("a2_robust_range", SIGG + """ SELECT user_id, round(coalesce(quantile_cont(v, .95) - quantile_cont(v, .05), 0), 6) AS range, round(coalesce(avg(v), 0), 6) AS mean FROM sig GROUP BY 1""")
+@query("a2_robust_range", SIGG + """ SELECT user_id, round(coalesce(quantile_cont(v, .95) - quantile_cont(v, .05), 0), 6) AS range, round(coalesce(avg(v), 0), 9) AS mean FROM sig GROUP BY 1""")
 def a2(spark, d):
-    return measure.robust_range(sig(spark, d, gaps=True), K, "v").select("user_id", r6("range"), r6("mean"))
+    return measure.robust_range(sig(spark, d, gaps=True), K, "v").select("user_id", r6("range"), F.round("mean", 9).alias("mean"))
 
 
 def q_series_cols():

@@ -89,7 +89,7 @@ SMOOTH_REPS = REPS.replace("FROM sig", "FROM sg").replace("JOIN sig s", "JOIN sg
 
 @query("flagship_rep_summary", SIG + f", sg AS (SELECT user_id, pose_idx, n, time_ms, quality, sm AS v FROM ({q_smooth('sig', 'v', 3, 'sm')}))" + PEAKS.replace("FROM sig", "FROM sg") + SMOOTH_REPS
        + """, ok AS (SELECT * FROM reps WHERE duration_s >= .35 AND duration_s <= 6 AND amplitude >= 3) SELECT user_id, count(*) AS rep_count, round(quantile_cont(amplitude, .5), 6) AS amplitude_p50,
- round(quantile_cont(amplitude, .95), 6) AS amplitude_p95, round(avg(duration_s), 6) AS avg_duration_s FROM ok GROUP BY 1""")
+ round(quantile_cont(amplitude, .95), 6) AS amplitude_p95, round(avg(duration_s), 9) AS avg_duration_s FROM ok GROUP BY 1""")
 def flagship(spark, d):
     """Smooth, find repetitions, validate, summarise per user."""
     s = materialise(smoothing.smooth(sig(spark, d), K, "v", odd_window(FPS * 0.25), "sm"))
@@ -97,7 +97,7 @@ def flagship(spark, d):
     valid, _ = segment.validate_reps(segment.segment_by_peaks(s, tops, K, "sm", FPS), K, F.lit("row"), FPS)
     q = quantiles(valid, K, {"amplitude_p50": ("amplitude", 0.5), "amplitude_p95": ("amplitude", 0.95)})
     base = valid.groupBy(*K).agg(F.count(F.lit(1)).alias("rep_count"), F.avg("duration_s").alias("avg_duration_s"))
-    return base.join(q, K).select("user_id", "rep_count", r6("amplitude_p50"), r6("amplitude_p95"), r6("avg_duration_s"))
+    return base.join(q, K).select("user_id", "rep_count", r6("amplitude_p50"), r6("amplitude_p95"), F.round("avg_duration_s", 9).alias("avg_duration_s"))
 
 
 # ---- cycle automata: the SQL side walks cycle by cycle in a recursive query ----------

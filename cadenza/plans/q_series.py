@@ -68,9 +68,10 @@ def w4(spark, d):
     return smoothing.interpolate(sig(spark, d, gaps=True), K, "v").select("user_id", "pose_idx", r6("filled"))
 
 
-@query("w4_fill_mean", SIGG + """ SELECT user_id, pose_idx, round(coalesce(v, avg(v) OVER (PARTITION BY user_id), 0), 6) AS filled FROM sig""")
+@query("w4_fill_mean", SIGG + """ SELECT user_id, pose_idx, round(coalesce(v, avg(v) OVER (PARTITION BY user_id), 0), 9) AS filled FROM sig""")
 def w4b(spark, d):
-    return smoothing.fill_with_mean(sig(spark, d, gaps=True), K, "v").select("user_id", "pose_idx", r6("filled"))
+    out = smoothing.fill_with_mean(sig(spark, d, gaps=True), K, "v")
+    return out.select("user_id", "pose_idx", F.round("filled", 9).alias("filled"))
 
 
 ENERGY = f""", d0 AS (SELECT *, abs(v - coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY pose_idx), v)) AS st FROM sig),
