@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.core.session import materialise
 from cadenza.functions import dims, geometry as g
 from cadenza.functions.dims import ACTION_NAMES, CAMERAS
 from cadenza.functions.landmarks import ARM, LEG, LH, LS, RH, RS, TRUNK
@@ -45,7 +46,7 @@ def with_action(fr):
 
 @query("w14_active_window")
 def w14(spark, d):
-    f = with_action(frames(spark, d))
+    f = with_action(materialise(frames(spark, d)))
     f = f.withColumn("quality", g.frame_quality(lm(), F.col("family"), F.col("action_type"))).withColumn("raw_signal", g.family_signal(lm(), F.col("family")))
     return activity.active_window(f, FPS).select("video_id", "action_type", "start_idx", "end_idx", "reason", "confidence")
 
@@ -79,7 +80,7 @@ def s8(spark, d):
 def stability_input(spark, d):
     modes = F.array(*[F.lit(m) for m in ("absolute_fixed", "relative_coupled", "absolute_supported", "primary_trunk_motion")])
     k = F.col("video_id")
-    return frames(spark, d).select(
+    return materialise(frames(spark, d)).select(
         "*", F.element_at(modes, (k % 4 + 1).cast("int")).alias("mode"), F.when(k % 3 == 0, "rear").when(k == 7, "front").otherwise("side").alias("camera_angle"),
         F.lit(4.5).alias("angle_threshold"), F.lit(4.0).alias("tilt_threshold"), F.lit(320).alias("minimum_ms"), F.lit(240).alias("recovery_ms"),
         F.when(k % 4 == 1, 9.0).otherwise(0.0).alias("max_coupled_angle"), g.family_signal(lm(), "squat").alias("move"))

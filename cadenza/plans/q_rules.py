@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.core.quantiles import quantiles
+from cadenza.core.session import materialise
 from cadenza.functions import dims, geometry as g
 from cadenza.functions.dims import ACTION_NAMES, ACTIONS, CAMERAS
 from cadenza.functions.landmarks import ARM, HINGE, LE, LEG, LH, LK, LS, LW, METRIC_CHAINS, RE, RH, RK, RS, RW, TRUNK
@@ -100,7 +101,7 @@ def r1(spark, d):
 
 def rep_input(spark, d):
     """Every frame is the key of one repetition that spans its neighbours."""
-    f = frames(spark, d)
+    f = materialise(frames(spark, d))
     n = F.col("n")
     reps = f.select(
         "video_id", F.col("pose_idx").alias("rep_index"), F.greatest(F.lit(0), F.col("pose_idx") - 3).alias("start_idx"), F.col("pose_idx").alias("key_idx"),
@@ -151,7 +152,7 @@ def r4(spark, d):
 
 @query("r5_infer_action")
 def r5(spark, d):
-    f = frames(spark, d)
+    f = materialise(frames(spark, d))
     sign = measure.movement_signature(measure.family_profile(f, FPS))
     slots = {"yl": (LE, "y"), "yr": (RE, "y"), "xl": (LE, "x"), "xr": (RE, "x")}
     ax = measure.axis_range(f, slots).join(measure.wrist_above_score(f), V)
