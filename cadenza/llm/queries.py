@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import simhash
+from cadenza.llm import chat, sharding, simhash
 from cadenza.llm.common import table
 from cadenza.llm.registry import query
 
@@ -14,3 +14,22 @@ from cadenza.llm.registry import query
 def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, d, "documents"))
     return near.select("doc_id", simhash.hex_bits(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+@query("op5_chat_format")
+def op5_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(own)
+    chats = chat.format_chats(chat.threads(rows), best=1)
+    read = chats.select("tree", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("loss")).alias("learned"))
+    said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op7_shards")
+def op7_shards(spark: SparkSession, d: str) -> DataFrame:
+    rows = sharding.interleaved_shards(table(spark, d, "documents"), shards=40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "stratum")
