@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, sharding, simhash
+from cadenza.llm import chat, sharding, simhash, spans
 from cadenza.llm.common import table
 from cadenza.llm.registry import query
 
@@ -33,3 +33,8 @@ def op5_chat_format(spark: SparkSession, d: str) -> DataFrame:
 def op7_shards(spark: SparkSession, d: str) -> DataFrame:
     rows = sharding.interleaved_shards(table(spark, d, "documents"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "stratum")
+
+
+@query("op9_sentence_spans")
+def op9_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.affected(table(spark, d, "documents"))
