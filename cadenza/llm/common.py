@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,3 +20,13 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def fold_of(doc_id: Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+
+
+def whole_row(df: DataFrame, alias: str = "row") -> Column:
+    """All columns of ``df`` as one struct, safe against clashing names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(alias)
+
+
+def row_and(df: DataFrame, more: str, row: str = "row") -> StructType:
+    """Schema of the struct column ``row`` of ``df`` followed by the columns ``more`` (DDL)."""
+    return StructType([df.schema[row], *StructType.fromDDL(more).fields])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, sharding, simhash, spans
+from cadenza.llm import chat, pieces, sharding, simhash, spans, token_counts
 from cadenza.llm.common import table
 from cadenza.llm.registry import query
 
@@ -38,3 +39,15 @@ def op7_shards(spark: SparkSession, d: str) -> DataFrame:
 @query("op9_sentence_spans")
 def op9_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.affected(table(spark, d, "documents"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, d, "documents").select("doc_id", "text"), model), model)
+    return back.select("doc_id", "n_ids", "ids", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))

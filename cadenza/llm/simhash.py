@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.core.session import materialise
-from cadenza.llm.common import doc_key
+from cadenza.llm.common import doc_key, whole_row
 from cadenza.llm.graph import connected_components
 
 BLOCK = 1 << 15  # shingles hashed at a time
@@ -138,7 +138,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most:
     order = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")
     stay = _rooted(marked, F.min(order), most).groupBy("root").agg(F.min("least").alias("s"))
     stay = materialise(stay.select(F.coalesce("s.k_id", F.lit(0)).alias("s_id"), "s.none", F.col("s.k_text").alias("s_text")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *doc_key(doc_id, text))
+    packed = docs.select(whole_row(docs), *doc_key(doc_id, text))
     kept = packed.join(stay, (F.coalesce("k_id", F.lit(0)) == F.col("s_id")) & (F.col("k_id").isNull() == F.col("none")) & (F.col("k_text") == F.col("s_text")))
     nth = F.row_number().over(Window.partitionBy("s_id", "none", "s_text").orderBy("s_id"))
     return kept.withColumn("nth", nth).where("nth = 1").select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.core.session import materialise
-from cadenza.llm.common import doc_key
+from cadenza.llm.common import doc_key, row_and, whole_row
 
 RUN, WORDS, LONG = 3, 15, 24
 ENDS = re.compile(r"((?<=[.!?])\s+|\s*\n\s*)")
@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     search: their repeats are those of that document, so both keep the same
     text.  A text that only repeats earlier ones becomes empty.  An empty
     table gives an empty result; columns of any name pass through."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *doc_key(doc_id, text), F.col(text).cast("string").alias("text"))
+    packed = docs.select(whole_row(docs), *doc_key(doc_id, text), F.col(text).cast("string").alias("text"))
     joined = packed.join(_covered(docs, doc_id, text), _meets(), "left").select("row", "text", "spans")
-    out = joined.mapInArrow(_cut, f"row {packed.schema['row'].dataType.simpleString()}, left string, n_units long, n_removed long, words_removed long")
+    out = joined.mapInArrow(_cut, row_and(packed, "left string, n_units long, n_removed long, words_removed long"))
     return out.select(*[F.col("left").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
