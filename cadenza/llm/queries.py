@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, pieces, sharding, simhash, spans, token_counts
+from cadenza.llm import chat, decontaminate, pieces, sharding, simhash, spans, token_counts
 from cadenza.llm.common import table
 from cadenza.llm.registry import query
 
@@ -51,3 +51,8 @@ def op10_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     back = pieces.decode(pieces.encode(table(spark, d, "documents").select("doc_id", "text"), model), model)
     return back.select("doc_id", "n_ids", "ids", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
