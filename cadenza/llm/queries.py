@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, pieces, sharding, simhash, spans, token_counts
+from cadenza.llm import chat, decontaminate, pieces, sharding, simhash, spans, token_counts, toxicity
 from cadenza.llm.common import table
 from cadenza.llm.registry import query
 
@@ -56,3 +56,8 @@ def op10_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 @query("op4_decontaminate")
 def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"), threshold=0.7)
