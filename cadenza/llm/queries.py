@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, pieces, sharding, simhash, spans, token_counts, toxicity
+from cadenza.llm import chat, decontaminate, maxscore, pieces, quality, sharding, simhash, spans, token_counts, toxicity
 from cadenza.llm.common import table
 from cadenza.llm.registry import query
 
@@ -61,3 +61,28 @@ def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"), threshold=0.7)
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"), threshold=0.3)
+
+
+TOP_K_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+
+@query("op3_maxscore", TOP_K_SQL)
+def op3_maxscore(spark: SparkSession, d: str) -> DataFrame:
+    return maxscore.top_k(table(spark, d, "embeddings"), every=100, k=10)
