@@ -1,10 +1,28 @@
-"""Corpus pipeline: toxicity, near-dedup, substring dedup, decontamination, SentencePiece."""
+"""Corpus pipeline: toxicity, near-dedup, substring dedup, decontamination, SentencePiece.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor
+kept and returns the columns of ``documents``; the last one adds the ids and
+writes the decoded text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.core.session import materialise
+from cadenza.llm import decontaminate, pieces, simhash, spans, toxicity
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+TOXIC = 0.7
 
-from cadenza.llm import simhash
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score TOXIC or more go."""
+    net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.with_scores(docs, net, score="toxicity_score")
+    return scored.where(F.col("toxicity_score") < TOXIC).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +30,41 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of sentences are cut out of the texts; n_chars follows."""
+    cut = spans.remove_repeats(docs)
+    changed = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.withColumn("n_chars", changed).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text read back from them."""
+    return pieces.decode(pieces.encode(docs, MODEL), MODEL, into="text").select(*docs.columns, "ids", "n_ids")
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece_ids),
+]
 
-#: The stages train a network and run trained tokenizers, which SQL cannot express.
+#: The stages train a network, compare fingerprints and run a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage leaves is written to the
+    shared checkpoint folder before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
     return docs
