@@ -28,7 +28,8 @@ HIDDEN, DIM, POOL = 8, 8, 8
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 13
 SAMPLE = 2500  # labelled documents per class that the network is fitted on
 SHOWN = 8  # windows of one training document that are kept for fitting
-EPOCHS, BATCH, RATE = 12, 256, 0.01
+COMMON = 4  # training documents that must hold a word before it has a view of its own
+EPOCHS, STEPS, BATCH, RATE = 10, 600, 64, 0.01  # passes over the sample, more where they make fewer than STEPS updates
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -218,6 +219,11 @@ def fit(sample: list[tuple[int, list[list[str]]]], seed: int = 11) -> Network |
     windows = np.array([[row[w] for w in x] + [0] * (WINDOW - len(x)) for _, ws in sample for x in ws], np.int32)
     owner = np.array([k for k, (_, ws) in enumerate(sample) for _ in ws])
     label = np.array([y for y, _ in sample], np.float32)
+    pair = np.unique(np.repeat(owner, WINDOW) * (len(names) + 1) + windows.ravel())
+    spread = np.bincount(pair % (len(names) + 1), minlength=len(names) + 1)[1:]
+    known = np.zeros(WORD_BUCKETS, bool)
+    known[buckets[spread >= COMMON]] = True
+    net.p["word"][~known] = 0  # words of few documents are read by their characters alone
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -227,7 +233,8 @@ def fit(sample: list[tuple[int, list[list[str]]]], seed: int = 11) -> Network |
         at = np.cumsum(n) - n
         return buckets[used], at, grams[np.repeat(ends[used] - at, n) + np.arange(n.sum())]
 
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // (2 * len(sample))))
+    for epoch in range(epochs):
         if epoch == 0:
             pick = np.arange(len(windows))
             pick = pick[rng.random(len(pick)) < min(1.0, 4 * len(sample) / len(pick))]
@@ -248,8 +255,9 @@ def fit(sample: list[tuple[int, list[list[str]]]], seed: int = 11) -> Network |
                 ids = ids + 1
             y = label[owner[chosen]]
             g = net.gradient(ids, y, np.ones(len(chosen)), subset(used - 1))
+            g["word"][~known] = 0
             step += 1
-            rate = RATE * min(1.0, step / 20) * (1 - 0.9 * epoch / EPOCHS)
+            rate = RATE * min(1.0, step / 20) * (1 - 0.9 * epoch / epochs)
             for name, value in g.items():
                 first[name] += 0.1 * (value - first[name])
                 second[name] += 0.001 * (value * value - second[name])
