@@ -2,9 +2,12 @@
 
 ``percentile`` keeps all distinct values of a group in one task, which is fine
 for a series known to be short (its length ``n`` is on the rows).  For longer
-ones values are pre-aggregated to (group, value) counts, an order-preserving
-logarithmic bucket gives a bounded histogram per group, and only the buckets
-that hold a requested rank are opened.
+ones values are pre-aggregated to (group, value) counts and ranks are sought in
+bounded histograms: first over logarithmic buckets, then over PARTS equal parts
+between the least and greatest value of each bucket that holds a requested
+rank, as often as such parts still hold many values.  Both ways interpolate by
+the same formula and keep a row of NULLs for a group without values, so the
+choice never shows in a result.
 """
 
 from __future__ import annotations
@@ -14,7 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.core.session import materialise
+
 SHORT = 100_000  # series up to this length use the built-in aggregate
+PARTS = 4096  # parts of an opened bucket
+WIDE = 50_000  # values of a bucket that one task may rank
 _PER_OCTAVE = 512
 _TINY = 1e-12
 
@@ -52,38 +59,32 @@ def ranked_quantiles(
 ) -> DataFrame:
     """``quantiles`` for groups of any size."""
     keys = list(keys)
-    measures: list[tuple[str, Column]] = []
+    measures: list[Column] = []
     ids: dict[str, int] = {}
     wanted: list[tuple[int, int, float]] = []
-    for spec, (name, (value, p)) in enumerate(specs.items()):
-        label = value if isinstance(value, str) else str(value)
-        if label not in ids:
-            ids[label] = len(measures)
-            measures.append((label, F.col(value) if isinstance(value, str) else value))
-        wanted.append((spec, ids[label], p))
+    for spec, (value, p) in enumerate(specs.values()):
+        known = ids.get(value) if isinstance(value, str) else None
+        if known is None:
+            known = len(measures)
+            measures.append(F.col(value) if isinstance(value, str) else value)
+            if isinstance(value, str):
+                ids[value] = known
+        wanted.append((spec, known, p))
 
     if len(measures) == 1:
-        long = df.select(*keys, F.lit(0).alias("_m"), measures[0][1].cast("double").alias("_v"))
+        long = df.select(*keys, F.lit(0).alias("_m"), measures[0].cast("double").alias("_v"))
     else:
-        pairs = [
-            F.struct(F.lit(i).alias("m"), c.cast("double").alias("v"))
-            for i, (_, c) in enumerate(measures)
-        ]
-        long = df.select(*keys, F.explode(F.array(*pairs)).alias("_p")).select(
-            *keys, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v")
-        )
-    long = long.where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn(
-        "_b", value_bucket(F.col("_v"))
-    )
-    cells = long.groupBy(*keys, "_m", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    hist = cells.groupBy(*keys, "_m", "_b").agg(F.sum("_c").alias("_hc"))
-    group = Window.partitionBy(*keys, "_m")
-    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(
-        *keys, "_m", "_b", "_hc",
-        F.coalesce(F.sum("_hc").over(before), F.lit(0)).alias("_lo"),
-        F.sum("_hc").over(group).alias("_total"),
-    )
+        pairs = [F.struct(F.lit(i).alias("m"), c.cast("double").alias("v")) for i, c in enumerate(measures)]
+        long = df.select(*keys, F.explode(F.array(*pairs)).alias("_p")).select(*keys, F.col("_p.m").alias("_m"), F.col("_p.v").alias("_v"))
+    long = long.withColumn("_v", F.when(~F.isnan("_v"), F.col("_v") + 0.0))
+    cells = long.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # a NULL value marks that its group exists
+    exists = cells.where(F.col("_v").isNull()).select(*keys).distinct()
+    cells = cells.where(F.col("_v").isNotNull()).withColumn("_b", value_bucket(F.col("_v")))
+    group = [*keys, "_m"]
+    hist = _counted(cells, group)
+    whole = Window.partitionBy(*group)
+    hist = hist.withColumn("_total", F.sum("_hc").over(whole))
     ranks = F.array(
         *[
             F.struct(
@@ -95,30 +96,51 @@ def ranked_quantiles(
             for side in (0, 1)
         ]
     )
-    inside = F.filter(
-        ranks,
-        lambda r: (r["m"] == F.col("_m"))
-        & (r["rank"] >= F.col("_lo"))
-        & (r["rank"] < F.col("_lo") + F.col("_hc")),
-    )
-    open_buckets = hist.select(*keys, "_m", "_b", "_lo", "_total", inside.alias("_t")).where(F.size("_t") > 0)
-    within = Window.partitionBy(*keys, "_m", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    opened = cells.join(open_buckets, [*keys, "_m", "_b"]).withColumn(
-        "_at", F.col("_lo") + F.coalesce(F.sum("_c").over(within), F.lit(0))
-    )
+    open_buckets = _holding(hist.withColumn("_t", F.filter(ranks, lambda r: r["m"] == F.col("_m"))))
+    group = [*group, "_b"]
+    opened = cells.join(open_buckets.select(*group, "_lo", "_least", "_most", "_t"), group)
+    while open_buckets.where(F.col("_values") > WIDE).limit(1).count():
+        opened = materialise(opened)
+        width = F.col("_most") - F.col("_least")
+        part = F.least(F.lit(PARTS - 1), F.floor((F.col("_v") - F.col("_least")) / width * PARTS)).cast("long")
+        level = f"_b{len(group)}"
+        inner = opened.withColumn(level, F.when(width > 0, part).otherwise(0))
+        base = inner.groupBy(*group).agg(F.first("_lo").alias("_from"), F.first("_t").alias("_t"))
+        fine = _counted(inner.select(*group, F.col(level).alias("_part"), "_v", "_c"), group, "_part").join(base, group)
+        open_buckets = _holding(fine.withColumn("_lo", F.col("_lo") + F.col("_from"))).withColumnRenamed("_part", level)
+        group = [*group, level]
+        opened = inner.drop("_lo", "_least", "_most", "_t").join(open_buckets.select(*group, "_lo", "_least", "_most", "_t"), group)
+    within = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    opened = opened.withColumn("_at", F.col("_lo") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
     hits = opened.select(
-        *keys, "_v", "_total",
+        *keys, "_v",
         F.explode(
             F.filter("_t", lambda r: (r["rank"] >= F.col("_at")) & (r["rank"] < F.col("_at") + F.col("_c")))
         ).alias("_r"),
     )
+    hits = hits.unionByName(exists, allowMissingColumns=True)
 
     def pick(spec: int, side: int) -> Column:
         return F.max(F.when((F.col("_r.spec") == spec) & (F.col("_r.side") == side), F.col("_v")))
 
     aggs = []
     for spec, name in enumerate(specs):
-        part = F.max(F.when(F.col("_r.spec") == spec, F.col("_r.pos") - F.floor(F.col("_r.pos"))))
+        pos = F.max(F.when(F.col("_r.spec") == spec, F.col("_r.pos")))
         lo, hi = pick(spec, 0), pick(spec, 1)
-        aggs.append((lo + (hi - lo) * part).alias(name))
+        between = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
+        aggs.append(F.when((F.floor(pos) == F.ceil(pos)) | (lo == hi), lo).otherwise(between).alias(name))
     return hits.groupBy(*keys).agg(*aggs)
+
+
+def _counted(cells: DataFrame, group: list[str], bucket: str = "_b") -> DataFrame:
+    """Histogram of the buckets of a group: count, first rank, number of values and range."""
+    hist = cells.groupBy(*group, bucket).agg(
+        F.sum("_c").alias("_hc"), F.count(F.lit(1)).alias("_values"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumn("_lo", F.coalesce(F.sum("_hc").over(before), F.lit(0)))
+
+
+def _holding(hist: DataFrame) -> DataFrame:
+    """Buckets that hold a requested rank, with those ranks."""
+    inside = F.filter("_t", lambda r: (r["rank"] >= F.col("_lo")) & (r["rank"] < F.col("_lo") + F.col("_hc")))
+    return hist.withColumn("_t", inside).where(F.size("_t") > 0)

@@ -80,30 +80,34 @@ def repair_text(c: Column) -> Column:
     return F.when(~suspicious, translate_terms(original)).when(better, translate_terms(candidate)).otherwise("")
 
 
-def clean_text(c: Column, maximum: int) -> Column:
-    """Trim, hide tool words, cap."""
+def _capped(c: Column, maximum: int | None) -> Column:
+    return c if maximum is None else F.substring(c, 1, maximum)
+
+
+def clean_text(c: Column, maximum: int | None = None) -> Column:
+    """Trim and hide tool words; ``maximum`` cuts the text, None keeps all of it."""
     c = F.trim(c)
     for word in BANNED:
         c = F.replace(c, F.lit(word), F.lit(BANNED_REPLACEMENT))
-    return F.substring(c, 1, maximum)
+    return _capped(c, maximum)
 
 
-def squeeze(c: Column, maximum: int) -> Column:
-    """Collapse white space, trim, cap."""
-    return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, maximum)
+def squeeze(c: Column, maximum: int | None = None) -> Column:
+    """Collapse white space and trim."""
+    return _capped(F.trim(F.regexp_replace(c, r"\s+", " ")), maximum)
 
 
-def clean_list(items: Column, max_items: int, max_chars: int) -> Column:
-    cleaned = F.transform(items, lambda t: clean_text(t, max_chars))
-    return F.slice(F.filter(cleaned, lambda t: t != ""), 1, max_items)
+def clean_list(items: Column, max_items: int | None = None, max_chars: int | None = None) -> Column:
+    cleaned = F.filter(F.transform(items, lambda t: clean_text(t, max_chars)), lambda t: t != "")
+    return cleaned if max_items is None else F.slice(cleaned, 1, max_items)
 
 
-def drop_sentences(c: Column, patterns: Sequence[str] = (FILMING, METRIC_WORDS), maximum: int = 220) -> Column:
+def drop_sentences(c: Column, patterns: Sequence[str] = (FILMING, METRIC_WORDS), maximum: int | None = None) -> Column:
     """Keep the sentences that match none of the patterns."""
-    text = squeeze(c, 2 * maximum)
+    text = squeeze(c, None if maximum is None else 2 * maximum)
     sentences = F.transform(F.regexp_extract_all(text, F.lit("[^。！？!?；;]+[。！？!?；;]?"), F.lit(0)), lambda s: F.trim(s))
     keep = lambda s: (s != "") & ~_any(s, patterns)
-    return F.substring(F.array_join(F.filter(sentences, keep), ""), 1, maximum)
+    return _capped(F.array_join(F.filter(sentences, keep), ""), maximum)
 
 
 def _any(s: Column, patterns: Sequence[str]) -> Column:

@@ -116,7 +116,7 @@ def latest_jobs(patches: DataFrame, fields: Sequence[str], job: str = "job_id",
 def expire(jobs: DataFrame, now: Column, days: float) -> DataFrame:
     """Drop records not touched for ``days``; undated ones stay."""
     stamp = F.coalesce("updated_at", "created_at")
-    keep = stamp.isNull() | (stamp >= now - F.expr(f"INTERVAL '{int(days)}' DAY"))
+    keep = stamp.isNull() | (stamp >= now - F.make_dt_interval(secs=F.lit(round(days * 86400, 6))))
     return jobs.where(keep) if days > 0 else jobs
 
 
@@ -125,9 +125,12 @@ def recover(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("recovered", interrupted).withColumn("status", F.when(interrupted, "queued").otherwise(F.col("status")))
 
 
-def list_jobs(jobs: DataFrame) -> DataFrame:
-    """Newest first, per user."""
-    return jobs.orderBy("user_key", F.desc("created_at"), F.desc("job_id"))
+def list_jobs(jobs: DataFrame, user: str = "user_key", day: str = "created_on", job: str = "job_id") -> DataFrame:
+    """``position`` of every job in its user's list, newest first; a day of one
+    user is ranked in one task, never a user."""
+    d = jobs.withColumn("_age", -F.unix_date(day).cast("long")).withColumn("_no", -F.col(job))
+    out = with_ordinal(d, [user], ["_age", "_no"], F.col("_age"), "_p", "_c")
+    return out.withColumn("position", F.col("_p") + 1).drop("_age", "_no", "_p", "_c")
 
 
 def pick_engine(frames: DataFrame, keys: Sequence[str], order: Sequence[str], strict: bool = False) -> DataFrame:

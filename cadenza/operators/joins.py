@@ -152,8 +152,12 @@ def rep_keyframes(reps: DataFrame, frames: DataFrame, keys: Sequence[str], paylo
 
 
 def join_or_position(a: DataFrame, b: DataFrame, group: Sequence[str], key: str, position: str, payload: Sequence[str]) -> DataFrame:
-    """Match by id, else by position inside the group."""
-    by_id = b.select(*group, key, *[F.col(c).alias(f"_i_{c}") for c in payload])
-    by_pos = b.select(*group, position, *[F.col(c).alias(f"_p_{c}") for c in payload])
+    """Match by id, else by position inside the group.  Where an id or a position
+    occurs more than once in ``b``, the row with the least payload counts, so no
+    row of ``a`` is multiplied."""
+    row = F.struct(*payload)
+    by_id = b.groupBy(*group, key).agg(F.min(row).alias("_i"))
+    by_pos = b.groupBy(*group, position).agg(F.min(row).alias("_p"))
     d = a.join(by_id, [*group, key], "left").join(by_pos, [*group, position], "left")
-    return d.select(*a.columns, *[F.coalesce(f"_i_{c}", f"_p_{c}").alias(c) for c in payload])
+    best = F.coalesce("_i", "_p")
+    return d.select(*a.columns, *[best[c].alias(c) for c in payload])

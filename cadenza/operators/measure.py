@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.core.layout import over_neighbours, spread_join
-from cadenza.core.num import clamp, odd_window, rnd
+from cadenza.core.num import clamp, finite, odd_window, rnd
 from cadenza.core.quantiles import quantiles
 from cadenza.functions import geometry as g
 from cadenza.functions.dims import LOWER_BODY, MATCH_FAMILIES, UPPER_BODY, family_group
@@ -23,7 +23,8 @@ def numeric_summary(df: DataFrame, keys: Sequence[str], value: str, digits: int
     """Count, extremes, mean and percentiles of the finite values per key; a key
     without any keeps count 0 and NULLs."""
     keys = list(keys)
-    v = F.when(~F.isnan(value), F.col(value))
+    v = finite(F.col(value))
+    df = df.withColumn(value, v)
     base = df.groupBy(*keys).agg(
         F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean")
     )

@@ -39,7 +39,8 @@ def separate(cands: DataFrame, keys: Sequence[str], value: str, distance: int, s
     the neighbours' decisions known, so the result equals one global pass.
     """
     keys, params = list(keys), list(params)
-    halo = min(size, 8 * distance)
+    halo = 8 * distance
+    size = max(size, halo)  # a decision looks one distance around, so a chunk and its halo always settle some
     todo = cands.select(*keys, "pose_idx", "n", value, *params, F.lit(None).cast("boolean").alias("_kept"))
     while True:
         padded = with_halo(todo, halo, halo, size)

@@ -1,7 +1,7 @@
 """Rule tables: measurements and repetitions to issues.
 
-A rule is a code and a condition; every row evaluates all rules as one array of
-conditional structs and keeps the ones that fired, in rule order.
+A rule is a code and a condition; every row evaluates all rules to one array of
+the numbers that fired, and only those become rows with code and severity.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.core.num import rnd
 from cadenza.core.quantiles import quantiles
+from cadenza.core.rangejoin import first_per
 from cadenza.functions import geometry as g
 from cadenza.functions.dims import ACTION_OF_FAMILY, LOWER_BODY, UPPER_BODY, family_group
 from cadenza.functions.landmarks import ARM, HINGE, LA, LE, LEG, LH, LK, LS, LW, POSE_FLOOR, RA, RE, RH, RK, RS, RW, TRUNK
@@ -25,14 +26,13 @@ FRONT_VIEWS = ["front", "front_oblique"]
 
 def fire(rules: Sequence[tuple], df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Explode the rules that hold: ``(code, condition[, severity[, metric]])``."""
-    entries = []
-    for no, rule in enumerate(rules):
-        code, cond = rule[0], rule[1]
-        severity = rule[2] if len(rule) > 2 else "yellow"
-        metric = rule[3] if len(rule) > 3 else F.lit(None).cast("string")
-        entries.append(F.when(cond, F.struct(F.lit(no).alias("rule_no"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), metric.alias("metric"))))
-    fired = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return df.select(*keys, F.explode(fired).alias("i")).select(*keys, "i.*")
+    numbers = F.filter(F.array(*[F.when(rule[1], F.lit(no)) for no, rule in enumerate(rules)]), lambda no: no.isNotNull())
+    measured = any(len(rule) > 3 for rule in rules)
+    rows = df.select(*keys, *([F.array(*[r[3] if len(r) > 3 else F.lit(None).cast("string") for r in rules]).alias("_metrics")] if measured else []), numbers.alias("_fired"))
+    rows = rows.withColumn("rule_no", F.explode("_fired"))
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rule_no") + 1)
+    metric = F.element_at("_metrics", F.col("rule_no") + 1) if measured else F.lit(None).cast("string")
+    return rows.select(*keys, "rule_no", of([r[0] for r in rules]).alias("code"), of([r[2] if len(r) > 2 else "yellow" for r in rules]).alias("severity"), metric.alias("metric"))
 
 
 def set_rules(m: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -254,7 +254,7 @@ def rep_rules(reps: DataFrame, frames: DataFrame, keys: Sequence[str], sides: Da
     judge((fam == "isolation_hip") & is_("standing_hip_abduction", "seated_hip_abduction"), best("knee"), "hipAbductionPath",
           ("HIP_ABDUCTION_RANGE_LIMITED", ~(seated & cam.isin("side", "side_rear")) & (c("amplitude") < F.when(seated, 12.0).otherwise(10.0))))
     fired = fire([(x[0], F.coalesce(x[1], F.lit(False)), *x[2:]) for x in rules], r, [*keys, "rep_index"])
-    return fired.dropDuplicates([*keys, "rep_index", "code"])
+    return first_per(fired, [*keys, "rep_index", "code"], [F.col("rule_no")])
 
 
 def movement_match(signature: DataFrame, expected_family: Column, keys: Sequence[str]) -> DataFrame:

@@ -18,29 +18,29 @@ from cadenza.operators.measure import coupling_fit, noise_threshold
 from cadenza.operators.smoothing import baseline_window, interpolate, smooth_many
 
 
-def hysteresis(df: DataFrame, keys: Sequence[str], state: str = "state", score: str = "score", recovery: Column | int = 2,
-               max_recovery: int = 8) -> DataFrame:
+def hysteresis(df: DataFrame, keys: Sequence[str], state: str = "state", score: str = "score",
+               recovery: Column | int = 2) -> DataFrame:
     """Recovery after unstable frames.
 
     While active, a frame scoring at most .55 is ``recovering``, any other turns
     ``unstable`` again; ``recovery`` consecutive low frames end the phase, an
     unknown frame ends it at once.  A phase is active exactly when the last
     unstable frame lies after the last unknown one and after the last completed
-    run of low frames, so three carried indexes replace the automaton.
+    run of low frames, so carried indexes replace the automaton.  The length of
+    a run is the distance to the last frame that is not low, so ``recovery`` may
+    be any number of frames.
     """
     s, i = F.col(state), F.col("pose_idx")
     need = F.lit(recovery) if isinstance(recovery, int) else recovery
-    calm = (F.col(score) <= 0.55) & ~s.isin("unknown", "unstable")
-    runs = lambda w: F.collect_list(calm.cast("int")).over(w.rowsBetween(-(max_recovery - 1), 0))
-    d = over_neighbours(df, keys, {"_calm": runs}, max_recovery, 0)
-    tail = F.slice(F.reverse("_calm"), 1, need.cast("int"))
-    done = (F.size(tail) >= need) & F.forall(tail, lambda x: x == 1)
+    calm = F.coalesce((F.col(score) <= 0.55) & ~s.isin("unknown", "unstable"), F.lit(False))
     at = lambda cond: F.when(cond, i)
+    d = scan(df, keys, {"_restless": at(~calm)})
+    done = i - F.coalesce("_restless", F.lit(-1)) >= F.greatest(need, F.lit(1))
     d = scan(d, keys, {"_u": at(s == "unstable"), "_k": at(s == "unknown"), "_d": at(done)}, inclusive=False)
     none = F.lit(-1)
     active = F.col("_u").isNotNull() & (F.coalesce("_k", none) < F.col("_u")) & (F.coalesce("_d", none) < F.col("_u"))
     out = F.when(~s.isin("unknown", "unstable") & active, F.when(F.col(score) <= 0.55, "recovering").otherwise("unstable")).otherwise(s)
-    return d.withColumn(state, out).drop("_calm", "_u", "_k", "_d")
+    return d.withColumn(state, out).drop("_restless", "_u", "_k", "_d")
 
 
 def stability_judgments(frames: DataFrame, fps: float, keys: Sequence[str] = ("video_id",), movement: str | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def stability_judgments(frames: DataFrame, fps: float, keys: Sequence[str] = ("v
     d = scan(d, keys, {"_pb": other}, {"_nb": other})
     length = F.coalesce("_nb", "n") - F.coalesce("_pb", F.lit(-1)) - 1
     d = d.withColumn("state", F.when(F.col("state") == "candidate", F.when(length >= frames_of("minimum_ms"), "unstable").otherwise("watch")).otherwise(F.col("state")))
-    d = hysteresis(d, keys, recovery=frames_of("recovery_ms"), max_recovery=max(2, int(fps)))
+    d = hysteresis(d, keys, recovery=frames_of("recovery_ms"))
     off = F.col("mode").isin("disabled", "primary_trunk_motion")
     blind = ~F.col("camera_angle").isin(STABILITY_VIEWS)
     d = d.withColumn("state", F.when(off, "not_evaluated").when(blind, "unknown").otherwise(F.col("state")))

@@ -122,10 +122,7 @@ def j13(spark, d):
     a = with_ordinal(li, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_linenumber"], F.floor(F.col("l_partkey") / 64), "p", "c")
     a = a.select(F.col("l_orderkey").alias("job"), F.col("l_partkey").alias("vid"), (F.col("p") + 1).alias("pos"))
     b = a.select("job", F.when(F.col("vid") % 3 == 0, -F.col("vid")).otherwise(F.col("vid")).alias("vid"), "pos", (F.col("vid") * 10).alias("score"))
-    by_id = b.groupBy("job", "vid").agg(F.min("score").alias("score"))
-    by_pos = b.select("job", "pos", F.col("score").alias("_s"))
-    out = a.join(by_id, ["job", "vid"], "left").join(by_pos, ["job", "pos"], "left")
-    return out.select("job", "vid", "pos", F.coalesce("score", "_s").alias("score"))
+    return joins.join_or_position(a, b, ["job"], "vid", "pos", ["score"]).select("job", "vid", "pos", "score")
 
 
 # ---- evaluation --------------------------------------------------------------------

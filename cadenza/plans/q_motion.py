@@ -62,19 +62,20 @@ def w16(spark, d):
 
 @query("s8_hysteresis", SIG + """, st AS (SELECT user_id, pose_idx, n, CASE WHEN quality < .06 THEN 'unknown' WHEN v >= 90 THEN 'unstable' WHEN v >= 58 THEN 'watch' ELSE 'stable' END AS state, v / 90 AS score FROM sig),
  l AS (SELECT user_id, list(struct_pack(i := pose_idx, s := state, x := score) ORDER BY pose_idx) AS a FROM st GROUP BY 1),
- f AS (SELECT user_id, list_reduce(list_prepend(struct_pack(act := false, rec := 0, st := 'none', nxt := NULL::STRUCT(i BIGINT, s VARCHAR, x DOUBLE), o := []::STRUCT(i BIGINT, s VARCHAR)[]),
+ f AS (SELECT user_id, need, list_reduce(list_prepend(struct_pack(act := false, rec := 0, st := 'none', nxt := NULL::STRUCT(i BIGINT, s VARCHAR, x DOUBLE), o := []::STRUCT(i BIGINT, s VARCHAR)[]),
   list_transform(a, lambda q: struct_pack(act := false, rec := 0, st := 'none', nxt := q, o := []::STRUCT(i BIGINT, s VARCHAR)[]))), lambda z, q:
   CASE WHEN q.nxt.s = 'unknown' THEN struct_pack(act := false, rec := 0, st := 'x', nxt := q.nxt, o := list_append(z.o, struct_pack(i := q.nxt.i, s := 'unknown')))
    WHEN q.nxt.s = 'unstable' THEN struct_pack(act := true, rec := 0, st := 'x', nxt := q.nxt, o := list_append(z.o, struct_pack(i := q.nxt.i, s := 'unstable')))
    WHEN NOT z.act THEN struct_pack(act := false, rec := z.rec, st := 'x', nxt := q.nxt, o := list_append(z.o, struct_pack(i := q.nxt.i, s := q.nxt.s)))
-   WHEN q.nxt.x <= .55 THEN struct_pack(act := z.rec + 1 < 3, rec := CASE WHEN z.rec + 1 < 3 THEN z.rec + 1 ELSE 0 END, st := 'x', nxt := q.nxt, o := list_append(z.o, struct_pack(i := q.nxt.i, s := 'recovering')))
-   ELSE struct_pack(act := true, rec := 0, st := 'x', nxt := q.nxt, o := list_append(z.o, struct_pack(i := q.nxt.i, s := 'unstable'))) END).o AS o FROM l)
- SELECT user_id, r.i AS pose_idx, r.s AS state FROM (SELECT user_id, unnest(o) AS r FROM f)""")
+   WHEN q.nxt.x <= .55 THEN struct_pack(act := z.rec + 1 < need, rec := CASE WHEN z.rec + 1 < need THEN z.rec + 1 ELSE 0 END, st := 'x', nxt := q.nxt, o := list_append(z.o, struct_pack(i := q.nxt.i, s := 'recovering')))
+   ELSE struct_pack(act := true, rec := 0, st := 'x', nxt := q.nxt, o := list_append(z.o, struct_pack(i := q.nxt.i, s := 'unstable'))) END).o AS o FROM l, (VALUES (3), (12)) AS t(need))
+ SELECT user_id, need, r.i AS pose_idx, r.s AS state FROM (SELECT user_id, need, unnest(o) AS r FROM f)""")
 def s8(spark, d):
     s = sig(spark, d)
     st = F.when(F.col("quality") < 0.06, "unknown").when(F.col("v") >= 90, "unstable").when(F.col("v") >= 58, "watch").otherwise("stable")
     rows = s.select("user_id", "pose_idx", "n", st.alias("state"), (F.col("v") / 90).alias("score"))
-    return stability.hysteresis(rows, K, recovery=3).select("user_id", "pose_idx", "state")
+    both = rows.withColumn("need", F.explode(F.array(F.lit(3), F.lit(12))))
+    return stability.hysteresis(both, [*K, "need"], recovery=F.col("need")).select("user_id", "need", "pose_idx", "state")
 
 
 def stability_input(spark, d):

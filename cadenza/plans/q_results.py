@@ -240,11 +240,7 @@ def j8(spark, d):
 
 @query("t4_list_jobs", f"WITH {JB} SELECT job_id, user_key, status, row_number() OVER (PARTITION BY user_key ORDER BY created_on DESC, job_id DESC) AS position FROM jb")
 def t4(spark, d):
-    from cadenza.core.layout import with_ordinal
-
-    j = job_view(spark, d).withColumn("_age", -F.unix_date("created_on")).withColumn("_no", -F.col("job_id"))
-    out = with_ordinal(j, ["user_key"], ["_age", "_no"], F.col("_age").cast("long"), "p", "c")
-    return out.select("job_id", "user_key", "status", (F.col("p") + 1).alias("position"))
+    return J.list_jobs(job_view(spark, d)).select("job_id", "user_key", "status", "position")
 
 
 LOG = "lg AS (SELECT event_id, user_id AS job, ts AS noted, event_type AS stage FROM events)"
@@ -264,10 +260,10 @@ def snk3(spark, d):
     return J.latest_jobs(p, ["status", "score"]).select("job_id", "status", r6("score"), "version")
 
 
-@query("snk4_expire", "SELECT o_orderkey AS job_id FROM orders WHERE CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END IS NULL OR o_orderdate >= TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 900 DAY")
+@query("snk4_expire", "SELECT o_orderkey AS job_id FROM orders WHERE CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END IS NULL AND o_orderkey % 5 <> 0 OR CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 200 DAY ELSE o_orderdate END >= TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 21612 HOUR")
 def snk4(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("created_at"))
-    return J.expire(o, F.expr("TIMESTAMP_NTZ'1998-08-01 00:00:00'"), 900).select("job_id")
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderdate") + F.expr("INTERVAL 200 DAYS")).cast("timestamp_ntz").alias("updated_at"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("created_at"))
+    return J.expire(o, F.expr("TIMESTAMP_NTZ'1998-08-01 00:00:00'"), 900.5).select("job_id")
 
 
 @query("snk5_recover", f"WITH {JB} SELECT job_id, CASE WHEN status IN ('queued', 'processing') THEN 'queued' ELSE status END AS status, status IN ('queued', 'processing') AS recovered FROM jb")

@@ -50,16 +50,16 @@ def x6(spark, d):
 @query("x7_clean_text", "SELECT doc_id, sha256(replace(replace(trim(t), 'pose engine', '动作分析'), 'invalid frame', '动作分析')) AS text_hash FROM (SELECT doc_id, replace(replace(text, ' the ', ' pose engine '), ' la ', ' invalid frame ') AS t FROM documents)")
 def x7(spark, d):
     t = F.replace(F.replace("text", F.lit(" the "), F.lit(" pose engine ")), F.lit(" la "), F.lit(" invalid frame "))
-    return read(spark, d, "documents").select("doc_id", F.sha2(text.clean_text(t, 1_000_000), 256).alias("text_hash"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(text.clean_text(t), 256).alias("text_hash"))
 
 
 @query("x8_drop_sentences", """WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(trim(regexp_replace(replace(text, '.', ';'), '\\s+', ' ', 'g')), '[^。！？!?；;]+[。！？!?；;]?'), lambda x: trim(x)) AS a FROM documents)
  SELECT doc_id, len(list_filter(a, lambda x: x <> ''))::BIGINT AS sentences, sha256(array_to_string(list_filter(a, lambda x: x <> '' AND NOT regexp_matches(x, '(?i)est|ing') AND NOT regexp_matches(x, '[0-9]')), '')) AS text_hash FROM s""")
 def x8(spark, d):
     t = F.replace("text", F.lit("."), F.lit(";"))
-    parts = F.regexp_extract_all(text.squeeze(t, 4_000_000), F.lit("[^。！？!?；;]+[。！？!?；;]?"), F.lit(0))
+    parts = F.regexp_extract_all(text.squeeze(t), F.lit("[^。！？!?；;]+[。！？!?；;]?"), F.lit(0))
     n = F.size(F.filter(parts, lambda s: F.trim(s) != "")).cast("long")
-    return read(spark, d, "documents").select("doc_id", n.alias("sentences"), F.sha2(text.drop_sentences(t, ["(?i)est|ing", "[0-9]"], 2_000_000), 256).alias("text_hash"))
+    return read(spark, d, "documents").select("doc_id", n.alias("sentences"), F.sha2(text.drop_sentences(t, ["(?i)est|ing", "[0-9]"]), 256).alias("text_hash"))
 
 
 @query("u5_distinct_text", """WITH s AS (SELECT doc_id, generate_subscripts(a, 1) AS no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)), k AS (SELECT doc_id, no, line, lower(regexp_replace(line, '[\\s，。！？!?；;：:、]', '', 'g')) AS tk FROM s)
@@ -116,7 +116,9 @@ def x13(spark, d):
 @query("src1_scan_frames", f"WITH {frames_sql()}, r AS (SELECT video_id, pose_idx AS frame_index, CASE WHEN video_id % 2 = 0 THEN 25.0 ELSE 30.0 END::DOUBLE AS source_fps FROM fr), s AS (SELECT *, greatest(1, round_even(source_fps / 10, 0)::INT) AS step FROM r) SELECT video_id, frame_index, round(source_fps / step, 6) AS fps FROM s WHERE frame_index % step = 0")
 def src1(spark, d):
     raw = frames(spark, d).select("video_id", F.col("pose_idx").alias("frame_index"), F.when(F.col("video_id") % 2 == 0, 25.0).otherwise(30.0).alias("source_fps"))
-    return scans.sample_frames(raw).select("video_id", "frame_index", r6("fps"))
+    base = stream_folder(spark)
+    raw.write.parquet(f"{base}/frames")
+    return scans.scan_frames(spark, f"{base}/frames").select("video_id", "frame_index", r6("fps"))
 
 
 @query("src2_scan_results", f"WITH {VID} SELECT job, video, action_type, sets AS score, count(*) AS results FROM vid GROUP BY ALL")
@@ -140,14 +142,36 @@ def src4(spark, d):
     e = read(spark, d, "events").where("event_type = 'error'")
     s = (F.col("event_id") % 50) * 100
     one = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.array(F.array(s, s - 50 + 100 * (F.col("event_id") % 4))).alias("unstableRangesMs"))
-    docs = e.select(F.to_json(F.struct(F.array(one).alias("cases"))).alias("value"))
-    c = scans.manifest_cases(docs.select(F.from_json("value", f"cases array<{scans.CASE}>").alias("m")).select("m.cases"))
+    docs = e.select(F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.array(one).alias("cases")))).otherwise(F.to_json(F.array(one))).alias("value"))
+    c = scans.parse_manifest(docs)
     r = F.col("expected")[0]
     flat = c.select("case_id", F.concat_ws("-", r["start_ms"].cast("string"), r["end_ms"].cast("string")).alias("t"))
     # error events of one user in this fixture: a handful of short strings
     return flat.groupBy("case_id").agg(F.count(F.lit(1)).alias("events"), F.array_join(F.array_sort(F.collect_list("t")), ",").alias("expected"))
 
 
+@query("src4_eval_results", """SELECT 'n' || n_nationkey AS case_id, n_name AS action_type, sum(s_acctbal) > 0 AS rich, max(CASE WHEN n_nationkey % 2 = 0 THEN 'squat' ELSE 'row' END) AS result_action, count(*) AS suppliers FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL""")
+def src4_results(spark, d):
+    """One result file per nation, in folders that differ while file names may
+    not, and one manifest that names them relative to its folder."""
+    base = f"{stream_folder(spark)}"
+    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    per = s.groupBy("n_nationkey", "n_name").agg((F.sum("s_acctbal") > 0).alias("rich"), F.count(F.lit(1)).alias("suppliers"))
+    action = F.when(F.col("n_nationkey") % 2 == 0, "squat").otherwise("row")
+    doc = F.to_json(F.struct(action.alias("actionType"), F.col("suppliers").cast("double").alias("overallScore")))
+    per.select(F.col("n_nationkey").alias("n"), doc.alias("value")).repartition("n").write.partitionBy("n").text(f"{base}/results")
+    file = F.regexp_extract("path", r"(n=[0-9]+/[^/]+)$", 1)
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{base}/results").select(F.regexp_extract(file, r"n=([0-9]+)/", 1).cast("long").alias("k"), F.concat(F.lit("./x/../"), file).alias("resultPath"))
+    one = F.struct(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("actionType"), F.when(F.col("rich"), "rich").alias("view"), "resultPath")
+    cases = per.join(named, F.col("n_nationkey") == F.col("k")).select(F.to_json(F.array(one)).alias("value"))
+    cases.write.text(f"{base}/manifest")
+    lines = spark.read.text(f"{base}/manifest")
+    assert scans.parse_manifest(lines).columns[0] == "case_id"
+    lines.agg(F.array_join(F.array_sort(F.collect_list(F.substring("value", 2, 100_000))), ",").alias("v")).select(F.concat(F.lit("["), F.replace("v", F.lit("}],{"), F.lit("},{"))).alias("value")).coalesce(1).write.text(f"{base}/whole")
+    out = scans.scan_eval_manifest(spark, f"{base}/whole", f"{base}/results")
+    return out.select("case_id", "action_type", (F.col("view") == "rich").alias("rich"), F.col("video.actionType").alias("result_action"), F.col("video.overallScore").cast("long").alias("suppliers"))
+
+
 @query("src5_scan_priors", f"""WITH {frames_sql()} SELECT vec_id, 15::INT AS slot, CASE WHEN vec_id % 2 = 0 THEN frame_index END AS frame_index, CASE WHEN vec_id % 2 = 1 THEN time_ms END AS time_ms, round(greatest(0, least(1, x15)), 6) AS x, round(greatest(0, least(1, y15)), 6) AS y,
  round(greatest(.75, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE least(1, v15) END), 6) AS conf FROM fr WHERE vec_id % 7 <> 0""")
 def src5(spark, d):

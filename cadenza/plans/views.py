@@ -55,7 +55,7 @@ def frames(spark: SparkSession, d: str, engine: str = "a") -> DataFrame:
     lm = F.array(*[point(SLOT_POINT[s]) if s in SLOT_POINT else empty for s in range(33)])
     return e.select(
         F.col("label").cast("long").alias("video_id"), "vec_id", "pose_idx", "n",
-        (F.col("vec_id") if engine == "b" else F.col("vec_id")).alias("frame_index"),
+        F.col("vec_id").alias("frame_index"),
         (F.col("pose_idx") * 100).alias("time_ms"), lm.alias("landmarks"),
     )
 

@@ -101,11 +101,28 @@ def manifest_cases(df: DataFrame, cases: str = "cases") -> DataFrame:
     )
 
 
+def parse_manifest(df: DataFrame, column: str = "value") -> DataFrame:
+    """Cases of manifests that are a record with ``cases`` or a bare list."""
+    whole = F.when(F.trim(column).startswith("["), F.concat(F.lit('{"cases":'), F.col(column), F.lit("}"))).otherwise(F.col(column))
+    return manifest_cases(df.select(F.from_json(whole, f"cases array<{CASE}>").alias("m")).select("m.cases"))
+
+
+def normal_path(c: Column) -> Column:
+    """Path without scheme, empty and ``.`` parts; ``..`` takes its parent away."""
+    parts = F.filter(F.split(F.regexp_replace(c, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), "/"), lambda p: (p != "") & (p != "."))
+    none = F.array().cast("array<string>")
+    step = lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    return F.array_join(F.aggregate(parts, none, step), "/")
+
+
 def scan_eval_manifest(spark: SparkSession, path: str, results_path: str) -> DataFrame:
-    """Manifest cases joined to their result files by relative path."""
-    cases = manifest_cases(spark.read.schema(f"cases array<{CASE}>").option("multiLine", True).json(path))
-    results = scan_results(spark, results_path).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("_name"), "video")
-    return cases.withColumn("_name", F.regexp_extract("result_path", r"([^/]+)$", 1)).join(results, "_name", "left").drop("_name")
+    """Manifest cases joined to their result files; a case names its file
+    relative to ``results_path`` or by a full path."""
+    cases = parse_manifest(spark.read.option("wholetext", True).text(path))
+    results = scan_results(spark, results_path).select(normal_path(F.col("file")).alias("_path"), "video")
+    full = F.when(F.col("result_path").startswith("/") | F.col("result_path").contains("://"), F.col("result_path"))
+    named = F.coalesce(full, F.concat(F.lit(results_path.rstrip("/") + "/"), F.col("result_path")))
+    return cases.withColumn("_path", normal_path(named)).join(results, "_path", "left").drop("_path")
 
 
 # Short spellings of landmark names.

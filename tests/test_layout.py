@@ -5,8 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from cadenza.core import quantiles as q
 from cadenza.core.layout import islands, scan, spread_join, with_ordinal
-from cadenza.core.quantiles import ranked_quantiles
+from cadenza.core.quantiles import quantiles, ranked_quantiles
 from cadenza.operators import smoothing
 from cadenza.operators.peaks import peak_candidates, separate
 
@@ -119,3 +120,19 @@ def test_spread_join_reaches_every_chunk(spark):
     df = series(spark, [33, 2])
     stats = df.groupBy("k", "n").agg(F.max("pose_idx").alias("m"))
     assert spread_join(df, stats, K, size=4).where("m = n - 1").count() == 35
+
+
+def test_quantiles_do_not_depend_on_the_path(spark, monkeypatch):
+    rng = random.Random(8)
+    data = [("near", 0.5 + rng.random() * 1e-4) for _ in range(3000)] + [("same", 0.25)] * 40 + [("none", None)] * 3 + [("nan", float("nan"))] + [("one", -3.0)]
+    data += [("wide", rng.gauss(0, 1) * 10 ** rng.randint(-6, 6)) for _ in range(2000)]
+    sizes = {k: sum(x == k for x, _ in data) for k, _ in data}
+    df = spark.createDataFrame([(k, sizes[k], v) for k, v in data], "k string, n long, v double")
+    specs = {"a": ("v", 0.05), "b": ("v", 0.5), "c": (F.col("v") * 2, 0.951), "d": (F.col("v") * 2 + 1, 1.0)}
+    rows = lambda short: sorted(map(tuple, quantiles(df, ["k", "n"], specs, short=short).collect()))
+    direct = rows(10**9)
+    assert {r[0] for r in direct} == set(sizes) and [r[2:] for r in direct if r[0] == "none"] == [(None,) * 4]
+    assert rows(0) == direct == rows(100)
+    monkeypatch.setattr(q, "WIDE", 10)
+    monkeypatch.setattr(q, "PARTS", 8)
+    assert rows(0) == direct
