@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.core.session import materialise
+from cadenza.functions import dims
 from cadenza.functions.dims import LOWER_BODY, MATCH_FAMILIES, UPPER_BODY
 from cadenza.functions.landmarks import (
     ARM, HINGE, JOINTS, LA, LE, LEG, LH, LK, LS, LW, METRIC_CHAINS, RA, RE, RH, RK, RS, RW,
 )
-from cadenza.operators import measure
+from cadenza.operators import measure, signals
 from cadenza.plans.q_pose import q_metric, q_signals
 from cadenza.plans.q_series import K, SIG, SIGG, r6
 from cadenza.plans.registry import query
-from cadenza.plans.views import FPS, Q_LEAN, frames, frames_sql, q_angle, q_dist, q_min, sig
+from cadenza.plans.views import FPS, Q_LEAN, Q_TORSO, frames, frames_sql, q_angle, q_dist, q_min, sig
 
 FR = "WITH " + frames_sql()
 V = ["video_id"]
@@ -148,6 +150,74 @@ def a5e(spark, d):
     return measure.working_side(frames(spark, d), "y_raise").select("video_id", "side", "score", "confidence")
 
 
+# ---- action signals ---------------------------------------------------------------
+
+VIEWS = ["front", "front_oblique", "side", "side_front", "side_rear", "rear", "unknown"]
+
+
+def q_chosen(name: str, *args) -> str:
+    return f"{name} AS (WITH {q_side(*args).removeprefix(FR + ', ')} SELECT video_id, side FROM r WHERE rn = 1)"
+
+
+def q_action_signals() -> str:
+    fam, reach = q_signals()
+    two = lambda f: tuple(f(left) for left in (True, False))
+    mirror = lambda chain, left: tuple(chain) if left else tuple(measure._MIRROR[i] for i in chain)
+    conf = lambda chain: two(lambda left: q_min(mirror(chain, left)))
+    ang = lambda chain: two(lambda left: q_angle(*mirror(chain, left)))
+    own = lambda t, pair: f"(CASE WHEN {t} = 'left' THEN {pair[0]} ELSE {pair[1]} END)"
+    arm_c, arm, leg_c, leg, up_c, up = conf((LS, LE, LW)), ang((LS, LE, LW)), conf((LS, LH, LK)), ang((LS, LH, LK)), conf((LH, LS, LE)), ang((LH, LS, LE))
+    high = two(lambda left: "(.68 * y{0} + .32 * y{1}) * 100".format(*mirror((LW, LE), left)))
+    flexed = lambda t: f"CASE WHEN {own(t, arm_c)} >= .12 AND {own(t, arm)} IS NOT NULL THEN 180 - {own(t, arm)} ELSE {fam['pull']} END"
+    swap = f"{own('ps', arm_c)} < .35 AND {own('ps', arm_c[::-1])} > {own('ps', arm_c)}"
+    press = f"CASE WHEN cam IN ('side', 'side_front', 'side_rear') THEN CASE WHEN {swap} THEN {own('ps', high[::-1])} ELSE {own('ps', high)} END ELSE {fam['press']} END"
+    w = [f"(CASE WHEN {c} >= .12 AND {a} IS NOT NULL THEN {c} ELSE 0 END)" for c, a in zip(arm_c, arm)]
+    lat = f"CASE WHEN {w[0]} + {w[1]} > 0 THEN (coalesce((180 - {arm[0]}) * {w[0]}, 0) + coalesce((180 - {arm[1]}) * {w[1]}, 0)) / ({w[0]} + {w[1]}) ELSE {fam['pull']} END"
+    sit = [q_min((LH, LK)), q_min((RH, RK))]
+    hack = f"CASE WHEN greatest({sit[0]}, {sit[1]}) >= .35 THEN CASE WHEN {sit[0]} >= {sit[1]} THEN (y{LH} - y{LK}) * 100 ELSE (y{RH} - y{RK}) * 100 END END"
+    raised = f"CASE WHEN {own('ys', up_c)} >= .12 AND {own('ys', up)} IS NOT NULL THEN {own('ys', up)} END"
+    aside = [f"CASE WHEN {q_min((h, a))} >= .12 THEN abs(x{a} - x{h}) / {Q_TORSO} * 100 END" for h, a in ((LH, LA), (RH, RA))]
+    a = lambda *names: f"act IN ({', '.join(repr(x) for x in names)})"
+    family = f"CASE {' '.join(f'WHEN family = {chr(39)}{f}{chr(39)} THEN {e}' for f, e in fam.items())} ELSE {reach} END"
+    direct = f"""CASE WHEN act = 'machine_chest_press' AND cam IN ('front', 'front_oblique') THEN abs(x{LW} - x{RW}) / {Q_TORSO} * 100 WHEN {a('machine_chest_press', 'bench_press')} THEN {press}
+ WHEN act = 'lat_pulldown' THEN {lat} WHEN {a('single_arm_pulldown', 'chest_supported_row', 'plate_loaded_pulldown')} THEN {flexed('ds')} WHEN act = 'single_arm_hammer_row' THEN {flexed('rs')}
+ WHEN act = 'hip_thrust' THEN 180 - {fam['hinge']} WHEN act = 'plate_loaded_rear_leg_raise' THEN CASE WHEN {own('ls', leg_c)} >= .12 AND {own('ls', leg)} IS NOT NULL THEN {own('ls', leg)} ELSE 180 - {fam['hinge']} END
+ WHEN act = 'back_extension' THEN {fam['hinge']} WHEN act = 'preacher_curl' THEN {fam['isolation_elbow']} WHEN {a('plate_loaded_romanian_deadlift', 'machine_crunch')} THEN {fam['core_flexion']} WHEN act = 'seated_hip_abduction' THEN {fam['isolation_hip']}
+ WHEN {a('hack_squat', 'y_raise', 'standing_hip_abduction')} THEN NULL ELSE {family} END"""
+    fill = lambda col, empty: f"""coalesce({col}, CASE WHEN {col}p IS NOT NULL AND {col}n IS NOT NULL THEN {col}p.v + ({col}n.v - {col}p.v) * (pose_idx - {col}p.i) / ({col}n.i - {col}p.i) END, {col}p.v, {col}n.v, {empty})"""
+    near = lambda col: f"""last_value(CASE WHEN {col} IS NOT NULL THEN struct_pack(i := pose_idx, v := {col}) END IGNORE NULLS) OVER (PARTITION BY act, video_id ORDER BY pose_idx ROWS UNBOUNDED PRECEDING) AS {col}p,
+ first_value(CASE WHEN {col} IS NOT NULL THEN struct_pack(i := pose_idx, v := {col}) END IGNORE NULLS) OVER (PARTITION BY act, video_id ORDER BY pose_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {col}n"""
+    labels = " ".join(f"WHEN act = '{k}' THEN '{v}'" for k, v in signals.SOURCES.items())
+    sides = ", ".join([
+        q_chosen("sd", (LS, LE, LW), (LS, LE, LW), "180 - {a}", (LE, "y"), .05, rq("conf * (hi - lo + er * 120)", 3)),
+        q_chosen("sr", (LS, LE, LW), (LS, LE, LW), "180 - {a}", (LW, "x"), .05, rq("conf * (hi - lo + er * 160)", 3)),
+        q_chosen("sl", (LS, LH, LK), (LS, LH, LK), "{a}", None, .05, rq("conf * (greatest(0, hi - coalesce(lo5, 180)) + greatest(0, hi - 118) * .25)", 3)),
+        q_chosen("sp", (LS, LE, LW), None, "0::DOUBLE", None, .05, "conf", True),
+        q_chosen("sy", (LH, LS, LE), (LH, LS, LE), "{a}", None, .1, rq("greatest(0, hi - lo) * least(1, ratio / .55) * greatest(.2, conf) + greatest(0, hi - 80) * .15 + greatest(0, above) * 20", 3))])
+    acts = ", ".join(f"({k}, '{name}', '{f}')" for k, (name, (f, _)) in enumerate(dims.ACTIONS.items()))
+    return FR + f""", {sides}, ac AS (SELECT * FROM (VALUES {acts}) AS t(no, act, family)),
+ b AS (SELECT fr.*, act, family, [{', '.join(repr(v) for v in VIEWS)}][(video_id + no) % 7 + 1] AS cam, sd.side AS ds, sr.side AS rs, sl.side AS ls, sp.side AS ps, sy.side AS ys FROM fr CROSS JOIN ac
+  JOIN sd USING (video_id) JOIN sr USING (video_id) JOIN sl USING (video_id) JOIN sp USING (video_id) JOIN sy USING (video_id)),
+ e AS (SELECT video_id, pose_idx, n, act, CASE WHEN act = 'machine_chest_press' AND cam IN ('front', 'front_oblique') THEN '{signals.FRONT_PRESS_SOURCE}' {labels} ELSE family || '_joint_angle' END AS source, {direct} AS v,
+  CASE WHEN act = 'hack_squat' THEN {hack} END AS h, CASE WHEN act = 'y_raise' THEN {raised} END AS y, {fam['isolation_shoulder']} AS sh, {fam['isolation_hip']} AS ap,
+  CASE WHEN act = 'standing_hip_abduction' THEN {aside[0]} END AS l, CASE WHEN act = 'standing_hip_abduction' THEN {aside[1]} END AS r, {q_min((LH, LA))} AS lc, {q_min((RH, RA))} AS rc FROM b),
+ k AS (SELECT *, {near('y')}, {near('l')}, {near('r')} FROM e),
+ f AS (SELECT *, {fill('y', 'sh')} AS yf, {fill('l', 'ap')} AS lf, {fill('r', 'ap')} AS rf FROM k),
+ t AS (SELECT video_id, act, (quantile_cont(rf, .95) - quantile_cont(rf, .05)) * quantile_cont(rc, .25) > (quantile_cont(lf, .95) - quantile_cont(lf, .05)) * quantile_cont(lc, .25) AS better FROM f GROUP BY 1, 2)
+ SELECT video_id, act AS action_type, pose_idx, source, round(CASE act WHEN 'hack_squat' THEN coalesce(h, avg(h) OVER (PARTITION BY video_id, act), 0) WHEN 'y_raise' THEN yf WHEN 'standing_hip_abduction' THEN CASE WHEN better THEN rf ELSE lf END ELSE v END, 6) AS signal
+ FROM f JOIN t USING (video_id, act)"""
+
+
+@query("x3_action_signals", q_action_signals())
+def x3_actions(spark, d):
+    """Every video under every action, the view changing from action to action."""
+    acts = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(name).alias("action_type"), F.lit(f).alias("family")) for k, (name, (f, _)) in enumerate(dims.ACTIONS.items())])
+    rows = frames(spark, d).select("*", F.explode(acts).alias("a")).select("video_id", "pose_idx", "n", "landmarks", "a.*")
+    view = F.element_at(F.array(*[F.lit(v) for v in VIEWS]), ((F.col("video_id") + F.col("no")) % 7 + 1).cast("int"))
+    out = signals.action_signals(materialise(rows.withColumn("camera_angle", view)), ["video_id", "action_type"])
+    return out.select("video_id", "action_type", "pose_idx", "source", r6("signal"))
+
+
 AXES = {"elbow_y_left": (LE, "y"), "elbow_x_right": (RE, "x")}
 
 
