@@ -10,6 +10,7 @@ before it, so the result is that of one sequential pass, whatever the length.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -93,30 +94,31 @@ def chunked_fold(
 
     head = F.struct("chunk", "n", F.col("_first").alias("first"), *params)
     arrays = F.struct(*[F.col(f"_a_{v}").alias(v) for v in names])
-    chunks = chunk_rows(df, keys, values, params, back, forward, size, idx, ragged)
-    chunks = chunks.withColumn("_entry", F.array().cast("array<double>"))
-    done = materialise(chunks.withColumn("_out", run(head, arrays, F.col("_entry"))))
+    chunks = materialise(chunk_rows(df, keys, values, params, back, forward, size, idx, ragged))
+    neutral = F.array().cast("array<double>")
+    narrow = [*keys, "chunk", "n", "_entry", "_out"]
+    done = materialise(chunks.withColumn("_entry", neutral).withColumn("_out", run(head, arrays, F.col("_entry"))).select(*narrow))
     series = Window.partitionBy(*keys)
     order = series.orderBy("chunk")
-    neutral = F.array().cast("array<double>")
     over = F.array(F.lit(DEAD))
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    on = reduce(lambda a, b: a & b, same, F.col("_c") == F.col("chunk"))
     while True:
-        checked = done.withColumn("_want", F.coalesce(F.lag("_out.state").over(order), neutral))
-        checked = checked.withColumn("_stale", F.col("_want") != F.col("_entry"))
+        # one small row per chunk: the states alone pass through the windows
+        states = done.select(*keys, "chunk", "_entry", F.col("_out.state").alias("_exit"))
+        states = states.withColumn("_want", F.coalesce(F.lag("_exit").over(order), neutral))
+        states = states.withColumn("_stale", F.col("_want") != F.col("_entry"))
         # everything before the first stale chunk is final, so is a search that ended there
-        checked = checked.withColumn("_first_stale", F.min(F.when(F.col("_stale"), F.col("chunk"))).over(series))
+        states = states.withColumn("_first_stale", F.min(F.when(F.col("_stale"), F.col("chunk"))).over(series))
         final = F.col("_first_stale").isNull() | (F.col("chunk") < F.col("_first_stale"))
-        ended = F.min(F.when(final & (F.col("_out.state") == over), F.col("chunk"))).over(series)
-        checked = checked.withColumn("_ended", ended)
+        states = states.withColumn("_ended", F.min(F.when(final & (F.col("_exit") == over), F.col("chunk"))).over(series))
         live = F.col("_ended").isNull() | (F.col("chunk") <= F.col("_ended"))
-        checked = checked.where(live)
-        stale = F.col("_stale")
-        if checked.where(stale).select("chunk").isEmpty():
-            break
-        redo = checked.where(stale).withColumn("_entry", F.col("_want")).withColumn(
-            "_out", run(head, arrays, F.col("_entry"))
-        )
-        done = materialise(
-            checked.where(~stale).unionByName(redo).drop("_want", "_stale", "_first_stale", "_ended")
-        )
-    return checked.select(*keys, "n", F.inline("_out.events"))
+        states = materialise(states.select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("chunk").alias("_c"), "_want", "_stale", live.alias("_live")))
+        wanted = states.where(F.col("_stale") & F.col("_live"))
+        if wanted.isEmpty():
+            kept = states.where("_live").drop("_want", "_stale", "_live")
+            return done.join(kept, on, "left_semi").select(*keys, "n", F.inline("_out.events"))
+        redo = chunks.join(wanted, on).withColumn("_entry", F.col("_want")).withColumn("_out", run(head, arrays, F.col("_entry")))
+        kept = states.where(~F.col("_stale") & F.col("_live")).drop("_want", "_stale", "_live")
+        done = materialise(done.join(kept, on, "left_semi").unionByName(redo.select(*narrow)))

@@ -70,8 +70,11 @@ def hold_until(x: Series, at: int, above: np.ndarray, origin: int, limit: int) -
     return min(last, max(at + 1, origin + limit + 1), x.stop - 1) if last > at else at
 
 
-def _search(x: Series, lo: int, hi: int, state: Sequence[float], resting, working, close, limit: int | None):
-    """Drive the waits; ``close(start, crossing)`` -> (event or None, next cursor)."""
+def _search(x: Series, lo: int, hi: int, state: Sequence[float], resting, working, close, limit: int | None,
+            memory: int | None = None):
+    """Drive the waits; ``close(start, crossing)`` -> (event or None, next cursor).
+    A start older than ``memory`` samples acts like any other such start, so it
+    is handed on as one, and idle stretches agree after one hand-over."""
     phase, cursor, start = (int(s) for s in state) if state else (0, lo, -1)
     events = []
     while phase < 2:
@@ -86,7 +89,7 @@ def _search(x: Series, lo: int, hi: int, state: Sequence[float], resting, workin
             if give_up < hi or x.n <= hi:
                 phase = 2
                 break
-            return events, [1, hi, start]
+            return events, [1, hi, start if memory is None else max(start, hi - memory)]
         found, cursor = close(start, crossing)
         if found:
             events.append(found)
@@ -144,7 +147,7 @@ def cycles_threshold(sig: DataFrame, keys: Sequence[str], value: str, fps: float
             ok = key - start >= gap and x.value(key) - x.value(start) >= work - rest
             return (x.event(start, key, end) if ok else None), max(end + 1, key + gap)
 
-        return _search(x, lo, hi, state, resting, working, close, None)
+        return _search(x, lo, hi, state, resting, working, close, None, look + 1)
 
     events = chunked_fold(_prepared(sig, keys, value, ["flex_limit"]), keys, ["v", "quality", "time_ms"], step, EVENT,
                           params=["flex_limit"], back=look + 1, forward=2 * reach + tail + 3, size=size)

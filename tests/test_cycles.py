@@ -90,3 +90,15 @@ def test_input_order_does_not_matter(spark):
         got = spans(segment.segment_by_peaks(df, detect_repetitions(df, K, "v", 10.0), K, "v", 10.0))
         first = got if df is a else first
     assert got == first and got
+
+
+def test_idle_stretch_settles_in_a_few_rounds(spark, monkeypatch):
+    from cadenza.core import fold
+
+    runs = []
+    real = fold.materialise
+    monkeypatch.setattr(fold, "materialise", lambda df: runs.append(df.columns) or real(df))
+    df = table(spark, [0.0] * 3200 + swing([0, 120, 0], 9), fps=8)
+    got = cycles.cycles_threshold(df, K, "v", 8.0, size=32)
+    assert len(spans(got)) == 1
+    assert sum("_out" in c for c in runs) <= 3
