@@ -1,6 +1,7 @@
 """Dimension tables: actions, families, cameras, stability profiles.
 
-The rows are fixed values; they are small constants, so joins broadcast them.
+The rows are fixed values; they are small constants; joins carry no hint, the planner
+broadcasts what it measures to be small.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ def camera_dim(spark: SparkSession) -> DataFrame:
 
 def with_dim(df: DataFrame, dim: DataFrame, key: str, default: str) -> DataFrame:
     """Join a constant-size dimension; unknown keys take the default row."""
-    known = F.broadcast(dim.select(key))
+    known = dim.select(key)
     checked = df.join(known.withColumn("_known", F.lit(True)), key, "left")
     checked = checked.withColumn(key, F.when(F.col("_known"), F.col(key)).otherwise(F.lit(default))).drop("_known")
-    return checked.join(F.broadcast(dim), key, "left")
+    return checked.join(dim, key, "left")

@@ -131,7 +131,7 @@ def standard_impact(results: DataFrame, issues: DataFrame, dim: DataFrame, keys:
     keys = list(keys)
     first = top_k(issues, keys, order, k)
     lists = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "code"))), lambda x: x["code"]).alias("triggered"))
-    d = results.join(F.broadcast(dim.select("action_type", "family", "mode")), "action_type", "left").join(lists, keys, "left")
+    d = results.join(dim.select("action_type", "family", "mode"), "action_type", "left").join(lists, keys, "left")
     return d.select(*keys, "action_type", "family", "mode", F.coalesce("triggered", F.array().cast("array<string>")).alias("triggered"))
 
 

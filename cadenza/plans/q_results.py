@@ -129,7 +129,7 @@ DIM = f"dim(action_type, family, body_group, mode, angle_threshold) AS (VALUES {
 
 @query("src8_dims", f"WITH {VID}, {DIM} SELECT body_group, family, mode, count(*) AS videos, count(DISTINCT action_type) AS actions, max(angle_threshold)::DOUBLE AS top_threshold FROM vid JOIN dim USING (action_type) GROUP BY 1, 2, 3")
 def src8(spark, d):
-    j = videos(spark, d).join(F.broadcast(dims.action_dim(spark)), "action_type")
+    j = videos(spark, d).join(dims.action_dim(spark), "action_type")
     return j.groupBy("body_group", "family", "mode").agg(F.count(F.lit(1)).alias("videos"), F.countDistinct("action_type").alias("actions"), F.max("angle_threshold").alias("top_threshold"))
 
 

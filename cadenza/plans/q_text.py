@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from cadenza.core.layout import with_ordinal
 from cadenza.core.rangejoin import first_per, top_k
+from cadenza.core.session import materialise
 from cadenza.functions import dims, text
 from cadenza.operators import jobs as J
 from cadenza.operators import review, scoring
+from cadenza.plans.q_joins import IV, rep_view
 from cadenza.plans.q_measure import FR, V, q_in
 from cadenza.plans.q_pose import lm, q_list
 from cadenza.plans.q_results import CODES, DIM, ISS, JB, TIE, TIE_SQL, VID, cols, issues, job_view, read, videos
@@ -296,29 +298,32 @@ def r13(spark, d):
 
 # ---- segmentation dispatch and key samples -------------------------------------------
 
-SEG_ACTIONS = ["machine_chest_press", "lat_pulldown", "single_arm_pulldown", "preacher_curl", "y_raise", "hip_thrust", "deadlift", "barbell_squat"]
-
-
 @query("s9_segment_dispatch")
 def s9(spark, d):
+    """Every action of the catalogue, by the first and by the second engine's rules."""
     from cadenza.operators.dispatch import segment
 
-    s = sig(spark, d)
-    a = F.element_at(F.array(*[F.lit(x) for x in SEG_ACTIONS]), (F.col("user_id") % len(SEG_ACTIONS) + 1).cast("int"))
-    f = F.lit("general")
-    for x in SEG_ACTIONS:
-        f = F.when(a == x, dims.ACTIONS[x][0]).otherwise(f)
-    out = segment(s.withColumn("action_type", a).withColumn("family", f), K, "v", FPS)
-    return out.select("user_id", "algorithm", "rep_index", "start_idx", "key_idx", "end_idx")
+    names = list(dims.ACTIONS)
+    no = (F.col("user_id") % len(names) + 1).cast("int")
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), no)
+    s = materialise(sig(spark, d).withColumn("action_type", of(names)).withColumn("family", of([dims.ACTIONS[x][0] for x in names])))
+    out = None
+    for secondary in (False, True):
+        part = segment(s, K, "v", FPS, secondary).select("user_id", F.lit(secondary).alias("secondary"), "algorithm", "rep_index", "start_idx", "key_idx", "end_idx")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query("t3_key_samples", SIG + """, e AS (SELECT user_id, n, min(struct_pack(v := -v, i := pose_idx)).i AS b FROM sig GROUP BY 1, 2) SELECT user_id, array_to_string(list_sort(list_distinct(CASE WHEN user_id % 2 = 0 THEN [0, b // 2, b, n - 1] ELSE [0, n // 3, 2 * n // 3, n - 1] END)), ',') AS samples FROM e""")
+@query("t3_key_samples", SIG + IV + """, e AS (SELECT user_id, n, min(struct_pack(v := -v, i := pose_idx)).i AS b FROM sig GROUP BY 1, 2),
+ q AS (SELECT user_id, rep_index, start_ms // 100 AS a, key_ms // 100 AS b, end_ms // 100 AS c FROM rp WHERE user_id % 3 = 0), m AS (SELECT user_id, max(rep_index) // 2 + 1 AS rep_index FROM q GROUP BY 1),
+ w AS (SELECT user_id, [a, (a + b) // 2, b, c] AS r FROM q JOIN m USING (user_id, rep_index))
+ SELECT user_id, array_to_string(list_sort(list_distinct(coalesce(r, CASE WHEN user_id % 2 = 0 THEN [0, b // 2, b, n - 1] ELSE [0, n // 3, 2 * n // 3, n - 1] END))), ',') AS samples FROM e LEFT JOIN w USING (user_id)""")
 def t3(spark, d):
     from cadenza.operators.dispatch import key_samples
 
-    s = sig(spark, d)
-    none = s.limit(0).select("user_id", F.lit(0).alias("rep_index"), F.lit(0).alias("start_idx"), F.lit(0).alias("key_idx"), F.lit(0).alias("end_idx"))
-    out = key_samples(s, none, K, "v", F.col("user_id") % 2 == 0)
+    idx = lambda c: F.floor(F.col(c) / 100).alias(c.replace("_ms", "_idx"))
+    reps = rep_view(spark, d).where("user_id % 3 = 0").select("user_id", "rep_index", idx("start_ms"), idx("key_ms"), idx("end_ms"))
+    out = key_samples(sig(spark, d), reps, K, "v", F.col("user_id") % 2 == 0)
     return out.select("user_id", F.array_join("samples", ",").alias("samples"))
 
 
