@@ -11,7 +11,7 @@ which only the part that the data visits is ever built.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 
 class Bounded(dict):
@@ -46,19 +46,59 @@ def merged(parts: list[str], rank: Callable[[str, str], float | None]) -> list[s
 
 class Lattice:
     """``vocabulary``: the tokens; ``rank``: of a pair to merge, or None;
-    ``symbols``: cuts a string into its smallest tokens."""
-
-    def __init__(self, vocabulary, rank: Callable[[str, str], float | None], symbols: Callable[[str], list[str]] = list, memo: int = 400_000):
-        self.vocabulary, self.rank, self.symbols = frozenset(vocabulary), rank, symbols
-        self.longest = max(map(len, self.vocabulary), default=1)
-        self.apart = Bounded(self._apart, memo)
+    ``symbols``: cuts a string into its smallest tokens.
+
+    Tokens are numbered from 1 in the order given; 0 stands for the start of a
+    string and for a sign outside the vocabulary, which never merges."""
+
+    def __init__(self, vocabulary: Iterable[str], rank: Callable[[str, str], float | None], symbols: Callable[[str], list[str]] = list, memo: int = 250_000):
+        self.names = ["", *vocabulary]
+        self.rank, self.symbols = rank, symbols
+        self.number = {t: k for k, t in enumerate(self.names) if k}
+        self.size = [1, *map(len, self.names[1:])]
+        self.longest = max(self.size)
+        self.base = len(self.names)
+        self.apart = Bounded(self._pair, memo)  # key: left * base + right
         self.made: dict[str, tuple | None] = {}
-        self.back: dict = {}  # trie of the reversed tokens; key "" holds the token
-        for t in self.vocabulary:
-            node = self.back
-            for c in reversed(t):
-                node = node.setdefault(c, {})
-            node[""] = t
+        # automaton over all tokens: steps of a state, where a mismatch falls back to, tokens that end in it (longest first)
+        self.steps: list[dict[str, int]] = [{}]
+        self.falls, self.outs = [0], [()]
+        for t, k in self.number.items():
+            state = 0
+            for c in t:
+                after = self.steps[state].get(c)
+                if after is None:
+                    after = self.steps[state][c] = len(self.steps)
+                    self.steps.append({})
+                    self.falls.append(0)
+                    self.outs.append(())
+                state = after
+            self.outs[state] = (k,)
+        self.signs = frozenset(c for t in self.number for c in t)
+        level = list(self.steps[0].values())
+        while level:
+            below = []
+            for state in level:
+                self.outs[state] += self.outs[self.falls[state]]
+                for c, after in self.steps[state].items():
+                    fall = self.falls[state]
+                    while fall and c not in self.steps[fall]:
+                        fall = self.falls[fall]
+                    self.falls[after] = self.steps[fall].get(c, 0)
+                    below.append(after)
+            level = below
+
+    def step(self, state: int, sign: str) -> int:
+        """The state after one more sign; found fall-backs are kept as steps."""
+        after = self.steps[state].get(sign)
+        if after is None:
+            if sign not in self.signs:
+                return 0
+            at = state
+            while at and sign not in self.steps[at]:
+                at = self.falls[at]
+            after = self.steps[state][sign] = self.steps[at].get(sign, 0)
+        return after
 
     def _made(self, token: str) -> tuple[float, str, str] | None:
         """Rank and halves of the merge that completes a token on its own;
@@ -79,10 +119,10 @@ class Lattice:
         out = self.made[token] = (last, *split) if whole else None
         return out
 
-    def _apart(self, pair: tuple[str, str]) -> bool:
+    def _pair(self, key: int) -> bool:
         """Do two tokens stay apart?  Their last merges are taken back in turn;
         a pair at the border that merges earlier than both do would have merged."""
-        left, right = pair
+        left, right = (self.names[k] for k in divmod(key, self.base))
         a, b = self._made(left) if left else (-1.0, "", ""), self._made(right)
         if a is None or b is None or not left:
             return merged(self.symbols(left + right), self.rank) == ([left, right] if left else [right])
@@ -100,45 +140,55 @@ class Lattice:
                 limit, strict, right = b[0], False, b[1]
                 b = self._made(right)
 
-    def grow(self, text: str, ends: list[str], at: int) -> None:
+    def grow(self, text: str, ends: list[int], at: int, state: int = 0) -> int:
         """Adds the last tokens of the prefixes of ``text`` from length
-        ``len(ends)`` to ``at``; ends[i] is the last token at i."""
-        trie, apart = self.back, self.apart
+        ``len(ends)`` to ``at``; ends[i] is the last token at i.  Takes and
+        returns the automaton's state."""
+        steps, outs, apart, base, size = self.steps, self.outs, self.apart, self.base, self.size
         for i in range(len(ends), at + 1):
-            node, k = trie, i
-            while k:
-                k -= 1
-                node = node.get(text[k])
-                if node is None:
-                    k = 0
-                elif "" in node and apart[ends[k], node[""]]:
-                    ends.append(node[""])
+            sign = text[i - 1]
+            after = steps[state].get(sign)
+            state = self.step(state, sign) if after is None else after
+            last = 0
+            for t in outs[state]:
+                if apart[ends[i - size[t]] * base + t]:
+                    last = t
                     break
-            if len(ends) == i:
-                ends.append(text[i - 1])  # a sign outside the vocabulary never merges
+            ends.append(last)
+        return state
+
+    def whole(self, text: str) -> int:
+        """Number of a string that is one token, else 0."""
+        k = self.number.get(text, 0)
+        return k if k and self.apart[k] else 0
 
-    def tokens(self, text: str) -> list[str]:
+    def numbers(self, text: str) -> list[int]:
         """Tokens of a short string."""
-        if text in self.vocabulary and self.apart["", text]:
-            return [text]
-        ends = [""]
+        one = self.whole(text)
+        if one:
+            return [one]
+        ends = [0]
         self.grow(text, ends, len(text))
         out, at = [], len(text)
         while at:
             out.append(ends[at])
-            at -= len(ends[at])
+            at -= self.size[ends[at]]
         return out[::-1]
 
-    def closing(self, text: str, ends: list[str], mark: str) -> str:
-        """The last token of ``text`` when ``mark`` ends it."""
-        node, k = self.back[mark], len(text)
-        while k:
-            k -= 1
-            node = node[text[k]]
-            if "" in node and self.apart[ends[k], node[""]]:
-                return node[""]
+    def closing(self, text: str, ends: list[int], mark: str, state: int) -> int:
+        """The last token of ``text`` when ``mark`` ends it; ``state`` is that after all but the last sign."""
+        for t in self.outs[self.step(self.step(state, text[-1]), mark)]:
+            if self.apart[ends[len(text) + 1 - self.size[t]] * self.base + t]:
+                return t
         raise KeyError(text)
 
+    def spelled(self, text: str, numbers: Iterable[int]) -> Iterator[str]:
+        """The tokens as strings; ``text`` gives the signs without a number."""
+        at = 0
+        for k in numbers:
+            yield text[at : at + self.size[k]]
+            at += self.size[k]
+
 
 class Stream:
     """Viterbi over a text that arrives in pieces.
@@ -150,24 +200,24 @@ class Stream:
 
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
-        self.text, self.ends = "", [""]
+        self.text, self.ends, self.state = "", [0], 0
 
-    def feed(self, more: str) -> Iterator[str]:
+    def feed(self, more: str) -> Iterator[int]:
         step = 8 * self.lattice.longest
         for at in range(0, len(more), step):
             self.text += more[at : at + step]
-            self.lattice.grow(self.text, self.ends, len(self.text))
+            self.state = self.lattice.grow(self.text, self.ends, len(self.text), self.state)
             if len(self.text) > 2 * step:
                 yield from self._commit()
 
     def _path(self, at: int) -> list[int]:
         out = [at]
         while at:
-            at -= len(self.ends[at])
+            at -= self.lattice.size[self.ends[at]]
             out.append(at)
         return out
 
-    def _commit(self) -> Iterator[str]:
+    def _commit(self) -> Iterator[int]:
         top = len(self.text)
         met = set(self._path(top))
         for at in range(max(0, top - self.lattice.longest + 1), top):
@@ -178,6 +228,6 @@ class Stream:
         yield from (self.ends[i] for i in sorted(self._path(boundary))[1:])
         self.text, self.ends = self.text[boundary:], self.ends[boundary:]
 
-    def finish(self) -> Iterator[str]:
+    def finish(self) -> Iterator[int]:
         yield from (self.ends[i] for i in sorted(self._path(len(self.text)))[1:])
-        self.text, self.ends = "", [""]
+        self.text, self.ends, self.state = "", [0], 0

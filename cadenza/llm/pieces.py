@@ -13,6 +13,7 @@ a fragment are kept and used again.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,52 +29,79 @@ MARK = "▁"
 SHORT = 48  # fragments up to this length are kept
 
 
+class Spelling:
+    """Bytes of every id.  ``vocabulary``: (piece, score, kind) per id with kind
+    normal, byte, control or unknown."""
+
+    def __init__(self, vocabulary: list[tuple[str, float, str]]):
+        spell = {"byte": lambda p: bytes([int(p[3:5], 16)]), "normal": lambda p: p.replace(MARK, " ").encode(), "control": lambda p: b"", "unknown": lambda p: " \u2047 ".encode()}
+        raw = [spell[kind](p) for p, _, kind in vocabulary]
+        self.size = np.array([len(b) for b in raw], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(raw), np.uint8)
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of rows of ids laid end to end; ``ends`` has one end more than rows, from 0."""
+        size = self.size[ids]
+        stop = np.concatenate(([0], np.cumsum(size)))
+        raw = self.flat[np.repeat(self.start[ids] - stop[:-1], size) + np.arange(stop[-1])].tobytes()
+        cuts = stop[ends].tolist()
+        # the mark that encoding put in front is taken off again
+        return [raw[a + 1 if raw[a : a + 1] == b" " else a : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+    def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+
+
 class Pieces:
-    """``vocabulary``: (piece, score, kind) per id with kind normal, byte,
-    control or unknown."""
+    """Encoder over the same vocabulary."""
 
-    def __init__(self, vocabulary: list[tuple[str, float, str]], memo: int = 400_000):
-        self.ids = {p: k for k, (p, _, kind) in enumerate(vocabulary) if kind == "normal"}
+    def __init__(self, vocabulary: list[tuple[str, float, str]], memo: int = 250_000):
+        ids = {p: k for k, (p, _, kind) in enumerate(vocabulary) if kind == "normal"}
         score = {p: -s for p, s, kind in vocabulary if kind == "normal"}
         self.byte = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(vocabulary) if kind == "byte"}
         self.unknown = next((k for k, v in enumerate(vocabulary) if v[2] == "unknown"), 0)
-        self.lattice = Lattice(self.ids, lambda a, b: score.get(a + b), list, memo)
+        self.lattice = Lattice(ids, lambda a, b: score.get(a + b), list, memo)
+        self.id_of = [-1, *ids.values()]
         self.kept = Bounded(self._encode, memo)
-        mixed = self._mixed()
+        mixed = self._mixed(ids)
         self.fragment = re.compile(rf"{MARK}*[^\W\d_{mixed}]+|{MARK}*(?:[^\w{MARK}]|[\d_{mixed}])+|{MARK}+")
-        whole = [re.compile(rf"{MARK}*(?:[^\W\d_{mixed}]+|(?:[^\w{MARK}]|[\d_{mixed}])+)?")]
-        assert all(whole[0].fullmatch(p) for p in self.ids), "a piece spans two fragments"
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.encode() if kind == "normal" else b"" if kind == "control" else " ⁇ ".encode() for p, _, kind in vocabulary]
+        whole = re.compile(rf"{MARK}*(?:[^\W\d_{mixed}]+|(?:[^\w{MARK}]|[\d_{mixed}])+)?")
+        assert all(whole.fullmatch(p) for p in ids), "a piece spans two fragments"
 
-    def _mixed(self) -> str:
+    @staticmethod
+    def _mixed(pieces) -> str:
         """Letters that some piece joins to other signs; they are cut like signs."""
         letter = re.compile(r"[^\W\d_]")
         out: set[str] = set()
         while True:
             sign = lambda c: c in out or not letter.match(c)
-            more = {c for p in self.ids for q in [p.lstrip(MARK)] if any(map(sign, q)) for c in q if not sign(c)}
+            more = {c for p in pieces for q in [p.lstrip(MARK)] if any(map(sign, q)) for c in q if not sign(c)}
             if not more:
                 return re.escape("".join(sorted(out)))
             out |= more
 
-    def _numbers(self, tokens: Iterator[str]) -> bytes:
-        out: list[int] = []
-        for t in tokens:
-            k = self.ids.get(t)
-            if k is not None:
-                out.append(k)
+    def _ids(self, text: str, numbers: list[int]) -> bytes:
+        id_of = self.id_of
+        if 0 not in numbers:
+            return array("i", [id_of[k] for k in numbers]).tobytes()
+        ids: list[int] = []
+        for k, t in zip(numbers, self.lattice.spelled(text, numbers)):
+            if k:
+                ids.append(id_of[k])
             elif self.byte:
-                out.extend(self.byte[b] for b in t.encode("utf-8", "surrogatepass"))
+                ids.extend(self.byte[b] for b in t.encode("utf-8", "surrogatepass"))
             else:
-                out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
+                ids.append(self.unknown)
+        return array("i", ids).tobytes()
 
     def _encode(self, fragment: str) -> bytes:
-        return self._numbers(self.lattice.tokens(fragment))
+        return self._ids(fragment, self.lattice.numbers(fragment))
 
     def _stream(self, fragment: str) -> bytes:
         stream = Stream(self.lattice)
-        return self._numbers(t for part in (stream.feed(fragment), stream.finish()) for t in part)
+        return self._ids(fragment, [*stream.feed(fragment), *stream.finish()])
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -83,19 +111,24 @@ class Pieces:
             return np.frombuffer(b"".join(map(self.kept.__getitem__, fragments)), np.int32)
         return np.frombuffer(b"".join(self.kept[f] if len(f) <= SHORT else self._stream(f) for f in fragments), np.int32)
 
-    def decode(self, ids) -> str:
-        raw = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return raw[1:] if raw[:1] == " " else raw
-
 
-@lru_cache(maxsize=2)
-def load_pieces(path: str) -> Pieces:
-    """Reads the vocabulary of a model file; the library only parses the file."""
+def read_vocabulary(path: str) -> list[tuple[str, float, str]]:
+    """Pieces of a model file; the library only parses the file."""
     from sentencepiece import SentencePieceProcessor
 
     p = SentencePieceProcessor(model_file=path)
     kind = lambda k: "byte" if p.is_byte(k) else "control" if p.is_control(k) else "unknown" if p.is_unknown(k) else "normal"
-    return Pieces([(p.id_to_piece(k), p.get_score(k), kind(k)) for k in range(p.get_piece_size())])
+    return [(p.id_to_piece(k), p.get_score(k), kind(k)) for k in range(p.get_piece_size())]
+
+
+@lru_cache(maxsize=2)
+def load_pieces(path: str) -> Pieces:
+    return Pieces(read_vocabulary(path))
+
+
+@lru_cache(maxsize=2)
+def load_spelling(path: str) -> Spelling:
+    return Spelling(read_vocabulary(path))
 
 
 def _packed(df: DataFrame, column: str, alias: str) -> DataFrame:
@@ -135,12 +168,15 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "decode
     back as a space; null ids give a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = load_pieces(model)
+        p = load_spelling(model)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                out = [None if x is None else p.decode(x) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, pa.string())], ["row", "out"])
+                lists = part.column("ids")
+                ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+                texts = p.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends)
+                out = pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("row"), out], ["row", "out"])
 
     rows = _packed(encoded, ids, "ids")
     out = rows.mapInArrow(run, row_and(rows, "out string")).withColumnRenamed("out", into)

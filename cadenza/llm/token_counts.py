@@ -51,7 +51,7 @@ def _byte_signs() -> list[str]:
 
 
 class Transducer:
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -76,21 +76,20 @@ class Transducer:
         """Runs the inner transducer over one pre-token: its count when the word ends there."""
         text = "".join([self.signs[b] for b in word.encode("utf-8", "surrogatepass")])
         lattice = self.lattice
-        if text + END in lattice.vocabulary and lattice.apart["", text + END]:
+        if lattice.whole(text + END):
             return 1
-        emitted, held = 0, ""
+        emitted, held, ends, state = 0, text, [0], 0
         if len(text) > 8 * lattice.longest:  # a long run: committed tokens are only counted
             stream = Stream(lattice)
-            emitted = sum(1 for _ in stream.feed(text))
-            held, ends = stream.text, stream.ends
+            emitted = sum(1 for _ in stream.feed(text[:-1]))
+            held, ends, state = stream.text + text[-1], stream.ends, stream.state
         else:
-            held, ends = text, [""]
-        lattice.grow(held, ends, len(held) - 1)
-        last = lattice.closing(held, ends, END)
-        at = len(held) + 1 - len(last)
+            state = lattice.grow(held, ends, len(held) - 1)
+        size = lattice.size
+        at = len(held) + 1 - size[lattice.closing(held, ends, END, state)]
         while at:
             emitted += 1
-            at -= len(ends[at])
+            at -= size[ends[at]]
         return emitted + 1
 
     def words(self, run: str) -> list[str]:
