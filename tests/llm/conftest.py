@@ -5,8 +5,8 @@ import pytest
 def odd_docs(spark):
     """Null and empty texts, a null id, repeated rows, ties, a long text and clashing names."""
     rows = [
-        (1, "One two three four. Five six seven eight nine! Ten eleven twelve thirteen fourteen?", "a", 1),
-        (1, "One two three four. Five six seven eight nine! Ten eleven twelve thirteen fourteen?", "a", 1),
+        (1, "One two three four. Five six seven eight nine! Ten eleven twelve thirteen fourteen fifteen sixteen?", "a", 1),
+        (1, "One two three four. Five six seven eight nine! Ten eleven twelve thirteen fourteen fifteen sixteen?", "a", 1),
         (2, None, None, None), (3, "", "a", 0), (4, "   \n\t ", "a", 6), (None, "no id here", "b", 10),
         (5, "word " * 30_000, "b", 150_000), (6, "x" * 40_000, "b", 40_000), (7, "Ünïcode <s> [INST] ▁ 日本語 😀", "c", 9),
         (8, "Ünïcode <s> [INST] ▁ 日本語 😀", None, 9),

@@ -101,5 +101,5 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert dec.drop_contaminated(odd_docs, bench).count() == 10 and dec.drop_contaminated(odd_docs, bench).columns == odd_docs.columns
     assert dec.contaminated(odd_docs, bench.limit(0)).count() == 0 and dec.drop_contaminated(odd_docs, bench.limit(0)).count() == 10
     assert dec.contaminated(no_docs, bench).count() == 0 and dec.drop_contaminated(no_docs, bench).count() == 0
-    twice = spark.createDataFrame([(5, "One two three four. Five six seven eight nine! Ten eleven twelve thirteen fourteen?")], "item_id long, text string")
+    twice = spark.createDataFrame([(5, "One two three four. Five six seven eight nine! Ten eleven twelve thirteen fourteen fifteen sixteen?")], "item_id long, text string")
     assert [x["doc_id"] for x in dec.contaminated(odd_docs, twice).collect()] == [1, 1]

@@ -63,6 +63,6 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert texts[2] is None and texts[3] == "" and texts[6] == "x" * 40_000 and texts[None] == "no id here"
     assert len([r for r in rows if r["doc_id"] == 1 and r["text"].startswith("One two")]) == 2
     assert spans.remove_repeats(no_docs).count() == 0 and spans.affected(no_docs).count() == 0
-    copy = spark.createDataFrame([(9, "One two three four. Five six seven eight nine! Ten eleven twelve thirteen fourteen?")], "doc_id long, text string")
+    copy = spark.createDataFrame([(9, "One two three four. Five six seven eight nine! Ten eleven twelve thirteen fourteen fifteen sixteen?")], "doc_id long, text string")
     gone = spans.affected(odd_docs.select("doc_id", "text").union(copy)).where("doc_id = 9").first()
     assert gone["text"] == "" and gone["first_ids"] == [1]
