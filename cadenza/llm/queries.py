@@ -17,7 +17,22 @@ def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_bits(F.col("bits")).alias("fingerprint"), "component_id")
 
 
-@query("op5_chat_format")
+CHAT_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r)
+), e AS (
+    SELECT *, regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '([<\[])(\\*)(/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g') AS r,
+        regexp_replace(text, '([<\[])(\\*)(/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g') AS t FROM c
+), g AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '') AS learned, sum(length(r) + length(t) + 9) AS formatted FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted::BIGINT AS formatted_chars FROM g
+"""
+
+
+@query("op5_chat_format", CHAT_SQL)
 def op5_chat_format(spark: SparkSession, d: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, d, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(own)
@@ -30,7 +45,21 @@ def op5_chat_format(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("op7_shards")
+# Steps of the CRC-32 polynomial for four bits.
+CRC_STEPS = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+SHARD_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('s' || source, 'null') AS stratum FROM documents),
+ h AS (SELECT doc_id, stratum, strlen(t) + 16 AS size, hex(encode(t)) AS x FROM d),
+ c AS (SELECT doc_id, stratum, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x)), lambda i: instr('0123456789ABCDEF', x[xor(i, 1) + 1]) - 1)),
+  lambda c, n: xor(c >> 4, {CRC_STEPS}[(xor(c, n) & 15) + 1])), 4294967295) AS crc FROM h),
+ m AS (SELECT *, md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || crc) AS mark FROM c),
+ r AS (SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY mark, size) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY stratum))::DOUBLE AS fraction FROM m),
+ p AS (SELECT *, row_number() OVER (ORDER BY fraction, mark, size, stratum) - 1 AS place, count(*) OVER () AS n FROM r)
+ SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (place * 40 // n)::INTEGER AS shard, place - ((place * 40 // n) * n + 39) // 40 AS slot, NULL::INTEGER AS grown_shard, stratum FROM p
+"""
+
+
+@query("op7_shards", SHARD_SQL)
 def op7_shards(spark: SparkSession, d: str) -> DataFrame:
     rows = sharding.interleaved_shards(table(spark, d, "documents"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "stratum")
