@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.core.session import settings
+
 # Patterns that mark text decoded with the wrong charset.
 DAMAGE_MARKERS = [
     "[\\uE000-\\uF8FF]", "銆\\?", "锛\\?", "鈥\\?", "€\\?", "(?:鐨|鍔ㄤ|璁|瑙|缁|闂|绋|鎷|杩|寤鸿|璇|浣|鏁)",
@@ -44,11 +46,11 @@ FILMING = "(?i)拍摄|重拍|补拍|机位|镜头|入镜|取景|相机|摄像|
 METRIC_WORDS = "(?i)覆盖率|置信度|可见度|识别率"
 
 
-def enable_charsets(spark: SparkSession) -> None:
-    """GB18030 is only reachable with the legacy charset switch; bytes it cannot
-    map become replacement characters, which the repair then refuses."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+def charsets(spark: SparkSession):
+    """Block in which GB18030 can be read: it needs the legacy charset switch;
+    bytes it cannot map become replacement characters, which the repair then
+    refuses.  Results have to be stored inside the block."""
+    return settings(spark, {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"})
 
 
 def translate_terms(c: Column) -> Column:
@@ -66,7 +68,7 @@ def damage_score(c: Column) -> Column:
 
 def repair_text(c: Column) -> Column:
     """Undo UTF-8 text that was read as GB18030; text that cannot be repaired for
-    sure becomes empty.  Needs ``enable_charsets``."""
+    sure becomes empty.  Runs inside ``charsets``."""
     original = F.coalesce(c, F.lit(""))
     before = damage_score(original)
     guarded = original

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.core.layout import with_ordinal
 from cadenza.core.rangejoin import first_per, top_k
-from cadenza.core.session import materialise
+from cadenza.core.session import materialise, settings
 from cadenza.functions import dims, text
 from cadenza.operators import jobs as J
 from cadenza.operators import review, scoring
@@ -24,17 +24,17 @@ from cadenza.sources import scans
 
 @query("x5_repair_text", "SELECT doc_id, sha256(text) AS text_hash FROM documents")
 def x5(spark, d):
-    text.enable_charsets(spark)
-    return read(spark, d, "documents").select("doc_id", F.sha2(text.repair_text(F.col("text")), 256).alias("text_hash"))
+    with text.charsets(spark):
+        return materialise(read(spark, d, "documents").select("doc_id", F.sha2(text.repair_text(F.col("text")), 256).alias("text_hash")))
 
 
 @query("x5_repair_damaged_text")
 def x5b(spark, d):
-    text.enable_charsets(spark)
     t = F.regexp_replace("text", "(?i)the|que|der|los", "动作建议，稳定。")
     damaged = F.decode(F.encode(F.concat(t, F.lit(" 动作建议，训练问题的视频")), "UTF-8"), "GB18030")
     out = read(spark, d, "documents").select("doc_id", text.damage_score(damaged).cast("long").alias("damage"), F.length(text.repair_text(damaged)).cast("long").alias("chars"))
-    return out
+    with text.charsets(spark):
+        return materialise(out)
 
 
 def q_terms(e):
@@ -337,13 +337,13 @@ def st1(spark, d):
 
     base = stream_folder(spark)
     people(spark, d).write.mode("overwrite").parquet(f"{base}/in")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    store = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     source = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     out = track_target_stream(source)
-    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    r = spark.read.parquet(f"{base}/out")
+    with settings(spark, store):
+        q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    r = spark.read.parquet(f"{base}/out").where("not late")
     return r.select("video_id", "frame_index", "selected", "candidates", "rejected", "switched", r6("lock_confidence"), r6("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from cadenza.operators.tracking import choose
 
 TRACK_SCHEMA = (
     "video_id bigint, frame_index bigint, selected int, candidates int, rejected boolean, switched boolean, "
-    "lock_confidence double, score double"
+    "lock_confidence double, score double, late boolean"
 )
 _BOX = ("x1", "y1", "x2", "y2")
 
@@ -21,8 +22,9 @@ _BOX = ("x1", "y1", "x2", "y2")
 class Tracker(StatefulProcessor):
     """Holds the tracked box and the last frame index of one video.
 
-    Frames are sorted inside a batch; frames at or before the last seen index
-    have no reference semantics and are dropped.
+    Frames are sorted inside a batch.  A frame at or before the last seen index
+    can no longer move the box: it comes out as a row with ``late`` set and no
+    verdict, so nothing is lost without trace.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -36,12 +38,13 @@ class Tracker(StatefulProcessor):
         out = []
         for frame in frames.itertuples(index=False):
             if frame.frame_index <= last:
+                out.append({"video_id": key[0], "frame_index": int(frame.frame_index), "late": True})
                 continue
             last = int(frame.frame_index)
             people = [dict(zip(("no", "base", *_BOX), map(float, frame.p[i : i + 6]))) for i in range(0, len(frame.p), 6)]
             if people:
                 verdict, box = choose(people, box)
-                out.append({"video_id": key[0], "frame_index": last} | verdict)
+                out.append({"video_id": key[0], "frame_index": last, "late": False} | verdict)
         self.held.update((*(box[b] for b in _BOX), last) if box else (None, None, None, None, last))
         names = [c.split()[0] for c in TRACK_SCHEMA.split(", ")]
         yield pd.DataFrame(out, columns=names)
@@ -60,24 +63,27 @@ def track_target_stream(frames: DataFrame) -> DataFrame:
 
 
 def latest_of_batch(batch: DataFrame) -> DataFrame:
-    """Newest version of each job inside one batch."""
+    """Newest version of each job inside one batch; equal versions by the greater record."""
     rest = [c for c in batch.columns if c != "job_id"]
-    return batch.groupBy("job_id").agg(F.max_by(F.struct(*rest), F.col("version")).alias("r")).select("job_id", "r.*")
+    newest = F.max(F.struct(F.col("version").alias("_v"), F.struct(*rest).alias("r")))
+    return batch.groupBy("job_id").agg(newest.alias("b")).select("job_id", "b.r.*")
 
 
 def ingest_results_stream(source: DataFrame, table_path: str, checkpoint: str, trigger: dict | None = None):
     """Append new job records once, by batch.
 
-    Every batch writes its own folder with overwrite, so a replayed batch
-    replaces itself; readers take the newest version per job.
+    Every batch of a checkpoint writes its own folder with overwrite, so a
+    replayed batch replaces itself and a stream with another checkpoint never
+    touches it; readers take the newest version per job.
     """
+    source_id = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def store(batch: DataFrame, epoch: int) -> None:
-        latest_of_batch(batch).write.mode("overwrite").parquet(f"{table_path}/batch={epoch}")
+        latest_of_batch(batch).write.mode("overwrite").parquet(f"{table_path}/source={source_id}/batch={epoch}")
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current_status(stored: DataFrame) -> DataFrame:
     """Latest record per job over all ingested batches."""
-    return latest_of_batch(stored.drop("batch"))
+    return latest_of_batch(stored.drop("source", "batch"))

@@ -105,11 +105,11 @@ def test_stream_equals_batch(spark):
 
 
 def test_text_repair(spark):
-    text.enable_charsets(spark)
     known = ["训练视频的问题与建议", "动作质量分析结果很好"]  # an even number of bytes each, so nothing is lost on the way
     damaged = [w.encode().decode("gb18030") for w in known]
     df = spark.createDataFrame([("plain lat pulldown",), *[(x,) for x in damaged], ("鐨勭殑鐨",)], "t string")
-    got = [r[0] for r in df.select(text.repair_text(F.col("t"))).collect()]
+    with text.charsets(spark):
+        got = [r[0] for r in df.select(text.repair_text(F.col("t"))).collect()]
     assert got[0] == "plain 高位下拉"
     assert got[1:3] == known
     drop = spark.createDataFrame([("膝盖稳定。请重拍视频！继续",)], "t string").select(text.drop_sentences(F.col("t"))).first()[0]
@@ -152,3 +152,23 @@ def test_json_files(spark):
     case = scans.scan_eval_manifest(spark, f"{m}/m.json", r).first()
     assert case.video.actionType == "row" and case.expected[0].end_ms == 5
     assert jobs.user_key(F.lit("a" * 16)) is not None
+
+
+def test_late_frames_come_out_marked(spark):
+    import uuid
+
+    from cadenza.core.session import ensure_checkpoint_dir, settings
+    from cadenza.streaming.live import track_target_stream
+
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/late-{uuid.uuid4().hex}"
+    person = "array<struct<no:double,base:double,x1:double,y1:double,x2:double,y2:double>>"
+    rows = lambda frames: spark.createDataFrame([(1, k, [(0.0, 0.9, 0.1, 0.1, 0.4, 0.9)]) for k in frames], f"video_id long, frame_index long, people {person}")
+    for part in ([0, 1, 5], [3, 5, 6]):
+        rows(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        store = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+        with settings(spark, store):
+            out = track_target_stream(spark.readStream.schema(rows([0]).schema).parquet(f"{base}/in"))
+            out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["frame_index"], r["late"]) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [(0, False), (1, False), (3, True), (5, False), (5, True), (6, False)]
