@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -46,3 +48,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Colu
         chosen = part if chosen is None else chosen.union(part)
     found = rows.join(F.broadcast(chosen), "k_id")
     return found.groupBy("k_id", "label").agg(F.min("text").alias("text")).select("k_id", "label", "text")
+
+
+def passing(df: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """``df`` as one struct column ``row`` that passes through Python, and the
+    place of its text in there: the text travels once."""
+    if dict(df.dtypes)[text] != "string":
+        df = df.withColumn(text, F.col(f"`{text}`").cast("string"))
+    return df.select(whole_row(df)), df.columns.index(text)
+
+
+def inner(batch: pa.RecordBatch, k: int) -> pa.Array:
+    """Field number ``k`` of the struct column ``row``."""
+    return pc.struct_field(batch.column("row"), [k])

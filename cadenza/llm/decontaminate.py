@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import doc_key, row_and, whole_row
+from cadenza.llm.common import doc_key, inner, passing
 
 STRIDE, BLOCK, SHINGLE = 64, 32, 5
 K1, B = 1.2, 0.75
@@ -288,10 +288,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6,
             for b in batches:
                 for at in range(0, b.num_rows, SMALL):
                     part = b.slice(at, SMALL)
-                    gone = {g[0] for g in shared.value.matches(part.column("text").to_pylist())}
-                    yield part.filter(pa.array([k not in gone for k in range(part.num_rows)], pa.bool_())).select(["row"])
+                    gone = {g[0] for g in shared.value.matches(inner(part, place).to_pylist())}
+                    yield part.filter(pa.array([k not in gone for k in range(part.num_rows)], pa.bool_()))
 
-        packed = docs.select(whole_row(docs), F.col(text).cast("string").alias("text"))
-        schema = row_and(packed, "text string")
-        docs = packed.mapInArrow(keep, type(schema)(schema.fields[:1])).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+        packed, place = passing(docs, text)
+        docs = packed.mapInArrow(keep, packed.schema).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import row_and, whole_row
+from cadenza.llm.common import inner, passing, row_and, whole_row
 from cadenza.llm.lattice import Bounded, Lattice, Stream
 
 MARK = "▁"
@@ -131,10 +131,6 @@ def load_spelling(path: str) -> Spelling:
     return Spelling(read_vocabulary(path))
 
 
-def _packed(df: DataFrame, column: str, alias: str) -> DataFrame:
-    return df.select(whole_row(df), F.col(f"`{column}`").alias(alias))
-
-
 def _unpacked(out: DataFrame, names: list[str], *more: str) -> DataFrame:
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c not in more], *more)
 
@@ -152,12 +148,12 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [p.encode(t or "") for t in part.column("text").to_pylist()]
+                ids = [p.encode(t or "") for t in inner(part, k).to_pylist()]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), lists], ["row", "ids"])
 
-    rows = _packed(docs.withColumn(text, F.col(text).cast("string")), text, "text")
+    rows, k = passing(docs, text)
     out = rows.mapInArrow(run, row_and(rows, "ids array<int>")).withColumn("n_ids", F.size("ids").cast("long"))
     return _unpacked(out, docs.columns, "ids", "n_ids")
 
@@ -172,12 +168,12 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "decode
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                lists = part.column("ids")
+                lists = inner(part, k)
                 ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
                 texts = p.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends)
                 out = pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("row"), out], ["row", "out"])
 
-    rows = _packed(encoded, ids, "ids")
+    rows, k = encoded.select(whole_row(encoded)), encoded.columns.index(ids)
     out = rows.mapInArrow(run, row_and(rows, "out string")).withColumnRenamed("out", into)
     return _unpacked(out, encoded.columns, into)

@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.core.session import materialise
-from cadenza.llm.common import doc_key, row_and, whole_row
+from cadenza.llm.common import doc_key, inner, row_and, whole_row
 
 RUN, WORDS, LONG = 3, 15, 24
+SMALL = 256  # rows cut at a time
+CUT = "left string, n_units long, n_removed long, words_removed long"
 ENDS = re.compile(r"((?<=[.!?])\s+|\s*\n\s*)")
 WORD = re.compile(r"\S+")
 
@@ -118,34 +120,42 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return found.where(later).select("k_id", "k_text", "at", "n", F.col("first.k_id").alias("first_id"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        left, whole, gone, lost = [], [], [], []
-        for text, spans in zip(b.column("text"), b.column("spans")):
-            text, spans = text.as_py(), spans.as_py()
-            if not spans:
-                left.append(text)
-                whole.append(None)
-                gone.append(0)
-                lost.append(0)
-                continue
-            at, counts, _ = units(text)
-            out = np.zeros(len(at), bool)
-            for s in spans:
-                out[s["at"] : s["at"] + s["n"]] = True
-            keep, last = [], 0
-            starts = [*[s for s, _ in at], len(text)]
-            for k in np.flatnonzero(out).tolist():
-                keep.append(text[last : starts[k]])
-                last = starts[k + 1]
-            left.append("".join([*keep, text[last:]]).strip() if out.any() else text)
-            whole.append(len(at))
-            gone.append(int(out.sum()))
-            lost.append(int(np.array(counts)[out].sum()))
-        cols = [b.column(c) for c in b.schema.names if c not in ("text", "spans")]
-        names = [c for c in b.schema.names if c not in ("text", "spans")]
-        cols += [pa.array(left, pa.string()), pa.array(whole, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, [*names, "left", "n_units", "n_removed", "words_removed"])
+def _cutter(k: int):
+    """Batches of (row, spans, ...) with the text as field ``k`` of row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, SMALL):
+                yield _cut(b.slice(at, SMALL), k)
+
+    return run
+
+
+def _cut(b: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    left, whole, gone, lost = [], [], [], []
+    for text, spans in zip(inner(b, k), b.column("spans")):
+        text, spans = text.as_py(), spans.as_py()
+        if not spans:
+            left.append(text)
+            whole.append(None)
+            gone.append(0)
+            lost.append(0)
+            continue
+        at, counts, _ = units(text)
+        out = np.zeros(len(at), bool)
+        for s in spans:
+            out[s["at"] : s["at"] + s["n"]] = True
+        keep, last = [], 0
+        starts = [*[s for s, _ in at], len(text)]
+        for u in np.flatnonzero(out).tolist():
+            keep.append(text[last : starts[u]])
+            last = starts[u + 1]
+        left.append("".join([*keep, text[last:]]).strip() if out.any() else text)
+        whole.append(len(at))
+        gone.append(int(out.sum()))
+        lost.append(int(np.array(counts)[out].sum()))
+    cols = [b.column("row"), pa.array(left, pa.string()), pa.array(whole, pa.int64()), pa.array(gone, pa.int64()), pa.array(lost, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["row", "left", "n_units", "n_removed", "words_removed"])
 
 
 def _covered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -162,8 +172,9 @@ def affected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     documents that keep the repeats), n_units, n_removed, words_removed, text
     (what is left)."""
     rows = docs.select(*doc_key(doc_id, text), F.col(text).cast("string").alias("text")).join(_covered(docs, doc_id, text), _meets())
-    out = rows.select("k_id", "first_ids", "text", "spans").mapInArrow(_cut, "k_id long, first_ids array<long>, left string, n_units long, n_removed long, words_removed long")
-    return out.select(F.col("k_id").alias("doc_id"), "first_ids", "n_units", "n_removed", "words_removed", F.col("left").alias("text"))
+    packed = rows.select(F.struct("k_id", "first_ids", "text").alias("row"), "spans")
+    out = packed.mapInArrow(_cutter(2), row_and(packed, CUT))
+    return out.select(F.col("row.k_id").alias("doc_id"), F.col("row.first_ids").alias("first_ids"), "n_units", "n_removed", "words_removed", F.col("left").alias("text"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,7 +185,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     search: their repeats are those of that document, so both keep the same
     text.  A text that only repeats earlier ones becomes empty.  An empty
     table gives an empty result; columns of any name pass through."""
-    packed = docs.select(whole_row(docs), *doc_key(doc_id, text), F.col(text).cast("string").alias("text"))
-    joined = packed.join(_covered(docs, doc_id, text), _meets(), "left").select("row", "text", "spans")
-    out = joined.mapInArrow(_cut, row_and(packed, "left string, n_units long, n_removed long, words_removed long"))
+    if dict(docs.dtypes)[text] != "string":
+        docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
+    packed = docs.select(whole_row(docs), *doc_key(doc_id, text)).join(_covered(docs, doc_id, text), _meets(), "left").select("row", "spans")
+    out = packed.mapInArrow(_cutter(docs.columns.index(text)), row_and(packed, CUT))
     return out.select(*[F.col("left").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import fold_of, labelled_sample, row_and, whole_row
+from cadenza.llm.common import fold_of, inner, labelled_sample, passing, row_and
 
 WINDOW, STEP = 48, 36
 HIDDEN, DIM, POOL = 8, 8, 8
@@ -315,10 +315,10 @@ def with_scores(docs: DataFrame, net: Network | None, text: str = "text", score:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                got = score_texts(net, table, part.column("text").to_pylist())
+                got = score_texts(net, table, inner(part, k).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(got, pa.float64())], ["row", "score"])
 
-    packed = docs.select(whole_row(docs), F.col(text).cast("string").alias("text"))
+    packed, k = passing(docs, text)
     out = packed.mapInArrow(run, row_and(packed, "score double"))
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != score], F.col("score").alias(score))
 
