@@ -119,10 +119,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(classes, "bits").select(F.col("k_id").alias("doc_id"), "bits", "component_id")
 
 
-def _rooted(marked: DataFrame, least: Column, most: int) -> DataFrame:
+def _rooted(marked: DataFrame, least: Column, most: int, more: DataFrame | None = None) -> DataFrame:
     """(bits, root, least) per different fingerprint."""
     groups = materialise(marked.groupBy("bits").agg(least.alias("least")))
-    roots = materialise(connected_components(links(groups.select("bits"), most)).select(F.col("node").alias("bits"), "root"))
+    near = links(groups.select("bits"), most)
+    near = near if more is None else near.union(more.select("a", "b"))
+    roots = materialise(connected_components(near).select(F.col("node").alias("bits"), "root"))
     return materialise(groups.join(roots, "bits", "left").select("bits", F.coalesce("root", "bits").alias("root"), "least"))
 
 
@@ -130,13 +132,14 @@ def hex_bits(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 3, more: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` of which one stays per component: the one with the
     least doc_id (a null id last, then the least text hash; of equal rows,
-    one).  All columns are kept."""
+    one).  ``more`` holds further links (a, b) between fingerprints.  All
+    columns are kept."""
     marked = materialise(with_fingerprints(docs, doc_id, text))
     order = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")
-    stay = _rooted(marked, F.min(order), most).groupBy("root").agg(F.min("least").alias("s"))
+    stay = _rooted(marked, F.min(order), most, more).groupBy("root").agg(F.min("least").alias("s"))
     stay = materialise(stay.select(F.coalesce("s.k_id", F.lit(0)).alias("s_id"), "s.none", F.col("s.k_text").alias("s_text")))
     packed = docs.select(whole_row(docs), *doc_key(doc_id, text))
     kept = packed.join(stay, (F.coalesce("k_id", F.lit(0)) == F.col("s_id")) & (F.col("k_id").isNull() == F.col("none")) & (F.col("k_text") == F.col("s_text")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.core.session import materialise
-from cadenza.llm import decontaminate, pieces, simhash, spans, toxicity
+from cadenza.llm import decontaminate, minhash, pieces, simhash, spans, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOXIC = 0.7
@@ -26,8 +26,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: texts link by op1's
+    fingerprints or by a Jaccard index of five-word shingles of 0.8 or more."""
+    return simhash.keep_one(docs, more=minhash.links(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
