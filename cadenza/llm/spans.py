@@ -1,9 +1,12 @@
 """Substring dedup over sliding runs of consecutive sentences.
 
 A text is cut into units: sentences (ended by . ! ? and white space) and
-lines; a unit of more than LONG words is cut again after words chosen by their
-own hash, so that equal wording is cut alike wherever it stands.  From every
-unit starts one run: the fewest units, RUN at least, that hold WORDS words.
+lines, and inside them after every word whose hash is the least of the NEAR
+words before and after it, so that equal wording is cut alike wherever it
+stands and however long its sentence is.  Units that find no such word (a few
+words over and over) are cut by length.  From every unit starts one run, and at
+every unit ends one: the fewest units, RUN at least, that hold WORDS words.
+Together they cover every unit of a repeated passage that holds such a run.
 Runs with equal hashes anywhere in the corpus are repeats; the first in the
 order (doc_id, text hash, unit) stays, and units covered by any other go.
 """
@@ -23,55 +26,89 @@ from pyspark.sql import functions as F
 from cadenza.core.session import materialise
 from cadenza.llm.common import doc_key, inner, row_and, whole_row
 
-RUN, WORDS, LONG = 3, 15, 24
+RUN, WORDS, NEAR, LONG, STEP = 3, 15, 3, 24, 12
 SMALL = 256  # rows cut at a time
 CUT = "left string, n_units long, n_removed long, words_removed long"
-ENDS = re.compile(r"((?<=[.!?])\s+|\s*\n\s*)")
 WORD = re.compile(r"\S+")
 
 
+def _bounds(words: list[str], line_ends: list[int]) -> np.ndarray:
+    """Ends of the units, as numbers of words; ``words`` in lower case."""
+    n = len(words)
+    last = np.fromiter((w[-1] in ".!?" for w in words), bool, n)
+    last[np.array(line_ends, np.int64) - 1] = True
+    last[-1:] = True
+    cut = last.copy()
+    if n > 2 * NEAR:
+        v = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, n)
+        m = n - 2 * NEAR
+        mid, least = v[NEAR : NEAR + m], np.ones(m, bool)
+        for k in range(NEAR):
+            least &= (mid < v[k : k + m]) & (mid <= v[NEAR + 1 + k : NEAR + 1 + k + m])
+        ended = np.concatenate(([0], np.cumsum(last)))
+        cut[NEAR : NEAR + m] |= least & (ended[2 * NEAR : 2 * NEAR + m] == ended[:m])
+    ends = np.flatnonzero(cut) + 1
+    size = np.diff(ends, prepend=0)
+    if n and size.max() > LONG:
+        forced = [np.arange(e - c + STEP, e, STEP) for e, c in zip(ends[size > LONG].tolist(), size[size > LONG].tolist())]
+        ends = np.sort(np.concatenate([ends, *forced]))
+    return ends
+
+
+def _units(text: str) -> tuple[np.ndarray, list[int]]:
+    """Ends (in words) and hashes of the units of a text, in order."""
+    words: list[str] = []
+    line_ends = []
+    for line in text.lower().split("\n"):
+        if part := line.split():
+            words += part
+            line_ends.append(len(words))
+    ends = _bounds(words, line_ends)
+    at, hashes = 0, []
+    for e in ends.tolist():
+        hashes.append(xxhash.xxh64_intdigest(" ".join(words[at:e]).encode("utf-8", "surrogatepass")))
+        at = e
+    return ends, hashes
+
+
 def units(text: str) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """Spans, word counts and hashes of the units of a text, in order."""
+    ends, hashes = _units(text)
+    places = [m.span() for m in WORD.finditer(text)]
     spans: list[tuple[int, int]] = []
-    counts: list[int] = []
-    hashes: list[int] = []
-    at = 0
-    parts = ENDS.split(text)
-    for k, part in enumerate(parts):
-        words = part.split() if k % 2 == 0 else ()
-        if len(words) > LONG:
-            start, kept = 0, []
-            for m in WORD.finditer(part):
-                kept.append(m.group())
-                if len(kept) >= 4 and zlib.crc32(kept[-1].encode("utf-8", "surrogatepass")) % 6 == 0:
-                    spans.append((at + start, at + m.end()))
-                    counts.append(len(kept))
-                    hashes.append(_hash(kept))
-                    start, kept = m.end(), []
-            if kept:
-                spans.append((at + start, at + len(part)))
-                counts.append(len(kept))
-                hashes.append(_hash(kept))
-        elif words:
-            spans.append((at, at + len(part)))
-            counts.append(len(words))
-            hashes.append(_hash(words))
-        at += len(part)
-    return spans, counts, hashes
-
-
-def _hash(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
-
-
-def runs(counts: list[int], hashes: list[int]) -> tuple[list[int], list[int]]:
-    """Units and hash of the run that starts at each unit; starts too near the end have none."""
-    raw = np.array(hashes, dtype=np.uint64).tobytes()
-    total = np.concatenate(([0], np.cumsum(counts)))
-    ends = np.searchsorted(total, total[:-1] + WORDS)
-    ends = np.maximum(ends, np.arange(len(counts)) + RUN)
-    ends = ends[ends <= len(counts)].tolist()
-    return [e - i for i, e in enumerate(ends)], [xxhash.xxh64_intdigest(raw[8 * i : 8 * e]) for i, e in enumerate(ends)]
+    first = 0
+    for e in ends.tolist():
+        start = places[first][0]
+        if spans and text[places[first - 1][1] - 1] not in ".!?" and "\n" not in text[spans[-1][1] : start]:
+            start = spans[-1][1]
+        spans.append((start, places[e - 1][1]))
+        first = e
+    return spans, np.diff(ends, prepend=0).tolist(), hashes
+
+
+def runs(counts: list[int], hashes: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """(first unit, units) and hash of the runs that start or end at each unit;
+    where too few units are left there is none."""
+    raw, n = np.array(hashes, dtype=np.uint64).tobytes(), len(counts)
+    total = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    ends = np.maximum(np.searchsorted(total, total[:-1] + WORDS), np.arange(n) + RUN)
+    starts = np.minimum(np.searchsorted(total, total[1:] - WORDS, side="right") - 1, np.arange(1, n + 1) - RUN)
+    on, back = ends <= n, starts >= 0
+    both = np.concatenate((np.arange(n)[on] * (n + 1) + ends[on], starts[back] * (n + 1) + np.arange(1, n + 1)[back]))
+    found = [divmod(x, n + 1) for x in np.unique(both).tolist()]
+    return [(i, e - i) for i, e in found], [xxhash.xxh64_intdigest(raw[8 * i : 8 * e]) for i, e in found]
+
+
+def _only_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys: list[int] = []
+        for text in b.column("text"):
+            ends, hashes = _units(text.as_py() or "")
+            keys += runs(np.diff(ends, prepend=0), hashes)[1]
+            if len(keys) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64))], ["h"])
+                keys = []
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64))], ["h"])
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,18 +118,18 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def flush():
             take = pa.array(np.concatenate([np.full(len(n), r, np.int64) for r, n in zip(rows, size)]) if rows else np.zeros(0, np.int64))
-            cols = [k_id.take(take), k_text.take(take), pa.array(np.concatenate(at or [[]]).astype(np.int32)), pa.array(np.concatenate(size or [[]]).astype(np.int32)), pa.array(np.concatenate(keys or [[]]).astype(np.uint64).view(np.int64))]
-            return pa.RecordBatch.from_arrays(cols, ["k_id", "k_text", "at", "n", "h"])
+            cols = [k_id.take(take), k_text.take(take), pa.array(np.concatenate(at or [[]]).astype(np.int64) << 32 | np.concatenate(size or [[]]).astype(np.int64)), pa.array(np.concatenate(keys or [[]]).astype(np.uint64).view(np.int64))]
+            return pa.RecordBatch.from_arrays(cols, ["k_id", "k_text", "span", "h"])
 
         for r, text in enumerate(b.column("text")):
-            _, counts, hashes = units(text.as_py() or "")
-            n, h = runs(counts, hashes)
-            if n:
+            ends, hashes = _units(text.as_py() or "")
+            found, h = runs(np.diff(ends, prepend=0), hashes)
+            if found:
                 rows.append(r)
-                size.append(n)
-                at.append(np.arange(len(n)))
+                at.append([i for i, _ in found])
+                size.append([n for _, n in found])
                 keys.append(np.array(h, np.uint64))
-                held += len(n)
+                held += len(h)
             if held > 200_000:
                 yield flush()
                 size, at, rows, keys, held = [], [], [], [], 0
@@ -101,7 +138,7 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _all_runs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(*doc_key(doc_id, text), F.col(text).cast("string").alias("text")).mapInArrow(_spread, "k_id long, k_text long, at int, n int, h long")
+    return docs.select(*doc_key(doc_id, text), F.col(text).cast("string").alias("text")).mapInArrow(_spread, "k_id long, k_text long, span long, h long")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,15 +146,18 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     first_id); ``at`` and ``n`` count units.
 
     The runs are made twice from the text instead of being stored: counting
-    needs one partial aggregate per hash, and the repeated hashes, written
-    once, meet the runs in an equi-join whose hot keys the adaptive planner
-    splits."""
-    owner = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text", "at")
-    once = _all_runs(docs, doc_id, text).groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min(owner).alias("first"))
-    again = materialise(once.where("copies > 1").select(F.col("h").alias("key"), "first"))
-    found = _all_runs(docs, doc_id, text).join(again, F.col("h") == F.col("key"))
-    later = ~(F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text")) & (F.col("at") == F.col("first.at")))
-    return found.where(later).select("k_id", "k_text", "at", "n", F.col("first.k_id").alias("first_id"))
+    needs one partial aggregate of bare hashes, and the repeated hashes,
+    written once, meet the runs in an equi-join whose hot keys the adaptive
+    planner splits.  Only runs that are repeats are compared by owner.  ``at`` and ``n``
+    travel as one number."""
+    hashes = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_only_hashes, "h long")
+    again = materialise(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("h").alias("key")))
+    found = materialise(_all_runs(docs, doc_id, text).join(again, F.col("h") == F.col("key")).drop("key"))
+    owner = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text", "span")
+    first = found.groupBy(F.col("h").alias("key")).agg(F.min(owner).alias("first"))
+    later = ~(F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text")) & (F.col("span") == F.col("first.span")))
+    at, n = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return found.join(first, F.col("h") == F.col("key")).where(later).select("k_id", "k_text", at.alias("at"), n.alias("n"), F.col("first.k_id").alias("first_id"))
 
 
 def _cutter(k: int):
