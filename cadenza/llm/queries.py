@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, maxscore, pieces, quality, sharding, simhash, spans, token_counts, toxicity
+from cadenza.llm import align, chat, decontaminate, infill, maxscore, pieces, quality, sharding, simhash, spans, token_counts, toxicity, urls
 from cadenza.llm.common import table
 from cadenza.llm.registry import query
 
@@ -115,3 +117,45 @@ WHERE rank <= 10
 @query("op3_maxscore", TOP_K_SQL)
 def op3_maxscore(spark: SparkSession, d: str) -> DataFrame:
     return maxscore.top_k(table(spark, d, "embeddings"), every=100, k=10)
+
+
+def _digest(groups: bytes) -> str:
+    return hashlib.sha256(groups).hexdigest() if groups else ""
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.alignments(table(spark, d, "documents"), a, b, shape=_digest).withColumnRenamed("groups", "groups_sha256")
+
+
+INFILL_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+ u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS lines, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(x, k, 8))::BIGINT) AS h FROM d),
+ c AS (SELECT *, len(lines) AS n, least(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS a, greatest(h[1] % (len(lines) + 1), h[2] % (len(lines) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ p AS (SELECT doc_id, t, n, form, array_to_string(lines[1:a], '') AS pre, array_to_string(lines[a + 1:b], '') AS mid, array_to_string(lines[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(t) AS restored_sha256
+FROM p
+""".replace("\\n", "\n")
+
+
+@query("op12_fill_in_middle", INFILL_SQL)
+def op12_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, d, "documents").select("doc_id", "text"), seed=7, percent=100, percent_spm=50, unit="line")
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+# The rules of the query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op13_url_filter")
+def op13_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    judged = urls.judge(table(spark, d, "pages"), urls.rule_table(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
