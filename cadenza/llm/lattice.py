@@ -59,7 +59,8 @@ class Lattice:
         self.longest = max(self.size)
         self.base = len(self.names)
         self.apart = Bounded(self._pair, memo)  # key: left * base + right
-        self.made: dict[str, tuple | None] = {}
+        self.fallen = Bounded(self._fall, memo)  # key: state, sign
+        self.made: dict[str, tuple | None] = {}  # of tokens, so bounded by the vocabulary
         # automaton over all tokens: steps of a state, where a mismatch falls back to, tokens that end in it (longest first)
         self.steps: list[dict[str, int]] = [{}]
         self.falls, self.outs = [0], [()]
@@ -89,17 +90,18 @@ class Lattice:
             level = below
 
     def step(self, state: int, sign: str) -> int:
-        """The state after one more sign; found fall-backs are kept as steps."""
+        """The state after one more sign; found fall-backs are kept in a bounded memo."""
         after = self.steps[state].get(sign)
         if after is None:
-            if sign not in self.signs:
-                return 0
-            at = state
-            while at and sign not in self.steps[at]:
-                at = self.falls[at]
-            after = self.steps[state][sign] = self.steps[at].get(sign, 0)
+            after = self.fallen[state, sign] if sign in self.signs else 0
         return after
 
+    def _fall(self, key: tuple[int, str]) -> int:
+        state, sign = key
+        while state and sign not in self.steps[state]:
+            state = self.falls[state]
+        return self.steps[state].get(sign, 0)
+
     def _made(self, token: str) -> tuple[float, str, str] | None:
         """Rank and halves of the merge that completes a token on its own;
         rank -1 for a symbol, None where ranks do not rise on the way."""
@@ -200,7 +202,7 @@ class Stream:
 
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
-        self.text, self.ends, self.state = "", [0], 0
+        self.text, self.ends, self.state, self.commits = "", [0], 0, 0
 
     def feed(self, more: str) -> Iterator[int]:
         step = 8 * self.lattice.longest
@@ -225,9 +227,11 @@ class Stream:
         boundary = max(met)
         if not boundary:
             return
+        self.commits += 1
         yield from (self.ends[i] for i in sorted(self._path(boundary))[1:])
         self.text, self.ends = self.text[boundary:], self.ends[boundary:]
 
     def finish(self) -> Iterator[int]:
+        self.commits += 1
         yield from (self.ends[i] for i in sorted(self._path(len(self.text)))[1:])
         self.text, self.ends, self.state = "", [0], 0

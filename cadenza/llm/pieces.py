@@ -5,9 +5,11 @@ kind a path is not scored by a sum: of all paths to a position exactly one
 survives, the one whose neighbouring pieces stay apart under the merges
 (``lattice``).  Backpointers are kept for a window of the longest piece, and
 ids are committed whenever the surviving paths meet in one boundary.  Where no
-piece spans a boundary (before a space mark, between letters and other signs)
-the paths are known to meet, so a text is fed in such fragments and the ids of
-a fragment are kept and used again.
+piece spans a boundary (before a space mark, between letters and other signs;
+checked against the vocabulary) the paths are known to meet, so the window is
+committed there at the latest.  What stands between two such boundaries is a
+fragment: the ids that the window committed for it are kept and used again, in
+a memo of bounded size.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cadenza.llm.common import inner, passing, row_and, whole_row
 from cadenza.llm.lattice import Bounded, Lattice, Stream
 
 MARK = "▁"
 SHORT = 48  # fragments up to this length are kept
+SMALL = 256  # rows worked off at a time
 
 
 class Spelling:
@@ -57,14 +61,15 @@ class Spelling:
 class Pieces:
     """Encoder over the same vocabulary."""
 
-    def __init__(self, vocabulary: list[tuple[str, float, str]], memo: int = 250_000):
+    def __init__(self, vocabulary: list[tuple[str, float, str]], memo: int = 100_000):
         ids = {p: k for k, (p, _, kind) in enumerate(vocabulary) if kind == "normal"}
         score = {p: -s for p, s, kind in vocabulary if kind == "normal"}
         self.byte = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(vocabulary) if kind == "byte"}
         self.unknown = next((k for k, v in enumerate(vocabulary) if v[2] == "unknown"), 0)
         self.lattice = Lattice(ids, lambda a, b: score.get(a + b), list, memo)
         self.id_of = [-1, *ids.values()]
-        self.kept = Bounded(self._encode, memo)
+        self.kept = Bounded(self._stream, memo)
+        self.commits = 0
         mixed = self._mixed(ids)
         self.fragment = re.compile(rf"{MARK}*[^\W\d_{mixed}]+|{MARK}*(?:[^\w{MARK}]|[\d_{mixed}])+|{MARK}+")
         whole = re.compile(rf"{MARK}*(?:[^\W\d_{mixed}]+|(?:[^\w{MARK}]|[\d_{mixed}])+)?")
@@ -96,12 +101,16 @@ class Pieces:
                 ids.append(self.unknown)
         return array("i", ids).tobytes()
 
-    def _encode(self, fragment: str) -> bytes:
-        return self._ids(fragment, self.lattice.numbers(fragment))
-
     def _stream(self, fragment: str) -> bytes:
+        """Ids of a fragment as the window commits them."""
+        one = self.lattice.whole(fragment)
+        if one:
+            self.commits += 1
+            return self._ids(fragment, [one])
         stream = Stream(self.lattice)
-        return self._ids(fragment, [*stream.feed(fragment), *stream.finish()])
+        numbers = [*stream.feed(fragment), *stream.finish()]
+        self.commits += stream.commits
+        return self._ids(fragment, numbers)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -135,6 +144,13 @@ def _unpacked(out: DataFrame, names: list[str], *more: str) -> DataFrame:
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c not in more], *more)
 
 
+def _encoded(p: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts end to end, and where each text ends, from 0."""
+    ids = [p.encode(t or "") for t in texts]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+    return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), ends
+
+
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` with the columns ids (array of int) and n_ids.
 
@@ -142,32 +158,55 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     an empty result; other columns pass through, but one that is called ids or
     n_ids is replaced.  ``model`` is the path of the model file on the
     executors.  No shuffle."""
+    return _coded(docs, model, text, None)
+
+
+def encode_and_decode(docs: DataFrame, model: str, text: str = "text", into: str = "decoded") -> DataFrame:
+    """``encode`` and, in the same worker, the column ``into``: the text that
+    is read back from the ids.  ``into`` may be the text itself; a null text
+    is read back as empty."""
+    return _coded(docs, model, text, into)
+
 
+def _coded(docs: DataFrame, model: str, text: str, into: str | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = load_pieces(model)
+        p, back = load_pieces(model), load_spelling(model) if into else None
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [p.encode(t or "") for t in inner(part, k).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), lists], ["row", "ids"])
+            for at in range(0, b.num_rows, SMALL):
+                part = b.slice(at, SMALL)
+                ids, ends = _encoded(p, inner(part, k).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                if not into:
+                    yield pa.RecordBatch.from_arrays([part.column("row"), lists], ["row", "ids"])
+                    continue
+                texts = pa.array(back.decode_all(ids.astype(np.int64), ends), pa.string())
+                fields = [c for c in part.column("row").type]
+                kept = [(c.name, inner(part, j)) for j, c in enumerate(fields) if not (j == k and into == text)]
+                row = pa.StructArray.from_arrays([v for _, v in kept], [n for n, _ in kept]) if kept else pa.nulls(part.num_rows, pa.struct([]))
+                yield pa.RecordBatch.from_arrays([row, lists, texts], ["row", "ids", "out"])
 
     rows, k = passing(docs, text)
-    out = rows.mapInArrow(run, row_and(rows, "ids array<int>")).withColumn("n_ids", F.size("ids").cast("long"))
-    return _unpacked(out, docs.columns, "ids", "n_ids")
+    names = [c for c in docs.columns if c not in ("ids", "n_ids", into)]
+    more = "ids array<int>" + (", out string" if into else "")
+    schema = row_and(rows, more)
+    if into == text:
+        schema = StructType([StructField("row", StructType([f for f in rows.schema["row"].dataType if f.name != text])), *schema.fields[1:]])
+    out = rows.mapInArrow(run, schema).withColumn("n_ids", F.size("ids").cast("long"))
+    own = [F.col("out").alias(c) if c == into else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c == into or c in names]
+    return out.select(*own, *([F.col("out").alias(into)] if into and into not in docs.columns else []), "ids", "n_ids")
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the column ``into``: the text that the ids stand for.
     Bytes that are not UTF-8 become U+FFFD; a literal U+2581 of a text comes
-    back as a space; null ids give a null text."""
+    back as a space; null ids give a null text; repeated rows stay; an empty
+    table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load_spelling(model)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, SMALL):
+                part = b.slice(at, SMALL)
                 lists = inner(part, k)
                 ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
                 texts = p.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends)

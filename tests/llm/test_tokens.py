@@ -95,4 +95,20 @@ def test_encode_rows(odd_docs, no_docs):
     for r in back:
         assert r["decoded"] == (r["text"] or "").replace("▁", " ") and (r["n_ids"] > 0) == bool(r["text"])
     assert pieces.decode(pieces.encode(no_docs, path), path).count() == 0
+    both = pieces.encode_and_decode(odd_docs, path)
+    assert {(r["doc_id"], r["decoded"]) for r in both.collect()} == {(r["doc_id"], r["decoded"] or "") for r in back}
+    inside = pieces.encode_and_decode(odd_docs, path, into="text")
+    assert set(inside.columns) == {*odd_docs.columns, "n_ids"} and {r["text"] for r in inside.collect()} == {r["decoded"] or "" for r in back}
+    assert pieces.encode_and_decode(no_docs, path).count() == 0
     assert pieces.decode(coded.withColumn("ids", F.lit(None).cast("array<int>")), path).where("decoded is not null").count() == 0
+
+
+def test_every_fragment_is_committed_by_the_window(texts):
+    p = pieces.Pieces(pieces.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")), memo=40)
+    some = [t for t in texts if t][:60]
+    n = len({f for t in some for f in p.fragment.findall(pieces.MARK + t.replace(" ", pieces.MARK))})
+    before = p.commits
+    for t in some:
+        p.encode(t)
+    assert p.commits - before >= n
+    assert max(len(d) for d in (p.kept, p.lattice.apart, p.lattice.fallen)) <= 40
