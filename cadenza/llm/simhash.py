@@ -134,14 +134,15 @@ def hex_bits(bits: Column) -> Column:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 3, more: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` of which one stays per component: the one with the
-    least doc_id (a null id last, then the least text hash; of equal rows,
-    one).  ``more`` holds further links (a, b) between fingerprints.  All
-    columns are kept."""
+    least doc_id (a null id last, then the least text hash; of rows equal in
+    both, the one with the least hash of all columns).  Null and empty texts
+    are one component; an empty table gives an empty result.  ``more`` holds
+    further links (a, b) between fingerprints.  All columns are kept."""
     marked = materialise(with_fingerprints(docs, doc_id, text))
     order = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")
     stay = _rooted(marked, F.min(order), most, more).groupBy("root").agg(F.min("least").alias("s"))
     stay = materialise(stay.select(F.coalesce("s.k_id", F.lit(0)).alias("s_id"), "s.none", F.col("s.k_text").alias("s_text")))
     packed = docs.select(whole_row(docs), *doc_key(doc_id, text))
     kept = packed.join(stay, (F.coalesce("k_id", F.lit(0)) == F.col("s_id")) & (F.col("k_id").isNull() == F.col("none")) & (F.col("k_text") == F.col("s_text")))
-    nth = F.row_number().over(Window.partitionBy("s_id", "none", "s_text").orderBy("s_id"))
+    nth = F.row_number().over(Window.partitionBy("s_id", "none", "s_text").orderBy(F.xxhash64("row")))
     return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
