@@ -93,3 +93,14 @@ def test_odd_and_empty_tables(odd_docs, no_docs):
     assert all(r["n_links"] == r["n_a"] + r["n_b"] - r["n_groups"] for r in rows)
     assert all(r["n_a"] > 0 for r in rows if r["doc_id"] in (1, 4, 5, 6, None)) and {r["n_a"] for r in rows if r["doc_id"] == 7} == {0}
     assert align.alignments(no_docs, A, B).count() == 0
+
+
+def test_byte_level_ids_equal_the_library():
+    r = random.Random(9)
+    t, own = Tokenizer.from_file(A), align.ByteLevel(A)
+    t.encode_special_tokens = True
+    signs = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070), 0x3042, 0x4E00, 0x1F600, 0x0301, 0xFEFF, 0x1C, 0x85, 0x180E, 0x2028, 0xE000, 0x10FFFF, 0x0378, 0x1E900, 0x16FF0)]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(2000)] + [x for x in ODD if x]
+    assert own.fast is not None and own.encode(texts) == [e.ids for e in t.encode_batch([" " + x for x in texts], add_special_tokens=False)]
+    own.odd |= {"a", "é"}
+    assert own.encode(texts) == [e.ids for e in t.encode_batch([" " + x for x in texts], add_special_tokens=False)]
