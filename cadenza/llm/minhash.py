@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cadenza.core.session import materialise
 from cadenza.llm.common import doc_key
+from cadenza.llm.graph import connected_components
 from cadenza.llm.simhash import fingerprint
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
@@ -80,21 +81,67 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("k_text").slice(r, 1), pa.array([fingerprint(text)], pa.int64()), grams], ["k_text", "bits", "grams"])
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs (a, b) of different fingerprints (``simhash.fingerprint``) of texts
-    with Jaccard >= 0.8.  Equal texts are one text to the search, so copies in
-    any number make no pairs; a text without words has none.  The sizes of two
-    sets alone rule out most false candidates before any text is fetched."""
-    texts = docs.select(doc_key(doc_id, text)[1], F.col(text).cast("string").alias("text"))
-    banded = texts.mapInArrow(_banded, "k_text long, n int, keys array<long>").dropDuplicates(["k_text"])
-    rows = materialise(banded.select("k_text", "n", F.explode("keys").alias("key")))
-    other = rows.select("key", F.col("k_text").alias("t"), F.col("n").alias("m"))
-    sized = (F.col("k_text") < F.col("t")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m"))
-    pairs = materialise(rows.join(other, "key").where(sized).select(F.col("k_text").alias("s"), "t").distinct())
+def _alike(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (s, t) of texts whose exact Jaccard index is 0.8 or more, with their fingerprints a and b."""
     asked = pairs.select(F.col("s").alias("k_text")).union(pairs.select("t")).distinct()
     sets = materialise(texts.join(asked, "k_text").select("k_text", "text").mapInArrow(_sets, "k_text long, bits long, grams array<long>").dropDuplicates(["k_text"]))
     left = sets.select(F.col("k_text").alias("s"), F.col("bits").alias("a"), F.col("grams").alias("g"))
     right = sets.select(F.col("k_text").alias("t"), F.col("bits").alias("b"), F.col("grams").alias("h"))
     both = pairs.join(left, "s").join(right, "t").withColumn("common", F.size(F.array_intersect("g", "h")))
-    alike = 5 * F.col("common") >= 4 * (F.size("g") + F.size("h") - F.col("common"))
-    return both.where(alike & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    return both.where(5 * F.col("common") >= 4 * (F.size("g") + F.size("h") - F.col("common"))).select("s", "t", "a", "b")
+
+
+def _only_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in range(b.num_rows):
+            grams = shingles(b.column("text")[r].as_py()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("k_text").take(pa.array(np.full(len(grams), r))), pa.array(grams)], ["k_text", "gram"])
+
+
+def _shared(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """(k_text, held): how many shingles of each of ``some`` texts another one
+    of them holds too.  A text that stands alone with more than a fifth of its
+    shingles is near to none."""
+    asked = some.select("k_text").distinct()
+    sets = materialise(texts.join(asked, "k_text").dropDuplicates(["k_text"]).select("k_text", "text").mapInArrow(_only_sets, "k_text long, gram long"))
+    twice = materialise(sets.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("gram"))
+    return materialise(sets.join(twice, "gram").groupBy("k_text").agg(F.count(F.lit(1)).alias("held")))
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs (a, b) of different fingerprints (``simhash.fingerprint``) that
+    connect all texts with Jaccard >= 0.8: two such texts are linked or stand
+    in one class of links.
+
+    No group lists its pairs.  In every band each text meets only the text of
+    its group that meets most others, and the links found make classes.  Groups
+    that still hold several classes compare their texts across classes alone,
+    so what one class holds is never paired again, and only texts that share
+    enough of their shingles with any other come into question.  Equal texts
+    are one text to the search, so copies in any number make no pairs; null
+    texts and texts without words have none; an empty table gives an empty
+    result.  The sizes of two sets alone rule out most false candidates before
+    any text is fetched."""
+    texts = docs.select(doc_key(doc_id, text)[1], F.col(text).cast("string").alias("text"))
+    banded = texts.mapInArrow(_banded, "k_text long, n int, keys array<long>").dropDuplicates(["k_text"])
+    rows = materialise(banded.select("k_text", "n", F.explode("keys").alias("key")))
+    sized = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+    shared = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    grouped = materialise(rows.join(shared, "key"))
+    met = grouped.groupBy("k_text").agg(F.sum("texts").alias("met"))  # how often a text meets others: greatest at the centre of a group
+    centre = grouped.join(materialise(met), "k_text").groupBy("key").agg(F.max(F.struct("met", "k_text", "n")).alias("c"))
+    grouped = materialise(grouped.drop("texts").join(materialise(centre.select("key", F.col("c.k_text").alias("hub"), F.col("c.n").alias("m"))), "key"))
+    pair = [F.least("hub", "k_text").alias("s"), F.greatest("hub", "k_text").alias("t")]
+    star = materialise(grouped.where(sized & (F.col("k_text") != F.col("hub"))).select(*pair).distinct())
+    near = materialise(_alike(texts, star))
+    roots = materialise(connected_components(near.select(F.col("s").alias("a"), F.col("t").alias("b"))))
+    classed = materialise(grouped.join(roots, F.col("k_text") == F.col("node"), "left").select("key", "k_text", "n", F.coalesce("root", "k_text").alias("root")))
+    mixed = materialise(classed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"))
+    rest = materialise(classed.join(mixed, "key"))
+    rest = materialise(rest.join(_shared(texts, rest), "k_text").where("5 * held >= 4 * n"))
+    other = rest.select("key", F.col("k_text").alias("t"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("held").alias("holds"))
+    enough = sized & (9 * F.least("held", "holds") >= 4 * (F.col("n") + F.col("m")))  # a common part of 0.8 of the union
+    across = rest.join(other, "key").where(enough & (F.col("k_text") < F.col("t")) & (F.col("root") != F.col("of")))
+    across = materialise(across.select(F.col("k_text").alias("s"), "t").distinct().join(star, ["s", "t"], "left_anti"))
+    every = near.union(_alike(texts, across))
+    return every.where("a != b").select("a", "b").distinct()
