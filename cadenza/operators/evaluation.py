@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.core.layout import islands, with_ordinal
-from cadenza.core.rangejoin import range_join, time_slot
+from cadenza.core.rangejoin import time_slot
+from cadenza.core.sweep import flag_covered
 
 SLOT_MS = 1000
 
@@ -30,14 +31,9 @@ def in_ranges(ms: Column, ranges: Column) -> Column:
     return F.coalesce(F.exists(ranges, lambda r: (r["start_ms"] <= ms) & (ms < r["end_ms"])), F.lit(False))
 
 
-def flag_ranges(points: DataFrame, intervals: DataFrame, keys: Sequence[str], out: str, at: str = "time_ms",
-                width: int = SLOT_MS) -> DataFrame:
+def flag_ranges(points: DataFrame, intervals: DataFrame, keys: Sequence[str], out: str, at: str = "time_ms") -> DataFrame:
     """Half-open membership of each point in an interval table."""
-    keys = list(keys)
-    spans = intervals.where(F.col("end_ms") > F.col("start_ms")).select(*keys, "start_ms", "end_ms")
-    hit = range_join(points.select(*keys, at), spans, keys, at, "start_ms", "end_ms", width, "inner", closed=False)
-    hit = hit.select(*keys, at).distinct().withColumn(out, F.lit(True))
-    return points.join(hit, [*keys, at], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return flag_covered(points, intervals, keys, out, at)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.core.layout import scan, spread_join
-from cadenza.core.rangejoin import first_per, range_join, time_slot
+from cadenza.core.rangejoin import range_join, time_slot
+from cadenza.core.sweep import first_covering
 
 SLOT_MS = 1000
 
@@ -83,9 +84,7 @@ def phase_timeline(frames: DataFrame, reps: DataFrame, keys: Sequence[str], key_
     """Repetition and phase of every frame: the first repetition (by start) whose
     closed interval holds it.  Without a key window there is no ``key`` phase."""
     keys = list(keys)
-    r = reps.select(*keys, "rep_index", "start_ms", "key_ms", "end_ms")
-    hit = range_join(frames.select(*keys, "pose_idx", "time_ms"), r, keys, "time_ms", "start_ms", "end_ms", SLOT_MS)
-    one = first_per(hit, [*keys, "pose_idx"], [F.col("start_ms"), F.col("rep_index")])
+    one = first_covering(frames.select(*keys, "pose_idx", "time_ms"), reps, keys, ["rep_index"], ["rep_index", "key_ms"])
     t, k = F.col("time_ms"), F.col("key_ms")
     phase = F.when(F.col("rep_index").isNull(), "between_reps")
     if key_window_ms is not None:
@@ -112,6 +111,19 @@ def frame_issue(timeline: DataFrame, issues: DataFrame, keys: Sequence[str]) ->
     return timeline.join(best, [*keys, "pose_idx"], "left").select(*timeline.columns, F.col("i.code").alias("issue_code"))
 
 
+def frame_notes(frames: DataFrame, reps: DataFrame, issues: DataFrame, keys: Sequence[str], key_window_ms: int = 260) -> DataFrame:
+    """What the overlay says of a frame: the first issue with a time range that
+    holds it, else the position inside its repetition (``key`` near the key
+    frame, else ``path``), else ``none``.  Columns note, code, rep_index."""
+    line = phase_timeline(frames, reps, keys, key_window_ms)
+    timed = frame_issue(line, issues.where(F.size("ranges") > 0), keys)
+    inside = F.when(F.col("phase") == "key", "key").otherwise("path")
+    note = F.when(F.col("issue_code").isNotNull(), "issue").when(F.col("rep_index").isNotNull(), inside).otherwise("none")
+    noted = timed.withColumn("note", note)
+    rep = F.when(F.col("note").isin("key", "path"), F.col("rep_index")).alias("rep_index")
+    return noted.select(*keys, "pose_idx", "note", F.col("issue_code").alias("code"), rep)
+
+
 def attach_motion(frames: DataFrame, motion: DataFrame, keys: Sequence[str], at: str = "frame_index") -> DataFrame:
     """Left join per-frame camera motion; ``applied`` tells whether the series has
     at least three frames and 60 % of them available."""

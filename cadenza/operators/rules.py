@@ -24,15 +24,34 @@ SIDE_VIEWS = ["side", "side_front", "side_rear"]
 FRONT_VIEWS = ["front", "front_oblique"]
 
 
+BITS = 62  # conditions per mask
+
+
 def fire(rules: Sequence[tuple], df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Explode the rules that hold: ``(code, condition[, severity[, metric]])``."""
-    numbers = F.filter(F.array(*[F.when(rule[1], F.lit(no)) for no, rule in enumerate(rules)]), lambda no: no.isNotNull())
+    """Explode the rules that hold: ``(code, condition[, severity[, metric]])``.
+
+    The conditions of a row become the bits of a few numbers, which generated
+    code computes once per row; the rules are then read bit by bit.  The bits
+    are not tested before the spread: that filter would be pushed below the
+    projection and the conditions computed twice."""
     measured = any(len(rule) > 3 for rule in rules)
-    rows = df.select(*keys, *([F.array(*[r[3] if len(r) > 3 else F.lit(None).cast("string") for r in rules]).alias("_metrics")] if measured else []), numbers.alias("_fired"))
-    rows = rows.withColumn("rule_no", F.explode("_fired"))
-    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rule_no") + 1)
-    metric = F.element_at("_metrics", F.col("rule_no") + 1) if measured else F.lit(None).cast("string")
-    return rows.select(*keys, "rule_no", of([r[0] for r in rules]).alias("code"), of([r[2] if len(r) > 2 else "yellow" for r in rules]).alias("severity"), metric.alias("metric"))
+    masks = [F.lit(0).cast("long")] * -(-len(rules) // BITS)
+    for no, rule in enumerate(rules):
+        masks[no // BITS] = masks[no // BITS] + F.when(rule[1], F.lit(1 << no % BITS).cast("long")).otherwise(F.lit(0).cast("long"))
+    names = [f"_mask{k}" for k in range(len(masks))]
+    metrics = [F.array(*[r[3] if len(r) > 3 else F.lit(None).cast("string") for r in rules]).alias("_metrics")] if measured else []
+    rows = df.select(*keys, *metrics, *[m.alias(name) for m, name in zip(masks, names)])
+    out = None
+    for k, name in enumerate(names):
+        says = F.array(*[
+            F.struct(F.lit(k * BITS + j).alias("no"), F.lit(1 << j).cast("long").alias("bit"), F.lit(r[0]).alias("code"), F.lit(r[2] if len(r) > 2 else "yellow").alias("severity"))
+            for j, r in enumerate(rules[k * BITS : (k + 1) * BITS])
+        ])
+        spread = rows.withColumn("_r", F.explode(says)).where(F.col(name).bitwiseAND(F.col("_r.bit")) != 0)
+        metric = F.element_at("_metrics", F.col("_r.no") + 1) if measured else F.lit(None).cast("string")
+        one = spread.select(*keys, F.col("_r.no").alias("rule_no"), "_r.code", "_r.severity", metric.alias("metric"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def set_rules(m: DataFrame, keys: Sequence[str]) -> DataFrame:

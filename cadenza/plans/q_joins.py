@@ -83,6 +83,31 @@ def j4(spark, d):
     return joins.frame_issue(timeline(spark, d), iss, K).select("user_id", "pose_idx", "phase", "issue_code")
 
 
+ISS = """, iss AS (SELECT user_id, rep_index AS issue_no, 'C' || (event_id % 4) AS code, event_id % 3 = 0 AS loose, r.start_ms, r.end_ms, rep_index FROM rp r JOIN (SELECT user_id AS u, event_id, start_ms AS sm FROM iv) i ON i.u = r.user_id AND i.sm = r.start_ms WHERE event_id % 2 = 0)"""
+WIDE = lambda ms: TL.replace("<= 70", f"<= {ms}")
+
+
+def issue_view(spark, d):
+    loose = F.col("event_id") % 3 == 0
+    none = F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>")
+    return rep_view(spark, d).where(F.col("event_id") % 2 == 0).select(
+        "user_id", F.col("rep_index").alias("issue_no"), F.concat(F.lit("C"), (F.col("event_id") % 4).cast("string")).alias("code"),
+        F.when(loose, none).otherwise(F.array(F.struct("start_ms", "end_ms"))).alias("ranges"), F.array("rep_index").alias("reps"))
+
+
+@query("j4_feedback_window_220", SIG + IV + WIDE(220) + ISS + """, f AS (SELECT p.user_id, p.pose_idx, min(struct_pack(no := issue_no, c := code)) AS i FROM ph p JOIN iss x ON x.user_id = p.user_id AND (CASE WHEN loose THEN x.rep_index = p.rep_index ELSE p.time_ms BETWEEN x.start_ms AND x.end_ms END) GROUP BY 1, 2)
+ SELECT user_id, pose_idx, rep_index, phase, i.c AS issue_code FROM ph LEFT JOIN f USING (user_id, pose_idx)""")
+def j4_220(spark, d):
+    line = joins.phase_timeline(sig(spark, d), rep_view(spark, d), K, 220)
+    return joins.frame_issue(line, issue_view(spark, d), K).select("user_id", "pose_idx", "rep_index", "phase", "issue_code")
+
+
+@query("j4_frame_notes_260", SIG + IV + WIDE(260) + ISS + """, f AS (SELECT p.user_id, p.pose_idx, min(struct_pack(no := issue_no, c := code)).c AS c FROM ph p JOIN iss x ON x.user_id = p.user_id AND NOT loose AND p.time_ms BETWEEN x.start_ms AND x.end_ms GROUP BY 1, 2)
+ SELECT user_id, pose_idx, CASE WHEN c IS NOT NULL THEN 'issue' WHEN rep_index IS NULL THEN 'none' WHEN phase = 'key' THEN 'key' ELSE 'path' END AS note, c AS code, CASE WHEN c IS NULL THEN rep_index END AS rep_index FROM ph LEFT JOIN f USING (user_id, pose_idx)""")
+def j4_260(spark, d):
+    return joins.frame_notes(sig(spark, d), rep_view(spark, d), issue_view(spark, d), K).select("user_id", "pose_idx", "note", "code", "rep_index")
+
+
 @query("j7_attach_motion", FR + """, m AS (SELECT *, coalesce(CASE WHEN vec_id % 7 <> 0 THEN vec_id % 4 <> 0 END, false) AS available FROM fr)
  SELECT video_id, pose_idx, available, round(avg(available::INT) OVER (PARTITION BY video_id), 6) AS coverage, avg(available::INT) OVER (PARTITION BY video_id) >= .6 AND n >= 3 AS applied FROM m""")
 def j7(spark, d):
