@@ -23,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.core.session import materialise
+from cadenza.core.session import materialise, stored
 from cadenza.llm.common import doc_key, inner, row_and, whole_row
 
 RUN, WORDS, NEAR, LONG, STEP = 3, 15, 3, 24, 12
 SMALL = 256  # rows cut at a time
+PART = 20_000  # runs of one hash that one task compares with their owner
 CUT = "left string, n_units long, n_removed long, words_removed long"
 WORD = re.compile(r"\S+")
 
@@ -147,17 +148,21 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     The runs are made twice from the text instead of being stored: counting
     needs one partial aggregate of bare hashes, and the repeated hashes,
-    written once, meet the runs in an equi-join whose hot keys the adaptive
-    planner splits.  Only runs that are repeats are compared by owner.  ``at`` and ``n``
-    travel as one number."""
+    written once, meet the runs in an equi-join.  Only runs that are repeats
+    are compared by owner: a hash of many copies is dealt to parts of about
+    PART rows, and its owner, found by a partial aggregate, goes to every part.
+    ``at`` and ``n`` travel as one number."""
     hashes = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_only_hashes, "h long")
-    again = materialise(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("h").alias("key")))
-    found = materialise(_all_runs(docs, doc_id, text).join(again, F.col("h") == F.col("key")).drop("key"))
+    parts = F.ceil(F.col("copies") / PART).cast("int")
+    again = stored(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("h").alias("key"), parts.alias("parts")))
+    found = stored(_all_runs(docs, doc_id, text).join(again, F.col("h") == F.col("key")).drop("key"))
     owner = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text", "span")
-    first = found.groupBy(F.col("h").alias("key")).agg(F.min(owner).alias("first"))
+    first = found.groupBy(F.col("h").alias("key")).agg(F.min(owner).alias("first"), F.max("parts").alias("parts"))
+    first = first.select("key", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("f_part"))
+    part = F.pmod(F.hash("k_id", "k_text", "span"), F.col("parts"))
     later = ~(F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text")) & (F.col("span") == F.col("first.span")))
     at, n = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    return found.join(first, F.col("h") == F.col("key")).where(later).select("k_id", "k_text", at.alias("at"), n.alias("n"), F.col("first.k_id").alias("first_id"))
+    return found.withColumn("part", part).join(first, (F.col("h") == F.col("key")) & (F.col("part") == F.col("f_part"))).where(later).select("k_id", "k_text", at.alias("at"), n.alias("n"), F.col("first.k_id").alias("first_id"))
 
 
 def _cutter(k: int):

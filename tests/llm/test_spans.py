@@ -4,19 +4,17 @@ from cadenza.llm import spans
 
 
 def slow(docs):
-    """Units to remove per document, by the definition."""
+    """Units to remove per document, by the definition: least runs from every start and back from every end."""
     seen, out = {}, {}
     for key, text in sorted(docs):
         _, counts, hashes = spans.units(text or "")
         gone = set()
-        for i in range(len(counts)):
-            e = i + spans.RUN
-            while e <= len(counts) and sum(counts[i:e]) < spans.WORDS:
-                e += 1
-            if e <= len(counts):
-                run = tuple(hashes[i:e])
-                if seen.setdefault(run, (key, i)) != (key, i):
-                    gone.update(range(i, e))
+        enough = {(i, e) for i in range(len(counts)) for e in range(i + spans.RUN, len(counts) + 1) if sum(counts[i:e]) >= spans.WORDS}
+        least = {(i, e) for i, e in enough if (i, e - 1) not in enough or (i + 1, e) not in enough}
+        for i, e in sorted(least):
+            run = tuple(hashes[i:e])
+            if seen.setdefault(run, (key, i)) != (key, i):
+                gone.update(range(i, e))
         out[key] = gone
     return out
 
