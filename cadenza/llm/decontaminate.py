@@ -16,7 +16,8 @@ threshold come back; none is capped.
 
 A hit counts when five-word shingles of the item's question and of its answer
 (the last sentence, or the last third of a single sentence) are found around
-the passage: 0.8 of all of them, and half of each side.
+the passage: 0.8 of all of them, and half of each side.  An item of fewer than
+WHOLE words counts where its words stand there as a whole, in order.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import doc_key, inner, passing
 
 STRIDE, BLOCK, SHINGLE = 64, 32, 5
+WHOLE = 8  # shorter items need a full contiguous match
 K1, B = 1.2, 0.75
 GROUP_BYTES = 32 << 20  # item text in one broadcast index; more items make more indexes
 WORD = re.compile(r"\w+")
@@ -194,6 +196,8 @@ class Index:
         """Question and answer overlap around words first..last, or None when too low."""
         reach = len(item.words)
         around = words[max(0, first - reach) : last + reach]
+        if reach < WHOLE:
+            return (1.0, 1.0) if reach and tuple(item.words) in set(zip(*[around[i:] for i in range(reach)])) else None
         seen = {n: set(zip(*[around[i:] for i in range(n)])) for n in {len(s) for s in (item.question[:1] + item.answer[:1])}}
         hit = [sum(s in seen[len(s)] for s in side) for side in (item.question, item.answer)]
         size = [len(item.question), len(item.answer)]
@@ -219,9 +223,9 @@ class Index:
                 yield doc, self.items[item].item_id, score, *ok, lo * STRIDE
 
 
-def build_indexes(items: DataFrame, threshold: float = 0.6, least: int = 8, item_id: str = "item_id", text: str = "text") -> list[Index]:
-    """Indexes over all items with at least ``least`` words.  Statistics are
-    those of all items; item text is cut into groups of at most GROUP_BYTES
+def build_indexes(items: DataFrame, threshold: float = 0.6, item_id: str = "item_id", text: str = "text") -> list[Index]:
+    """Indexes over all items that hold a word.  Statistics are those of all
+    items; item text is cut into groups of at most GROUP_BYTES
     (measured), one index each."""
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -238,7 +242,7 @@ def build_indexes(items: DataFrame, threshold: float = 0.6, least: int = 8, item
     out = []
     for g in range(groups):
         mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g) if groups > 1 else rows
-        texts = [tuple(r) for r in mine.toLocalIterator() if len(words_of(r["text"])) >= least]
+        texts = [tuple(r) for r in mine.toLocalIterator() if words_of(r["text"])]
         if texts:
             own = {t for _, x in texts for t in words_of(x)}
             known = df if groups == 1 else df.join(mine.mapInArrow(terms, "item_id long, n long, terms array<string>").select(F.explode("terms").alias("term")).distinct(), "term")
@@ -254,7 +258,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6, doc_
     question_overlap, answer_overlap, first_word (of the first passage that hit).
 
     Null and empty texts hold nothing; repeated rows give repeated rows; null
-    item ids or texts, and items of fewer than eight words, are not searched;
+    item ids or texts, and items without a word, are not searched; items of
+    fewer than WHOLE words need a full contiguous match;
     an empty table on either side gives an empty result; other columns are not
     read.  One pass over the texts per index, without a shuffle."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"

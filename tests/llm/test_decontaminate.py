@@ -95,8 +95,16 @@ def test_groups_give_the_same_hits(spark, monkeypatch):
     assert len(dec.build_indexes(bench)) > 2 and key(dec.contaminated(docs, bench)) == whole
 
 
+def test_short_items_need_a_full_match(spark):
+    bench = spark.createDataFrame([(1, "Capital of Peru? Lima."), (2, "Zwölf mal zwölf?"), (3, "日本の首都は。東京"), (4, "a")], "item_id long, text string")
+    texts = ["x " * 200 + "the CAPITAL of Peru: lima indeed", "capital of Lima, Peru", "the capital of peru", "zwölf - MAL - zwölf", "q 日本の首都は 東京 q", "日本の首都は", "x a y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["question_overlap"]) for r in dec.contaminated(docs, bench).collect()) == [(0, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0), (6, 4, 1.0)]
+    assert sorted(r["doc_id"] for r in dec.drop_contaminated(docs, bench).collect()) == [1, 2, 5]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
-    bench = spark.createDataFrame([(1, None), (None, "a b c d e f g h i"), (2, ""), (3, "too short"), (4, "no such words are in any of these texts at all")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, None), (None, "a b c d e f g h i"), (2, ""), (3, "too short"), (6, "..."), (7, "three one two"), (4, "no such words are in any of these texts at all")], "item_id long, text string")
     assert dec.contaminated(odd_docs, bench).count() == 0
     assert dec.drop_contaminated(odd_docs, bench).count() == 10 and dec.drop_contaminated(odd_docs, bench).columns == odd_docs.columns
     assert dec.contaminated(odd_docs, bench.limit(0)).count() == 0 and dec.drop_contaminated(odd_docs, bench.limit(0)).count() == 10
