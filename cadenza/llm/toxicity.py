@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ WINDOW, STEP = 48, 36
 HIDDEN, DIM, POOL = 8, 8, 8
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 13
 SAMPLE = 2500  # labelled documents per class that the network is fitted on
-SHOWN = 8  # windows of one training document that are kept for fitting
+LONGEST = 1 << 19  # characters of a document that may be chosen for fitting; all its windows take part
+CHARS = 32 << 20  # characters of all documents together that the network is fitted on
 COMMON = 4  # training documents that must hold a word before it has a view of its own
 EPOCHS, STEPS, BATCH, RATE = 10, 600, 64, 0.01  # passes over the sample, more where they make fewer than STEPS updates
 WORD = re.compile(r"[^\W_]+")
@@ -206,21 +207,21 @@ def score_texts(net: Network | None, table: Table | None, texts: list[str | None
     return np.where(np.isfinite(best), sigmoid((net.slope if net else 1.0) * np.where(np.isfinite(best), best, 0.0) + (net.shift if net else 0.0)), 0.0)
 
 
-def fit(sample: list[tuple[int, list[list[str]]]], seed: int = 11) -> Network | None:
-    """Fits on (label, windows of words) per document; None without both labels."""
-    sample = [(y, w) for y, w in sample if w]
-    if len({y for y, _ in sample}) < 2:
+def fit(sample: Iterable[tuple[int, list[str]]], seed: int = 11) -> Network | None:
+    """Fits on all windows of (label, words) per document, held as word numbers; None without both labels."""
+    row: dict[str, int] = {}
+    texts = [(y, np.array([row.setdefault(w, len(row) + 1) for w in words], np.int32)) for y, words in sample if words]
+    if len({y for y, _ in texts}) < 2:
         return None
     net, rng = Network(seed), np.random.default_rng(seed)
-    names = sorted({w for _, ws in sample for x in ws for w in x})
-    row = {w: k + 1 for k, w in enumerate(names)}
+    names = list(row)
     buckets, starts, grams = features(names)
     ends = np.append(starts, len(grams))
-    windows = np.array([[row[w] for w in x] + [0] * (WINDOW - len(x)) for _, ws in sample for x in ws], np.int32)
-    owner = np.array([k for k, (_, ws) in enumerate(sample) for _ in ws])
-    label = np.array([y for y, _ in sample], np.float32)
-    pair = np.unique(np.repeat(owner, WINDOW) * (len(names) + 1) + windows.ravel())
-    spread = np.bincount(pair % (len(names) + 1), minlength=len(names) + 1)[1:]
+    own = [windows_of(x, window_starts(len(x))) for _, x in texts]
+    windows = np.concatenate(own)
+    owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    label = np.array([y for y, _ in texts], np.float32)
+    spread = np.bincount(np.concatenate([np.unique(x) for _, x in texts]), minlength=len(names) + 1)[1:]
     known = np.zeros(WORD_BUCKETS, bool)
     known[buckets[spread >= COMMON]] = True
     net.p["word"][~known] = 0  # words of few documents are read by their characters alone
@@ -233,11 +234,11 @@ def fit(sample: list[tuple[int, list[list[str]]]], seed: int = 11) -> Network |
         at = np.cumsum(n) - n
         return buckets[used], at, grams[np.repeat(ends[used] - at, n) + np.arange(n.sum())]
 
-    epochs = max(EPOCHS, -(-STEPS * BATCH // (2 * len(sample))))
+    epochs = max(EPOCHS, -(-STEPS * BATCH // (2 * len(label))))
     for epoch in range(epochs):
         if epoch == 0:
             pick = np.arange(len(windows))
-            pick = pick[rng.random(len(pick)) < min(1.0, 4 * len(sample) / len(pick))]
+            pick = pick[rng.random(len(pick)) < min(1.0, 4 * len(label) / len(pick))]
         else:
             gates = np.concatenate((np.zeros((2, 1, 3 * HIDDEN), np.float32), net.gates(net.inputs(buckets, starts, grams)[0])), axis=1)
             logit = np.concatenate([net.logits(gates, windows[k : k + 1024]) for k in range(0, len(windows), 1024)])
@@ -263,7 +264,7 @@ def fit(sample: list[tuple[int, list[list[str]]]], seed: int = 11) -> Network |
                 second[name] += 0.001 * (value * value - second[name])
                 net.p[name] -= (rate * first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     gates = np.concatenate((np.zeros((2, 1, 3 * HIDDEN), np.float32), net.gates(net.inputs(buckets, starts, grams)[0])), axis=1)
-    best = np.full(len(sample), -np.inf)
+    best = np.full(len(label), -np.inf)
     np.maximum.at(best, owner, np.concatenate([net.logits(gates, windows[k : k + 1024]) for k in range(0, len(windows), 1024)]))
     net.slope, net.shift = _scale(best, label)
     return net
@@ -286,22 +287,27 @@ def _scale(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Fits on at most ``sample`` labelled documents per class outside the held-out fold (crc32 mod 3 = 1)."""
+    """Fits on at most ``sample`` labelled documents per class outside the held-out
+    fold (crc32 mod 3 = 1), in the order of a hash of the id, until they hold
+    CHARS characters; documents of more than LONGEST characters are not chosen.
+    Every window of a chosen document takes part; they reach the driver one by one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shown = []
-            for key, text in zip(b.column("k_id").to_pylist(), b.column("text").to_pylist()):
-                words = words_of(text)
-                starts = np.array(window_starts(len(words)), int)
-                if len(starts) > SHOWN:
-                    starts = np.sort(np.random.default_rng(abs(key)).choice(starts, SHOWN, replace=False))
-                shown.append([" ".join(words[s : s + WINDOW]) for s in starts])
-            yield pa.RecordBatch.from_arrays([b.column("k_id"), b.column("label"), pa.array(shown, pa.list_(pa.string()))], ["k_id", "label", "windows"])
+            found = [" ".join(words_of(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k_id"), b.column("label"), pa.array(found, pa.string())], ["k_id", "label", "words"])
+
+    def upto(rows: Iterator) -> Iterator[tuple[int, list[str]]]:
+        total = 0
+        for r in rows:
+            total += len(r["words"])
+            if total > CHARS:
+                return
+            yield r["label"], r["words"].split()
 
     chosen = labelled_sample(docs, labels, "toxic", fold_of(F.col("k_id"), 3) != 1, sample)
-    rows = chosen.mapInArrow(cut, "k_id long, label int, windows array<string>").orderBy("k_id").collect()
-    return fit([(r["label"], [w.split(" ") for w in r["windows"]]) for r in rows])
+    rows = chosen.where(F.length("text") <= LONGEST).mapInArrow(cut, "k_id long, label int, words string").orderBy(F.xxhash64("k_id"), "k_id")
+    return fit(upto(rows.toLocalIterator()))
 
 
 def with_scores(docs: DataFrame, net: Network | None, text: str = "text", score: str = "toxicity") -> DataFrame:

@@ -35,6 +35,18 @@ def test_toxicity_on_the_held_out_fold(tables):
     assert scored.count() == docs.count() and scored.where("score < 0 or score > 1 or predicted != cast(score >= 0.7 as int)").count() == 0
     pairs, rows = held_out(scored, labels, "toxic")
     assert auc(pairs) > 0.8 and sum(r["predicted"] for r in rows if r["toxic"] == 0) <= 0.05 * len(rows)
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    assert sum(toxic) >= 0.6 * len(toxic)
+
+
+def test_every_window_of_a_training_document_counts():
+    r = np.random.default_rng(8)
+    clean = lambda n: [f"w{r.integers(40)}" for _ in range(n)]
+    sample = [(k % 2, clean(700) + ["vile"] * (k % 2) + clean(700)) for k in range(60)]
+    net = toxicity.fit(sample)
+    long = [" ".join(clean(3000)), " ".join(clean(1500) + ["vile"] + clean(1500))]
+    clear, toxic = toxicity.score_texts(net, toxicity.Table(net), long)
+    assert clear < 0.3 and toxic > 0.7
 
 
 def test_pair_sum_equals_the_double_sum():
