@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.core.session import materialise
+from cadenza.core.session import stored
 from cadenza.llm import decontaminate, minhash, pieces, simhash, spans, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -90,11 +90,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage leaves is written to the
-    shared checkpoint folder before the next one reads it."""
+    """All stages over ``documents``; what a stage leaves is written as Parquet
+    to the shared checkpoint folder before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs)
+            docs = stored(docs)
     return docs
