@@ -28,9 +28,9 @@ QUERIES = 4096  # queries that meet a shard in one task
 
 
 class Shard:
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+        self.ids, self.copies, self.x = ids[order], copies[order], x[order]
         self.width = x.shape[1]
         size = np.concatenate((np.maximum(self.x, 0), np.maximum(-self.x, 0)), axis=1)  # term d, and d + width for negative
         self.most = size.max(axis=0)
@@ -44,8 +44,15 @@ class Shard:
             self.blocks.append((at, len(part), lists))
         self.size = size
 
-    def top(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(vec_id, score) of the k best rows other than ``own``, ties to the smaller id."""
+    def place(self, own: int, copy: int, q: np.ndarray) -> int:
+        """Where the row of this id, vector and copy number is, or -1."""
+        lo, hi = np.searchsorted(self.ids, own, side="left"), np.searchsorted(self.ids, own, side="right")
+        same = np.flatnonzero((self.copies[lo:hi] == copy) & (self.x[lo:hi] == q).all(axis=1))
+        return int(lo + same[0]) if len(same) else -1
+
+    def top(self, own: int, copy: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(vec_id, score) of the k best rows other than the query's own, ties to the smaller id."""
+        mine = self.place(own, copy, q)
         dims = np.flatnonzero(q)
         terms = np.where(q[dims] > 0, dims, dims + self.width)
         weight = np.abs(q[dims])
@@ -79,41 +86,43 @@ class Shard:
             if not len(alive):
                 continue
             score = self.x[at + alive] @ q
-            found = [(-s, i) for s, i in zip(score.tolist(), self.ids[at + alive].tolist()) if i != own and (not full or s >= least)]
+            found = [(-s, i) for s, i, p in zip(score.tolist(), self.ids[at + alive].tolist(), (at + alive).tolist()) if p != mine and (not full or s >= least)]
             best = sorted(best + found)[:k]
         return [(i, -s) for s, i in best]
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(vec_id, q): floor(scale * component) of every whole finite vector.  Of
-    rows with the same id the least vector counts; null ids take no part."""
+    """(vec_id, q, copy): floor(scale * component) of every whole finite vector;
+    rows equal in both are told apart by a copy number; null ids take no part."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull()).where(~bad)
     rows = rows.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("q"))
-    return rows.groupBy("vec_id").agg(F.min("q").alias("q"))
+    counted = rows.groupBy("vec_id", "q").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("vec_id", "q", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
 
 
-def _pack(df: pd.DataFrame) -> tuple[bytes, bytes, int]:
+def _pack(df: pd.DataFrame) -> tuple[bytes, bytes, bytes, int]:
     width = max(map(len, df["q"]))
     x = np.zeros((len(df), width), np.int64)
     for k, v in enumerate(df["q"]):
         x[k, : len(v)] = v
-    return df["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes(), width
+    return df["vec_id"].to_numpy(np.int64).tobytes(), df["copy"].to_numpy(np.int64).tobytes(), x.tobytes(), width
 
 
-def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row.ids, np.int64)
-    return ids, np.frombuffer(row.x, np.int64).reshape(len(ids), row.width)
+    return ids, np.frombuffer(row.copies, np.int64), np.frombuffer(row.x, np.int64).reshape(len(ids), row.width)
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """For each vector whose id is divisible by ``every``: query_id, rank (from
-    1), vec_id, score of its k best others (all, if fewer), ties to the smaller
+    """For each row whose id is divisible by ``every``: query_id, rank (from 1),
+    vec_id, score of its k best other rows (all, if fewer), ties to the smaller
     vec_id.
 
     Vectors that are null or hold null or non-finite components, and null ids,
-    take no part; rows that repeat an id count once; vectors of unequal length
+    take no part; rows that repeat an id are queries and candidates of their
+    own; vectors of unequal length
     are padded with zeros; an empty table gives an empty result; other columns
     are not read.  A task holds one shard of SHARD vectors and QUERIES queries
     at most, whatever the sizes of the tables."""
@@ -124,27 +133,28 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_
     shards, groups = max(1, math.ceil(n / SHARD)), max(1, math.ceil(n_asked / QUERIES))
 
     def pack(df: pd.DataFrame) -> pd.DataFrame:
-        ids, x, width = _pack(df)
-        return pd.DataFrame({"part": [int(df["part"].iloc[0])], "ids": [ids], "x": [x], "width": [width]})
+        ids, copies, x, width = _pack(df)
+        return pd.DataFrame({"part": [int(df["part"].iloc[0])], "ids": [ids], "copies": [copies], "x": [x], "width": [width]})
 
-    packed = "part long, ids binary, x binary, width long"
-    held = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("part").applyInPandas(pack, packed)
+    packed = "part long, ids binary, copies binary, x binary, width long"
+    held = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "q", "copy"), F.lit(shards))).groupBy("part").applyInPandas(pack, packed)
     held = materialise(held).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    ask = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))).groupBy("part").applyInPandas(pack, packed)
+    ask = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "q", "copy", F.lit(1)), F.lit(groups))).groupBy("part").applyInPandas(pack, packed)
     ask = materialise(ask).withColumnRenamed("part", "group").withColumn("group", F.col("group").cast("int"))
     ask = ask.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("part", F.col("part").cast("long"))
 
     def meet(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(shard) and len(queries):
-            ids, x = _unpack(shard.iloc[0])
-            own, q = _unpack(queries.iloc[0])
+            ids, copies, x = _unpack(shard.iloc[0])
+            own, copy, q = _unpack(queries.iloc[0])
+            group = int(queries["group"].iloc[0])
             width = max(x.shape[1], q.shape[1])
-            s = Shard(ids, np.pad(x, ((0, 0), (0, width - x.shape[1]))))
-            for i, v in zip(own.tolist(), np.pad(q, ((0, 0), (0, width - q.shape[1])))):
-                out += [(i, j, score) for j, score in s.top(i, v, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            s = Shard(ids, copies, np.pad(x, ((0, 0), (0, width - x.shape[1]))))
+            for n, (i, c, v) in enumerate(zip(own.tolist(), copy.tolist(), np.pad(q, ((0, 0), (0, width - q.shape[1]))))):
+                out += [(group, n, i, j, score) for j, score in s.top(i, c, v, k)]
+        return pd.DataFrame(out, columns=["group", "place", "query_id", "vec_id", "score"]).astype("int64")
 
-    met = held.groupBy("part", "group").cogroup(ask.groupBy("part", "group")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    met = held.groupBy("part", "group").cogroup(ask.groupBy("part", "group")).applyInPandas(meet, "group long, place long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("group", "place").orderBy(F.col("score").desc(), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
