@@ -12,13 +12,14 @@ label marks the document and not the place.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import fold_of, inner, labelled_sample, passing, row_and
@@ -220,6 +221,7 @@ def fit(sample: Iterable[tuple[int, list[str]]], seed: int = 11) -> Network | No
     own = [windows_of(x, window_starts(len(x))) for _, x in texts]
     windows = np.concatenate(own)
     owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    del own
     label = np.array([y for y, _ in texts], np.float32)
     spread = np.bincount(np.concatenate([np.unique(x) for _, x in texts]), minlength=len(names) + 1)[1:]
     known = np.zeros(WORD_BUCKETS, bool)
@@ -290,24 +292,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
     """Fits on at most ``sample`` labelled documents per class outside the held-out
     fold (crc32 mod 3 = 1), in the order of a hash of the id, until they hold
     CHARS characters; documents of more than LONGEST characters are not chosen.
-    Every window of a chosen document takes part; they reach the driver one by one."""
+    Every window of a chosen document takes part.  One task fits on these bounded
+    rows, so a lost executor fits again; the driver receives the parameters only."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [" ".join(words_of(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k_id"), b.column("label"), pa.array(found, pa.string())], ["k_id", "label", "words"])
 
-    def upto(rows: Iterator) -> Iterator[tuple[int, list[str]]]:
-        total = 0
-        for r in rows:
-            total += len(r["words"])
-            if total > CHARS:
-                return
-            yield r["label"], r["words"].split()
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = fit((y.as_py(), w.as_py().split()) for b in batches for y, w in zip(b.column("label"), b.column("words")))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
     chosen = labelled_sample(docs, labels, "toxic", fold_of(F.col("k_id"), 3) != 1, sample)
-    rows = chosen.where(F.length("text") <= LONGEST).mapInArrow(cut, "k_id long, label int, words string").orderBy(F.xxhash64("k_id"), "k_id")
-    return fit(upto(rows.toLocalIterator()))
+    rows = chosen.where(F.length("text") <= LONGEST).mapInArrow(cut, "k_id long, label int, words string")
+    held = F.sum(F.length("words")).over(Window.orderBy(F.xxhash64("k_id"), "k_id"))
+    row = rows.withColumn("held", held).where(F.col("held") <= CHARS).select("label", "words").mapInArrow(learn, "net binary").first()
+    return pickle.loads(row["net"]) if row else None
 
 
 def with_scores(docs: DataFrame, net: Network | None, text: str = "text", score: str = "toxicity") -> DataFrame:
