@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.core.layout import islands, with_ordinal
+from cadenza.core.fold import chunked_fold
+from cadenza.core.layout import CHUNK, chunk_index, with_ordinal
 from cadenza.core.rangejoin import time_slot
+from cadenza.core.session import materialise
 from cadenza.core.sweep import flag_covered
 
 SLOT_MS = 1000
@@ -71,59 +73,81 @@ def cohens_kappa(df: DataFrame, keys: Sequence[str], a: Column, b: Column) -> Da
     return s.select(*keys, kappa.alias("kappa"))
 
 
-def boundary_match(expected: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
+MATCH = "struct<iou:double,es:bigint,ee:bigint,ps:bigint,pe:bigint>"
+
+
+def overlap_pairs(expected: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of ranges (key, no, start_ms, end_ms) that share time: one row
+    (keys, e, es, ee, p, ps, pe) per pair.
+
+    A range lives on the level whose slots are at least as long as itself, where
+    it touches two slots at most, and visits the longer levels that occur (63 at
+    most).  Rows grow with ranges and pairs, never with the length of a range.
+    Empty ranges pair with nothing."""
+    keys = list(keys)
+
+    def levelled(df: DataFrame, n: str, side: str) -> DataFrame:
+        d = df.where("end_ms > start_ms").select(*keys, F.col(n).alias(side), F.col("start_ms").alias(f"{side}s"), F.col("end_ms").alias(f"{side}e"))
+        return materialise(d.withColumn("own", F.length(F.bin(F.col(f"{side}e") - F.col(f"{side}s") - 1)).cast("int")))
+
+    exp, pred = levelled(expected, "no", "e"), levelled(predicted, "no", "p")
+    levels = sorted(r["own"] for r in exp.select("own").union(pred.select("own")).distinct().collect())
+    known = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
+
+    def slots(df: DataFrame, side: str, level: Column) -> DataFrame:
+        d = df.select(*[c for c in df.columns if c != "own"], level.alias("level"))
+        return d.withColumn("slot", F.explode(F.expr(f"sequence(shiftright({side}s, level), shiftright({side}e - 1, level))")))
+
+    home = lambda df, side: slots(df, side, F.col("own"))
+    visit = lambda df, side, reach: slots(df, side, F.explode(F.filter(known, reach)))
+    once = F.expr("slot = shiftright(greatest(es, ps), level)") & (F.least("ee", "pe") > F.greatest("es", "ps"))
+    cols = [*keys, "e", "es", "ee", "p", "ps", "pe"]
+    on = [*keys, "level", "slot"]
+    up = visit(exp, "e", lambda k: k >= F.col("own")).join(home(pred, "p"), on).where(once).select(*cols)
+    down = home(exp, "e").join(visit(pred, "p", lambda k: k > F.col("own")), on).where(once).select(*cols)
+    return up.unionByName(down)
+
+
+def boundary_match(expected: DataFrame, predicted: DataFrame, keys: Sequence[str], size: int = CHUNK) -> DataFrame:
     """Greedy one-to-one matching per case: expected ranges in order take the
     unused predicted range with the largest overlap ratio (the later one on ties).
 
-    Ranges that cannot reach each other in time are independent, so the greedy
-    pass runs per overlapping cluster, not per case.  Returns one row per match.
+    The overlapping pairs, in the order of the expected range and falling ratio,
+    are one series cut into chunks of ``size`` pairs.  What a chunk hands on is
+    the expected range it ends in, whether that is served, and the taken
+    predicted ranges that still reach beyond its start, so chunks far apart do
+    not wait for each other and a cluster of any size is many tasks.  Returns
+    one row per match.  Ranges without length match nothing.
     """
     keys = list(keys)
-    cols = [*keys, "start_ms", "end_ms"]
-    exp = with_ordinal(expected.select(*cols), keys, ["start_ms", "end_ms"], time_slot(F.col("start_ms"), 60_000), "no", "cnt")
-    pred = with_ordinal(predicted.select(*cols), keys, ["start_ms", "end_ms"], time_slot(F.col("start_ms"), 60_000), "no", "cnt")
-    both = exp.withColumn("kind", F.lit(0)).unionByName(pred.withColumn("kind", F.lit(1)))
-    both = with_ordinal(both, keys, ["start_ms", "end_ms", "kind", "no"], time_slot(F.col("start_ms"), 60_000))
-    # a cluster starts where no earlier range reaches the start
-    from cadenza.core.layout import CHUNK, chunk_index
-    from pyspark.sql import Window
-
-    c = both.withColumn("chunk", chunk_index("pose_idx", CHUNK))
-    tops = c.groupBy(*keys, "chunk").agg(F.max("end_ms").alias("_top"))
-    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*keys, "chunk", F.max("_top").over(earlier).alias("_before"))
-    inside = Window.partitionBy(*keys, "chunk").orderBy("pose_idx").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_local", F.max("end_ms").over(inside)).join(tops, [*keys, "chunk"])
-    reach = F.greatest("_local", "_before")
-    c = c.withColumn("_new", reach.isNull() | (reach <= F.col("start_ms"))).drop("chunk", "_local", "_before")
-    c = islands(c, keys, changed=F.col("_new"))
-    r = F.struct("no", "start_ms", "end_ms")
-    g = c.groupBy(*keys, "island").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == 0, r))).alias("e"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == 1, r))).alias("p"),
-    ).where((F.size("e") > 0) & (F.size("p") > 0))
-
-    def iou(x: Column, y: Column) -> Column:
-        zero = F.lit(0).cast("bigint")
-        overlap = F.greatest(zero, F.least(x["end_ms"], y["end_ms"]) - F.greatest(x["start_ms"], y["start_ms"]))
-        union = F.greatest(x["end_ms"], y["end_ms"]) - F.least(x["start_ms"], y["start_ms"])
-        return F.when(union > 0, overlap / union).otherwise(0.0)
-
-    match = "struct<iou:double,no:bigint,ps:bigint,pe:bigint,es:bigint,ee:bigint>"
-    empty = F.array().cast(f"array<{match}>")
-
-    def take(acc: Column, x: Column) -> Column:
-        free = F.filter(F.col("p"), lambda y: ~F.exists(acc, lambda m: m["no"] == y["no"]) & (iou(x, y) > 0))
-        scored = F.transform(free, lambda y: F.struct(
-            iou(x, y).alias("iou"), y["no"].alias("no"), y["start_ms"].alias("ps"), y["end_ms"].alias("pe"),
-            x["start_ms"].alias("es"), x["end_ms"].alias("ee")))
-        return F.when(F.size(scored) > 0, F.concat(acc, F.array(F.array_max(scored)))).otherwise(acc)
-
-    hits = g.select(*keys, F.explode(F.aggregate("e", empty, take)).alias("m"))
+    long = lambda d: d.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms")])
+    numbered = lambda d: with_ordinal(long(d), keys, ["start_ms", "end_ms"], time_slot(F.col("start_ms"), 60_000), "no", "cnt")
+    pairs = overlap_pairs(numbered(expected), numbered(predicted), keys)
+    shared = F.least("ee", "pe") - F.greatest("es", "ps")
+    pairs = materialise(pairs.withColumn("iou", shared / (F.greatest("ee", "pe") - F.least("es", "ps"))).withColumn("worse", -F.col("iou")).withColumn("sooner", -F.col("p")))
+    rows = with_ordinal(pairs, keys, ["e", "worse", "sooner"], chunk_index("e", 256))
+
+    def step(arrays, first, lo, hi, n, params, state):
+        e, p, es, ee, ps, pe, iou = (arrays[c] for c in ("e", "p", "es", "ee", "ps", "pe", "iou"))
+        now, served = (int(state[0]), state[1] == 1) if state else (-1, False)
+        taken = dict(zip(map(int, state[2::2]), map(int, state[3::2])))
+        events = []
+        for i in range(lo - first, hi - first):
+            if e[i] != now:
+                now, served = int(e[i]), False
+            if not served and int(p[i]) not in taken:
+                served = True
+                taken[int(p[i])] = int(pe[i])
+                events.append({"iou": float(iou[i]), "es": int(es[i]), "ee": int(ee[i]), "ps": int(ps[i]), "pe": int(pe[i])})
+        reach = int(es[hi - first - 1])
+        left = sorted((no, end) for no, end in taken.items() if end > reach)
+        return events, [now, int(served), *[x for pair in left for x in pair]]
+
+    hits = chunked_fold(rows, keys, ["e", "p", "es", "ee", "ps", "pe", "iou"], step, MATCH, size=size)
     return hits.select(
-        *keys, F.col("m.es").alias("expected_start"), F.col("m.ee").alias("expected_end"), F.col("m.ps").alias("predicted_start"),
-        F.col("m.pe").alias("predicted_end"), F.bround(F.round("m.iou", 10), 4).alias("iou"),
-        F.abs(F.col("m.ps") - F.col("m.es")).alias("onset_error_ms"), F.abs(F.col("m.pe") - F.col("m.ee")).alias("offset_error_ms"),
+        *keys, F.col("es").alias("expected_start"), F.col("ee").alias("expected_end"), F.col("ps").alias("predicted_start"),
+        F.col("pe").alias("predicted_end"), F.bround(F.round("iou", 10), 4).alias("iou"),
+        F.abs(F.col("ps") - F.col("es")).alias("onset_error_ms"), F.abs(F.col("pe") - F.col("ee")).alias("offset_error_ms"),
     )
 
 

@@ -209,7 +209,18 @@ def a11(spark, d):
     return evaluation.cohens_kappa(j, ["lang"], F.col("quality") == 1, F.col("toxic") == 1)
 
 
-@query("j6_boundary_match")
+# the walk over expected ranges, one at a time: every range also meets the stand-in -1, which is chosen when nothing is free
+WALK = """, en AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY start_ms, end_ms) AS e FROM ex), pn AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY start_ms, end_ms) AS p FROM pd),
+ eg AS (SELECT case_id, e, p, (least(en.end_ms, pn.end_ms) - greatest(en.start_ms, pn.start_ms)) / (greatest(en.end_ms, pn.end_ms) - least(en.start_ms, pn.start_ms)) AS iou, abs(pn.start_ms - en.start_ms) AS onset, abs(pn.end_ms - en.end_ms) AS off
+  FROM en JOIN pn USING (case_id) WHERE least(en.end_ms, pn.end_ms) > greatest(en.start_ms, pn.start_ms) UNION ALL SELECT case_id, e, -1, 0, 0, 0 FROM en),
+ wk AS (SELECT case_id, 0::BIGINT AS e, []::BIGINT[] AS used FROM en GROUP BY 1 UNION ALL
+  SELECT case_id, e, list_append(used, arg_max(p, [iou, p])) FROM (SELECT eg.case_id, eg.e, wk.used, eg.p, eg.iou FROM wk JOIN eg ON eg.case_id = wk.case_id AND eg.e = wk.e + 1 WHERE eg.p = -1 OR NOT list_contains(wk.used, eg.p)) GROUP BY case_id, e, used),
+ mt AS (SELECT case_id, eg.iou, onset, off FROM wk JOIN eg USING (case_id, e) WHERE eg.p = used[len(used)] AND eg.p > 0)"""
+
+
+@query("j6_boundary_match", SIG.replace("WITH ", "WITH RECURSIVE ", 1) + CASES + WALK + """, s AS (SELECT case_id, count(*) AS matched, round_even(round(avg(round_even(round(iou * 1e4, 6), 0)), 6), 0) / 1e4 AS mean_iou, round_even(round(avg(onset) * 10, 6), 0) / 10 AS mean_onset_error_ms, round_even(round(avg(off) * 10, 6), 0) / 10 AS mean_offset_error_ms FROM mt GROUP BY 1)
+ SELECT case_id, coalesce(x, 0) AS expected_segments, coalesce(y, 0) AS predicted_segments, coalesce(matched, 0) AS matched_segments, coalesce(x, 0) - coalesce(matched, 0) AS missed_segments, coalesce(y, 0) - coalesce(matched, 0) AS extra_segments, mean_iou, mean_onset_error_ms, mean_offset_error_ms
+ FROM (SELECT case_id, count(*) AS x FROM ex GROUP BY 1) FULL JOIN (SELECT case_id, count(*) AS y FROM pd GROUP BY 1) USING (case_id) LEFT JOIN s USING (case_id)""")
 def j6(spark, d):
     _, ex, pd = cases(spark, d)
     return evaluation.boundary_metrics(ex, pd, ["case_id"])
