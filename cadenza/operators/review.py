@@ -81,46 +81,101 @@ CAPS = {"ACTION_CLASS_UNCERTAIN": 75.0, "ACTIVE_WINDOW_UNCERTAIN": 80.0, "COUNT_
 DECISIONS = ["confirm_algorithm", "mark_insufficient", "mark_uncertain", "cap_score", "request_rerun"]
 
 
-def apply_arbitration(results: DataFrame, reasons: DataFrame, decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Caps, level and evidence marks from reasons and external decisions.
+# Names of the protective actions, with the issue each one adds and its severity.
+MARKS = {
+    "mark_insufficient": ("INSUFFICIENT_EVIDENCE", "red"),
+    "mark_action_class_uncertain": ("ACTION_CLASS_UNCERTAIN", "yellow"),
+    "mark_active_window_uncertain": ("ACTIVE_WINDOW_UNCERTAIN", "yellow"),
+    "mark_count_unstable": ("COUNT_UNSTABLE", "yellow"),
+}
+REFUSED = "reject_ai_mark_insufficient"
 
-    ``results``: overall_score, safety_level, capture_quality and has_count_issue.
-    ``decisions``: no, action, reason_code, cap; unknown actions are ignored and
-    at most the first eight count.  All effects are caps and marks, so they fold
-    into aggregates per result.
-    """
+
+def _optional(df: DataFrame, name: str, kind: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+
+def normalise_decisions(decisions: DataFrame, keys: Sequence[str], k: int = 8) -> DataFrame:
+    """First ``k`` valid decisions per result in the order of ``no``, as ``rn`` 1 to k.
+
+    Unknown actions go; ``cap`` is held between 0 and 100 and is void for a
+    confirmation, ``confidence`` between 0 and 1; numbers that are not finite
+    are void; texts are trimmed and cut.  ``confidence``, ``require_review`` and
+    ``note`` may be absent."""
+    from cadenza.core.num import finite
     from cadenza.core.rangejoin import top_k
 
+    short = lambda c, n: F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, n)
+    number = lambda name, high: F.when(finite(_optional(decisions, name, "double")).isNotNull(), clamp(finite(_optional(decisions, name, "double")), 0.0, high))
+    d = decisions.withColumn("action", F.trim("action")).where(F.col("action").isin(DECISIONS)).select(
+        *keys, "no", "action", short(F.col("reason_code"), 80).alias("reason_code"), F.when(F.col("action") != "confirm_algorithm", number("cap", 100.0)).alias("cap"),
+        number("confidence", 1.0).alias("confidence"), F.coalesce(_optional(decisions, "require_review", "boolean"), F.lit(False)).alias("require_review"),
+        short(_optional(decisions, "note", "string"), 500).alias("note"),
+    )
+    return top_k(d, keys, [F.col("no")], k)
+
+
+def apply_arbitration(results: DataFrame, reasons: DataFrame, decisions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Caps, level, evidence marks and added issues from reasons and external decisions.
+
+    ``results``: overall_score, safety_level, capture_quality, has_count_issue;
+    rep_count, codes (issues present), signature_confidence and
+    window_confidence may be absent.  ``decisions``: see ``normalise_decisions``.
+    Scores fold into a least cap per result, since no effect ever lifts a score.
+    ``applied`` names the effects in the order of their first use, reasons before
+    decisions; ``added`` holds the issues (code, severity, confidence,
+    observation) that the result lacks, in that order; ``cleared`` says that
+    strengths and key frames no longer count.  A null observation stands for the
+    usual text.
+    """
     keys = list(keys)
     code = F.col("code")
     own = reasons.groupBy(*keys).agg(
         F.max((code == "INSUFFICIENT_EVIDENCE").cast("int")).alias("_ins"),
         *[F.max((code == k).cast("int")).alias(f"_r_{k}") for k in CAPS], F.max((F.col("severity") != "info").cast("int")).alias("_review"),
     )
-    valid = top_k(decisions.where(F.col("action").isin(DECISIONS)), keys, [F.col("no")], 8)
-    a, why = F.col("action"), F.col("reason_code")
-    cap = F.when(a.isin("mark_uncertain", "cap_score", "request_rerun"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("cap"))))
+    valid = normalise_decisions(decisions, keys)
+    a, why, cap = F.col("action"), F.col("reason_code"), F.when(F.col("action") != "mark_insufficient", F.col("cap"))
     soft = a.isin("mark_uncertain", "request_rerun")
+    doubt = {c: soft & (why == c) for c in ("ACTION_CLASS_UNCERTAIN", "ACTIVE_WINDOW_UNCERTAIN")}
     joined = valid.join(own.select(*keys, F.col("_ins").alias("_known")), keys, "left")
     marks = (a == "mark_insufficient") & ((F.coalesce("_known", F.lit(0)) == 1) | (why == "INSUFFICIENT_EVIDENCE"))
     refused = (a == "mark_insufficient") & ~marks
+    shown = F.when(cap == F.floor(cap), cap.cast("long").cast("string")).otherwise(cap.cast("string"))
+    named = {name: doubt[c] for name, (c, _) in MARKS.items() if c in doubt}
+    names = F.array_compact(F.array(F.when(marks, "mark_insufficient"), F.when(refused, REFUSED), *[F.when(on, name) for name, on in named.items()], F.concat(F.lit("cap_score_"), shown)))
     ext = joined.groupBy(*keys).agg(
-        F.max(marks.cast("int")).alias("_mark"),
-        F.min(F.least(cap, F.when(refused, 80.0), F.when(soft & (why == "ACTION_CLASS_UNCERTAIN"), 75.0), F.when(soft & (why == "ACTIVE_WINDOW_UNCERTAIN"), 80.0))).alias("_cap"),
-        F.max((refused | (cap < 80) | (soft & why.isin("ACTION_CLASS_UNCERTAIN", "ACTIVE_WINDOW_UNCERTAIN"))).cast("int")).alias("_warn"),
+        F.max(marks.cast("int")).alias("_mark"), F.max(F.col("require_review").cast("int")).alias("_asked"),
+        F.min(F.least(cap, F.when(refused, 80.0), *[F.when(on, CAPS[c]) for c, on in doubt.items()])).alias("_cap"),
+        F.max((refused | F.coalesce(cap < 80, F.lit(False)) | doubt["ACTION_CLASS_UNCERTAIN"] | doubt["ACTIVE_WINDOW_UNCERTAIN"]).cast("int")).alias("_warn"),
+        F.min_by("note", F.when(marks, F.col("rn"))).alias("_note"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rn", names.alias("names")))), lambda x: x["names"])).alias("_names"),
     )
     d = results.join(own, keys, "left").join(ext, keys, "left")
     on = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
     insufficient = on("_ins") | on("_mark")
     count = on("_r_COUNT_UNSTABLE") & ~F.col("has_count_issue")
-    own_cap = F.least(F.when(on("_r_ACTION_CLASS_UNCERTAIN"), 75.0), F.when(on("_r_ACTIVE_WINDOW_UNCERTAIN"), 80.0), F.when(count, 85.0))
+    first = {"mark_insufficient": on("_ins"), "mark_action_class_uncertain": on("_r_ACTION_CLASS_UNCERTAIN"), "mark_active_window_uncertain": on("_r_ACTIVE_WINDOW_UNCERTAIN"), "mark_count_unstable": count}
+    own_cap = F.least(*[F.when(first[name], CAPS[c]) for name, (c, _) in MARKS.items() if c in CAPS])
     limit = F.coalesce(F.least(own_cap, F.col("_cap")), F.lit(float("inf")))
     warn = own_cap.isNotNull() | on("_warn")
+    none = F.array().cast("array<string>")
+    applied = F.array_distinct(F.concat(F.array_compact(F.array(*[F.when(hit, name) for name, hit in first.items()])), F.coalesce("_names", none)))
+    sure = {"ACTION_CLASS_UNCERTAIN": "signature_confidence", "ACTIVE_WINDOW_UNCERTAIN": "window_confidence"}
+    seen = lambda c: F.coalesce(_optional(results, sure[c], "double"), F.lit(0.0)) if c in sure else F.lit(None).cast("double")
+    told = F.when(~on("_ins") & (F.col("_note") != ""), F.col("_note"))
+    issue = {name: F.struct(F.lit(c).alias("code"), F.lit(sev).alias("severity"), seen(c).alias("confidence"), (told if name == "mark_insufficient" else F.lit(None).cast("string")).alias("observation")) for name, (c, sev) in MARKS.items()}
+    present = F.coalesce(_optional(results, "codes", "array<string>"), none)
+    table = F.create_map(*[x for name, entry in issue.items() for x in (F.lit(name), entry)])
+    entries = F.transform(F.filter("applied", lambda x: x.isin(list(MARKS))), lambda x: table[x])
+    d = d.withColumn("applied", applied)
     return d.select(
         *keys,
         F.when(insufficient, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.col("overall_score"), limit))).alias("overall_score"),
         F.when(insufficient, "not_applicable").when(warn & (F.col("safety_level") == "green"), "yellow").otherwise(F.col("safety_level")).alias("safety_level"),
-        F.when(insufficient, "insufficient").otherwise(F.col("capture_quality")).alias("capture_quality"), on("_review").alias("review"),
+        F.when(insufficient, "insufficient").otherwise(F.col("capture_quality")).alias("capture_quality"), (on("_review") | on("_asked")).alias("review"),
+        F.when(insufficient, F.lit(0).cast("long")).otherwise(_optional(results, "rep_count", "long")).alias("rep_count"), insufficient.alias("cleared"),
+        F.filter(entries, lambda x: ~F.array_contains(present, x["code"])).alias("added"), "applied",
     )
 
 

@@ -265,7 +265,38 @@ def r9(spark, d):
     action = F.when(k == 0, "cap_score").when(k == 1, "confirm_algorithm").when(k == 2, "nonsense").otherwise("mark_insufficient")
     dec = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.struct("l_linenumber", *TIE).alias("no"), action.alias("action"),
         F.when(F.col("l_partkey") % 9 == 0, "INSUFFICIENT_EVIDENCE").otherwise("X").alias("reason_code"), (F.lit(40.0) + F.col("l_quantity")).alias("cap"))
-    return review.apply_arbitration(res, review.arbitration_reasons(res, ["job"]), dec, ["job"])
+    return review.apply_arbitration(res, review.arbitration_reasons(res, ["job"]), dec, ["job"]).select("job", "overall_score", "safety_level", "capture_quality", "review")
+
+
+ACTS, WHYS = ["cap_score", "confirm_algorithm", "nonsense", "mark_insufficient", "mark_uncertain", "request_rerun"], ["INSUFFICIENT_EVIDENCE", "ACTION_CLASS_UNCERTAIN", "ACTIVE_WINDOW_UNCERTAIN", "X", "Y"]
+
+
+@query("r9_arbitration_effects", f"""WITH {RS}, c AS (SELECT job, bool_or(code = 'INSUFFICIENT_EVIDENCE') AS i, bool_or(code = 'ACTION_CLASS_UNCERTAIN') AS a, bool_or(code = 'ACTIVE_WINDOW_UNCERTAIN') AS w, bool_or(code = 'COUNT_UNSTABLE') AS u, bool_or(code NOT IN ('STAGE_EVIDENCE_VISUAL_REVIEW', 'ACTION_SUBTYPE_VISUAL_REVIEW')) AS rv FROM rr GROUP BY 1),
+ dec AS (SELECT l_orderkey AS job, {q_list(ACTS)}[l_suppkey % 6 + 1] AS action, {q_list(WHYS)}[l_partkey % 5 + 1] AS rc, CASE WHEN l_partkey % 3 > 0 THEN greatest(0, least(100, l_quantity * 2.5 - 10))::DOUBLE END AS cap, l_linenumber = 3 AS ask, 'line ' || l_linenumber AS note,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {TIE_SQL}) AS rn FROM lineitem WHERE l_suppkey % 6 <> 2),
+ dn AS (SELECT dec.*, action IN ('mark_uncertain', 'request_rerun') AS soft, action = 'mark_insufficient' AND (coalesce(i, false) OR rc = 'INSUFFICIENT_EVIDENCE') AS mk FROM (SELECT * REPLACE (CASE WHEN action NOT IN ('confirm_algorithm', 'mark_insufficient') THEN cap END AS cap), row_number() OVER (PARTITION BY job ORDER BY rn) AS k FROM dec) dec LEFT JOIN c USING (job) WHERE k <= 8),
+ de AS (SELECT job, bool_or(mk) AS mk, bool_or(ask) AS ask, first(note ORDER BY k) FILTER (WHERE mk) AS note,
+  min(least(cap, CASE WHEN action = 'mark_insufficient' AND NOT mk THEN 80 WHEN soft AND rc = 'ACTION_CLASS_UNCERTAIN' THEN 75 WHEN soft AND rc = 'ACTIVE_WINDOW_UNCERTAIN' THEN 80 END)) AS cap,
+  flatten(list(list_filter([CASE WHEN mk THEN 'mark_insufficient' WHEN action = 'mark_insufficient' THEN 'reject_ai_mark_insufficient' WHEN soft AND rc = 'ACTION_CLASS_UNCERTAIN' THEN 'mark_action_class_uncertain' WHEN soft AND rc = 'ACTIVE_WINDOW_UNCERTAIN' THEN 'mark_active_window_uncertain' END,
+   'cap_score_' || CASE WHEN cap = floor(cap) THEN cap::BIGINT::VARCHAR ELSE cap::VARCHAR END], lambda x: x IS NOT NULL) ORDER BY k)) AS names FROM dn GROUP BY 1),
+ z AS (SELECT rs.*, CASE WHEN job % 11 = 0 THEN ['ACTION_CLASS_UNCERTAIN'] WHEN job % 13 = 0 THEN ['COUNT_UNSTABLE'] ELSE [] END AS have, coalesce(i, false) AS i, coalesce(a, false) AS a, coalesce(w, false) AS w, coalesce(u, false) AND NOT (job % 13 = 0 AND job % 11 <> 0) AS u, coalesce(rv, false) OR coalesce(ask, false) AS review, coalesce(i, false) OR coalesce(mk, false) AS bad, de.cap, note, names FROM rs LEFT JOIN c USING (job) LEFT JOIN de USING (job)),
+ y AS (SELECT *, list_filter([CASE WHEN i THEN 'mark_insufficient' END, CASE WHEN a THEN 'mark_action_class_uncertain' END, CASE WHEN w THEN 'mark_active_window_uncertain' END, CASE WHEN u THEN 'mark_count_unstable' END], lambda x: x IS NOT NULL) || coalesce(names, []) AS al FROM z),
+ x AS (SELECT *, list_filter(al, lambda v, n: list_position(al, v) = n) AS ap FROM y),
+ w AS (SELECT *, list_filter(list_transform(ap, lambda v: CASE v WHEN 'mark_insufficient' THEN 'INSUFFICIENT_EVIDENCE' WHEN 'mark_action_class_uncertain' THEN 'ACTION_CLASS_UNCERTAIN' WHEN 'mark_active_window_uncertain' THEN 'ACTIVE_WINDOW_UNCERTAIN' WHEN 'mark_count_unstable' THEN 'COUNT_UNSTABLE' END), lambda v: v IS NOT NULL AND NOT list_contains(have, v)) AS ad FROM x)
+ SELECT job, CASE WHEN bad THEN 0 ELSE least(overall_score, CASE WHEN a THEN 75 END, CASE WHEN w THEN 80 END, CASE WHEN u THEN 85 END, cap) END::DOUBLE AS overall_score, review, CASE WHEN bad THEN 0 ELSE lost END::BIGINT AS rep_count, bad AS cleared, array_to_string(ap, ',') AS applied, array_to_string(ad, ',') AS added,
+  CASE WHEN list_contains(ad, 'INSUFFICIENT_EVIDENCE') AND NOT i THEN note END AS observation, round(CASE WHEN list_contains(ad, 'ACTION_CLASS_UNCERTAIN') THEN sc ELSE 0 END + CASE WHEN list_contains(ad, 'ACTIVE_WINDOW_UNCERTAIN') THEN wc ELSE 0 END, 6) AS confidence FROM w""")
+def r9_effects(spark, d):
+    res = arb_results(spark, d)
+    pick = lambda xs, c, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col(c) % n + 1).cast("int"))
+    dec = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("job"), F.struct("l_linenumber", *TIE).alias("no"), pick(ACTS, "l_suppkey", 6).alias("action"), pick(WHYS, "l_partkey", 5).alias("reason_code"),
+        F.when(F.col("l_partkey") % 3 > 0, F.col("l_quantity") * 2.5 - 10).alias("cap"), F.lit(1.5).alias("confidence"), (F.col("l_linenumber") == 3).alias("require_review"), F.concat(F.lit(" line "), F.col("l_linenumber").cast("string")).alias("note"))
+    own = F.when(F.col("job") % 11 == 0, F.array(F.lit("ACTION_CLASS_UNCERTAIN"))).when(F.col("job") % 13 == 0, F.array(F.lit("COUNT_UNSTABLE"))).otherwise(F.array().cast("array<string>"))
+    held = res.withColumn("codes", own).withColumn("has_count_issue", F.array_contains("codes", "COUNT_UNSTABLE")).withColumn("rep_count", F.col("lost"))
+    out = review.apply_arbitration(held, review.arbitration_reasons(res, ["job"]), dec, ["job"])
+    sure = F.aggregate("added", F.lit(0.0), lambda s, x: s + F.coalesce(x["confidence"], F.lit(0.0)))
+    said = F.array_max(F.transform("added", lambda x: x["observation"]))
+    return out.select("job", "overall_score", "review", "rep_count", "cleared", F.array_join("applied", ",").alias("applied"), F.array_join("added.code", ",").alias("added"), said.alias("observation"), r6(sure, "confidence"))
 
 
 @query("r11_standard_impact", f"""WITH {ISS}, {DIM}, f AS (SELECT job, code, row_number() OVER (PARTITION BY job ORDER BY rep, {TIE_SQL}) AS rn FROM iss), l AS (SELECT job, list(code ORDER BY rn) AS t FROM f WHERE rn <= 10 GROUP BY 1), r AS (SELECT o_orderkey AS job, {q_list(dims.ACTION_NAMES)}[o_custkey % 37 + 1] AS action_type FROM orders)
