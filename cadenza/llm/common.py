@@ -34,20 +34,21 @@ def row_and(df: DataFrame, more: str, row: str = "row") -> StructType:
     return StructType([df.schema[row], *StructType.fromDDL(more).fields])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Column, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most ``most`` labelled training documents per class (label, text), in
-    the order of a hash of the id.  ``train`` is a condition on the column k_id.
-    The chosen ids are bounded, so they may be broadcast; the texts of one id
-    count once."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Column, most: int, doc_id: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``most`` labelled training documents per class (label, text and
+    the columns ``more`` beside it), in the order of a hash of the id.  ``train``
+    is a condition on the column k_id.  The chosen ids are bounded, so they may
+    be broadcast; the texts of one id count once."""
     marks = labels.select(F.col(doc_id).cast("long").alias("k_id"), F.col(target).cast("int").alias("label"))
     marks = marks.where(F.col("label").isin(0, 1) & F.col("k_id").isNotNull() & train).groupBy("k_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("k_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("k_id"), F.struct(F.col(text).cast("string").alias("text"), *more).alias("r"))
     chosen = None
     for label in (1, 0):
         part = marks.where(F.col("label") == label).orderBy(F.xxhash64("k_id"), "k_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     found = rows.join(F.broadcast(chosen), "k_id")
-    return found.groupBy("k_id", "label").agg(F.min("text").alias("text")).select("k_id", "label", "text")
+    least = F.min(F.when(F.col("r.text").isNotNull(), F.col("r"))).alias("r")
+    return found.groupBy("k_id", "label").agg(least).select("k_id", "label", "r.text", *[F.col(f"r.{c}") for c in more])
 
 
 def passing(df: DataFrame, text: str) -> tuple[DataFrame, int]:

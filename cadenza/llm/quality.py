@@ -1,8 +1,9 @@
 """Document quality by a factorisation machine.
 
 A text becomes one sparse row: hashed lower-case words with damped counts of
-unit length, structure statistics between 0 and 1, and one-hot metadata (length
-class, whether the stored length agrees).  Every feature has a weight and a
+unit length, structure statistics between 0 and 1, and metadata (length class;
+a mark where the stored length differs from the text's, another where none is
+stored).  Features that no training row has weigh nothing.  Every feature has a weight and a
 vector of FACTORS numbers; the score adds, for every pair of features, the
 product of their values times the inner product of their vectors.  The pair sum
 is taken in linear time as half of (square of sums - sum of squares).
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import fold_of, labelled_sample
@@ -60,9 +61,12 @@ def row_of(text: str | None, n_chars: int | None, bucket: Bounded) -> tuple[np.n
     values /= max(1e-9, np.sqrt((values * values).sum()))
     index = [*map(bucket.__getitem__, counts), *range(WORDS, WORDS + SHAPES)]
     size = len(text)
-    index += [WORDS + SHAPES + min(SIZES - 1, size.bit_length()), WORDS + SHAPES + SIZES + int(n_chars is not None and n_chars != size)]
+    meta = [WORDS + SHAPES + min(SIZES - 1, size.bit_length())]
+    if n_chars != size:
+        meta.append(WORDS + SHAPES + SIZES + int(n_chars is None))
+    index += meta
     shape = np.clip(np.nan_to_num(np.array(shapes(text, text.split(), counts))), 0, 1)
-    return np.array(index, np.int32), np.concatenate((values, shape, [1.0, 1.0])).astype(np.float32)
+    return np.array(index, np.int32), np.concatenate((values, shape, np.ones(len(meta)))).astype(np.float32)
 
 
 def new_buckets() -> Bounded:
@@ -96,6 +100,9 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5) -> Mach
     if len(set(label.tolist())) < 2:
         return None
     m, rng, step = Machine(seed), np.random.default_rng(seed), 0
+    unmet = np.ones(WIDTH, bool)
+    unmet[np.concatenate([i for _, i, _ in sample])] = False
+    m.v[unmet] = 0
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (m.w, m.v)]
     bias = [0.0, 0.0]
     weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
@@ -127,16 +134,20 @@ def fit(sample: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5) -> Mach
     return m
 
 
+def _stored_length(docs: DataFrame) -> Column:
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).cast("long").alias("n_chars")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
     """Fits on at most ``sample`` labelled documents per class outside the held-out fold (crc32 mod 5 = 0)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = new_buckets()
         for b in batches:
-            rows = [row_of(t, None, bucket) for t in b.column("text").to_pylist()]
+            rows = [row_of(t, n, bucket) for t, n in zip(b.column("text").to_pylist(), b.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("k_id"), b.column("label"), pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["k_id", "label", "i", "x"])
 
-    chosen = labelled_sample(docs, labels, "quality", fold_of(F.col("k_id"), 5) != 0, sample)
+    chosen = labelled_sample(docs.withColumn("n_chars", _stored_length(docs)), labels, "quality", fold_of(F.col("k_id"), 5) != 0, sample, more=("n_chars",))
     rows = chosen.mapInArrow(cut, "k_id long, label int, i binary, x binary").orderBy("k_id").collect()
     return fit([(r["label"], np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32)) for r in rows])
 
@@ -159,7 +170,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
                 got = machine.score(rows) if machine else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(got, pa.float64())], ["doc_id", "held_out", "score"])
 
-    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id").cast("long"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"), n_chars.alias("n_chars"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id").cast("long"), 5) == 0).alias("held_out"), F.col("text").cast("string").alias("text"), _stored_length(docs))
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

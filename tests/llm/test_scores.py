@@ -111,3 +111,14 @@ def test_odd_rows(spark, odd_docs, no_docs, score):
     assert {r["score"] for r in score(odd_docs, labels.limit(0)).collect()} == {0.0}
     assert score(no_docs, labels).count() == 0
     assert score(odd_docs.drop("n_chars").withColumn("label", F.lit("x")), labels).count() == 10
+
+
+def test_a_stored_length_that_differs_is_learnt_and_weighs_nothing_unseen():
+    bucket = quality.new_buckets()
+    row = lambda text, n: quality.row_of(text, n, bucket)
+    texts = [f"plain words number {k} in a row" for k in range(40)]
+    seen = quality.fit([(k % 2, *row(t, len(t) + k % 2)) for k, t in enumerate(texts)])
+    same, differs = seen.score([row(texts[0], len(texts[0])), row(texts[0], 1)])
+    assert same < 0.5 < differs
+    unseen = quality.fit([(k % 2, *row(t, len(t))) for k, t in enumerate(texts)])
+    assert len(set(unseen.score([row(texts[0], n) for n in (len(texts[0]), 1, None)]).tolist())) == 1
