@@ -1,9 +1,8 @@
 """Exact linear-interpolated percentiles that survive a hot group.
 
-``percentile`` keeps all distinct values of a group in one task, which is fine
-for a series known to be short (its length ``n`` is on the rows).  For longer
-ones values are pre-aggregated to (group, value) counts and ranks are sought in
-bounded histograms: first over logarithmic buckets, then over PARTS equal parts
+A sorted list keeps all values of a group in one row, which is fine for a series
+known to be short (its length ``n`` is on the rows).  For longer ones values are
+pre-aggregated to (group, value) counts and ranks are sought in bounded histograms: first over logarithmic buckets, then over PARTS equal parts
 between the least and greatest value of each bucket that holds a requested
 rank, as often as such parts still hold many values.  Both ways interpolate by
 the same formula and keep a row of NULLs for a group without values, so the
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cadenza.core.session import materialise
 
-SHORT = 100_000  # series up to this length use the built-in aggregate
+SHORT = 100_000  # series up to this length are sorted in one row
 PARTS = 4096  # parts of an opened bucket
 WIDE = 50_000  # values of a bucket that one task may rank
 _PER_OCTAVE = 512
@@ -40,12 +39,26 @@ def quantiles(
 ) -> DataFrame:
     """One row per group with a column per spec ``name -> (value, p)``; nulls and
     NaN are ignored.  With a series length ``n`` on the rows, groups inside short
-    series take the built-in aggregate."""
+    series are sorted as one list."""
     if "n" not in df.columns:
         return ranked_quantiles(df, keys, specs)
-    direct = df.where(F.col("n") <= short).groupBy(*keys).agg(
-        *[F.percentile(_usable(value), F.lit(float(p))).alias(name) for name, (value, p) in specs.items()]
-    )
+    keys = list(keys)
+    lists: list[Column] = []
+    ids: dict[str, int] = {}
+    places = []
+    for spec, (value, p) in enumerate(specs.values()):
+        known = ids.get(value) if isinstance(value, str) else None
+        if known is None:
+            known = len(lists)
+            lists.append(F.sort_array(F.collect_list(_usable(value))).alias(f"_s{known}"))
+            if isinstance(value, str):
+                ids[value] = known
+        held = F.col(f"_s{known}")
+        pos = (F.size(held) - 1) * F.lit(float(p))
+        places += [
+            F.when(F.size(held) > 0, pos).alias(f"_p{spec}"), F.get(held, F.floor(pos).cast("int")).alias(f"_l{spec}"),
+            F.get(held, F.ceil(pos).cast("int")).alias(f"_h{spec}")]
+    direct = _interpolated(df.where(F.col("n") <= short).groupBy(*keys).agg(*lists).select(*keys, *places), keys, specs)
     return direct.unionByName(ranked_quantiles(df.where(F.col("n") > short), keys, specs))
 
 
@@ -54,6 +67,33 @@ def _usable(value: str | Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def _between(pos: Column, lo: Column, hi: Column) -> Column:
+    """``lo * (ceil - pos) + hi * (pos - floor)`` with the first product fused
+    into the sum, as the SQL twins round it: thresholds built on a percentile are
+    compared with samples of the same grid, where one last bit moves a crossing.
+    The product's and the sum's errors are exact (Dekker, Knuth)."""
+    a, b, c = lo, F.ceil(pos) - pos, hi * (pos - F.floor(pos))
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        top = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+        return top, x - top
+
+    (a1, a2), (b1, b2) = halves(a), halves(b)
+    product = a * b
+    lost = a2 * b2 - (product - a1 * b1 - a2 * b1 - a1 * b2)
+    total = product + c
+    other = total - product
+    rest = (product - (total - other)) + (c - other)
+    fused = F.when(F.greatest(F.abs(lo), F.abs(hi)) < 1e290, total + (rest + lost)).otherwise(total)
+    return F.when((F.floor(pos) == F.ceil(pos)) | (lo == hi), lo).otherwise(fused)
+
+
+def _interpolated(places: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str | Column, float]]) -> DataFrame:
+    """Percentiles from the position and the two neighbouring values of each spec."""
+    return places.select(*keys, *[
+        _between(*[F.col(f"_{c}{spec}") for c in "plh"]).alias(name) for spec, name in enumerate(specs)])
+
+
 def ranked_quantiles(
     df: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str | Column, float]]
 ) -> DataFrame:
@@ -124,12 +164,10 @@ def ranked_quantiles(
         return F.max(F.when((F.col("_r.spec") == spec) & (F.col("_r.side") == side), F.col("_v")))
 
     aggs = []
-    for spec, name in enumerate(specs):
+    for spec in range(len(specs)):
         pos = F.max(F.when(F.col("_r.spec") == spec, F.col("_r.pos")))
-        lo, hi = pick(spec, 0), pick(spec, 1)
-        between = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
-        aggs.append(F.when((F.floor(pos) == F.ceil(pos)) | (lo == hi), lo).otherwise(between).alias(name))
-    return hits.groupBy(*keys).agg(*aggs)
+        aggs += [pos.alias(f"_p{spec}"), pick(spec, 0).alias(f"_l{spec}"), pick(spec, 1).alias(f"_h{spec}")]
+    return _interpolated(hits.groupBy(*keys).agg(*aggs), keys, specs)
 
 
 def _counted(cells: DataFrame, group: list[str], bucket: str = "_b") -> DataFrame:
