@@ -59,7 +59,7 @@ def x7(spark, d):
  SELECT doc_id, len(list_filter(a, lambda x: x <> ''))::BIGINT AS sentences, sha256(array_to_string(list_filter(a, lambda x: x <> '' AND NOT regexp_matches(x, '(?i)est|ing') AND NOT regexp_matches(x, '[0-9]')), '')) AS text_hash FROM s""")
 def x8(spark, d):
     t = F.replace("text", F.lit("."), F.lit(";"))
-    parts = F.regexp_extract_all(text.squeeze(t), F.lit("[^。！？!?；;]+[。！？!?；;]?"), F.lit(0))
+    parts = text.split_sentences(text.squeeze(t))
     n = F.size(F.filter(parts, lambda s: F.trim(s) != "")).cast("long")
     return read(spark, d, "documents").select("doc_id", n.alias("sentences"), F.sha2(text.drop_sentences(t, ["(?i)est|ing", "[0-9]"]), 256).alias("text_hash"))
 
