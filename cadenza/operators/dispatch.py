@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.core.session import stored
 from cadenza.operators import cycles
 from cadenza.operators.peaks import detect_repetitions
 from cadenza.operators.segment import REP_COLUMNS, segment_by_peaks
@@ -24,22 +25,27 @@ PEAKS = {
 DEFAULT_PEAKS = (0.18, 3.0, 1.0, None)
 
 
-def segment(sig: DataFrame, keys: Sequence[str], value: str, fps: float, secondary: bool = False) -> DataFrame:
+def _angle(angles: dict[str, float]) -> Column:
+    out = F.lit(None).cast("double")
+    for name, angle in angles.items():
+        out = F.when(F.col("action_type") == name, angle).otherwise(out)
+    return out
+
+
+def segment(sig: DataFrame, keys: Sequence[str], value: str, fps: float, secondary: bool | str = False) -> DataFrame:
     """Repetitions of every series by the counter of its action.
 
     ``sig`` holds ``action_type``, ``family`` and the smoothed signal (for hinge
     actions the smoothed line angle).  One branch per algorithm, each over its
-    own series only.
+    own series only.  ``secondary`` may name a column that is constant per series.
     """
     keys = list(keys)
     action, family = F.col("action_type"), F.col("family")
-    flexed = FLEXED_SECONDARY if secondary else FLEXED
-    elbow = action.isin(list(flexed))
+    second = F.col(secondary) if isinstance(secondary, str) else F.lit(secondary)
+    limit = F.when(second, _angle(FLEXED_SECONDARY)).otherwise(_angle(FLEXED))
+    elbow = limit.isNotNull()
     adaptive = action.isin("hip_thrust", "plate_loaded_rear_leg_raise")
     hinge = (family == "hinge") & ~adaptive & ~action.isin("back_extension", "plate_loaded_romanian_deadlift")
-    limit = F.lit(None).cast("double")
-    for name, angle in flexed.items():
-        limit = F.when(action == name, angle).otherwise(limit)
     found = [
         ("elbow_cycle", cycles.cycles_or_partial(sig.where(elbow).withColumn("flex_at", limit), keys, value, fps, 135.0, "flex_at")),
         ("low_high_cycle", cycles.cycles_low_high(sig.where(action == "y_raise"), keys, value, fps)),
@@ -59,6 +65,17 @@ def segment(sig: DataFrame, keys: Sequence[str], value: str, fps: float, seconda
     return reduce(DataFrame.unionByName, parts)
 
 
+def segment_engines(sig: DataFrame, keys: Sequence[str], value: str, fps: float) -> DataFrame:
+    """``segment`` by the rules of both engines, told apart by ``secondary``, in
+    one pass: series that both count alike are counted once."""
+    keys, both = list(keys), F.array(F.lit(False), F.lit(True))
+    alike = ~F.col("action_type").isin([a for a, angle in FLEXED_SECONDARY.items() if FLEXED.get(a) != angle])
+    engines = F.when(alike, F.array(F.lit(False))).otherwise(both)
+    rows = stored(sig.withColumn("_alike", alike).withColumn("secondary", F.explode(engines)))
+    found = segment(rows, [*keys, "_alike", "secondary"], value, fps, "secondary")
+    return found.withColumn("secondary", F.explode(F.when(F.col("_alike"), both).otherwise(F.array("secondary")))).drop("_alike")
+
+
 def key_samples(sig: DataFrame, reps: DataFrame, keys: Sequence[str], value: str, leaning: Column) -> DataFrame:
     """Sample indexes worth looking at: those of the middle repetition, else the
     deepest lean of a hinge, else thirds of the recording."""

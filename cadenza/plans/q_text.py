@@ -332,17 +332,13 @@ def r13(spark, d):
 @query("s9_segment_dispatch")
 def s9(spark, d):
     """Every action of the catalogue, by the first and by the second engine's rules."""
-    from cadenza.operators.dispatch import segment
+    from cadenza.operators.dispatch import segment_engines
 
     names = list(dims.ACTIONS)
     no = (F.col("user_id") % len(names) + 1).cast("int")
     of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), no)
-    s = materialise(sig(spark, d).withColumn("action_type", of(names)).withColumn("family", of([dims.ACTIONS[x][0] for x in names])))
-    out = None
-    for secondary in (False, True):
-        part = segment(s, K, "v", FPS, secondary).select("user_id", F.lit(secondary).alias("secondary"), "algorithm", "rep_index", "start_idx", "key_idx", "end_idx")
-        out = part if out is None else out.unionByName(part)
-    return out
+    s = sig(spark, d).withColumn("action_type", of(names)).withColumn("family", of([dims.ACTIONS[x][0] for x in names]))
+    return segment_engines(s, K, "v", FPS).select("user_id", "secondary", "algorithm", "rep_index", "start_idx", "key_idx", "end_idx")
 
 
 @query("t3_key_samples", SIG + IV + """, e AS (SELECT user_id, n, min(struct_pack(v := -v, i := pose_idx)).i AS b FROM sig GROUP BY 1, 2),
