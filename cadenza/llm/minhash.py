@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.core.session import materialise
@@ -81,31 +81,50 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("k_text").slice(r, 1), pa.array([fingerprint(text)], pa.int64()), grams], ["k_text", "bits", "grams"])
 
 
-def _alike(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _alike(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (s, t) of texts whose exact Jaccard index is 0.8 or more, with their fingerprints a and b."""
-    asked = pairs.select(F.col("s").alias("k_text")).union(pairs.select("t")).distinct()
-    sets = materialise(texts.join(asked, "k_text").select("k_text", "text").mapInArrow(_sets, "k_text long, bits long, grams array<long>").dropDuplicates(["k_text"]))
     left = sets.select(F.col("k_text").alias("s"), F.col("bits").alias("a"), F.col("grams").alias("g"))
     right = sets.select(F.col("k_text").alias("t"), F.col("bits").alias("b"), F.col("grams").alias("h"))
     both = pairs.join(left, "s").join(right, "t").withColumn("common", F.size(F.array_intersect("g", "h")))
     return both.where(5 * F.col("common") >= 4 * (F.size("g") + F.size("h") - F.col("common"))).select("s", "t", "a", "b")
 
 
-def _only_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in range(b.num_rows):
-            grams = shingles(b.column("text")[r].as_py()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("k_text").take(pa.array(np.full(len(grams), r))), pa.array(grams)], ["k_text", "gram"])
-
-
-def _shared(texts: DataFrame, some: DataFrame) -> DataFrame:
+def _shared(sets: DataFrame, some: DataFrame) -> DataFrame:
     """(k_text, held): how many shingles of each of ``some`` texts another one
     of them holds too.  A text that stands alone with more than a fifth of its
     shingles is near to none."""
-    asked = some.select("k_text").distinct()
-    sets = materialise(texts.join(asked, "k_text").dropDuplicates(["k_text"]).select("k_text", "text").mapInArrow(_only_sets, "k_text long, gram long"))
-    twice = materialise(sets.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("gram"))
-    return materialise(sets.join(twice, "gram").groupBy("k_text").agg(F.count(F.lit(1)).alias("held")))
+    grams = sets.join(some.select("k_text").distinct(), "k_text").select("k_text", F.explode("grams").alias("gram"))
+    twice = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("gram"))
+    return materialise(grams.join(twice, "gram").groupBy("k_text").agg(F.count(F.lit(1)).alias("held")))
+
+
+def _across(sets: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs (s, t) of ``rest`` (hub, k_text, n, root) with one hub and two
+    roots that may have a Jaccard index of 0.8; none that has is left out.
+
+    With D the shingles in which a text differs from its hub, two texts of n
+    and m shingles are near if and only if their D have at least
+    (9 |D| + 9 |D'| - n - m) / 18 shingles in common.  Of two classes one text
+    is not near the hub (9 |D| > n + size of the hub), which makes that number
+    positive and gives each text alone a least number.  So near pairs share
+    one of the rarest shingles of both D, and are looked up by these."""
+    placed = rest.select("hub", "k_text", "n", "root").distinct()
+    hubs = sets.select(F.col("k_text").alias("hub"), F.col("grams").alias("g"))
+    differ = F.concat(F.array_except("grams", "g"), F.array_except("g", "grams"))
+    sided = placed.join(hubs, "hub").join(sets.select("k_text", "grams"), "k_text").select("hub", "k_text", "n", "root", F.size("g").alias("of"), differ.alias("d"))
+    sided = sided.withColumn("size", F.size("d")).withColumn("over", 9 * F.col("size") - F.col("n") - F.col("of"))
+    rows = materialise(sided.select("hub", "k_text", "n", "root", "size", "over", F.explode("d").alias("gram")))
+    seen = rows.groupBy("hub", "gram").agg(F.count(F.lit(1)).alias("texts"), F.max("over").alias("most")).where("texts > 1 and most > 0").select("hub", "gram", "texts")
+    own = Window.partitionBy("hub", "k_text")
+    rows = rows.join(seen, ["hub", "gram"]).withColumn("at", F.row_number().over(own.orderBy("texts", "gram"))).withColumn("after", F.count(F.lit(1)).over(own) - F.col("at") + 1)
+    rows = materialise(rows.select("hub", "gram", "k_text", "n", "root", "size", "over", "after"))
+    alone = F.ceil(F.col("over") / 10)  # |D'| is at least the common part, m at most the hub and D'
+    beside = F.greatest(alone, F.ceil((8 * F.col("size") + 1) / 18))  # next to a text that is not near the hub
+    far = rows.where((F.col("over") > 0) & (F.col("after") >= alone)).select("hub", "gram", "k_text", "n", "root", "size", "after")
+    other = rows.where(F.col("after") >= beside).select("hub", "gram", *[F.col(c).alias(f"{c}_") for c in ("k_text", "n", "root", "size", "after")])
+    enough = 18 * F.least("after", "after_") >= 9 * (F.col("size") + F.col("size_")) - F.col("n") - F.col("n_")
+    pairs = far.join(other, ["hub", "gram"]).where((F.col("root") != F.col("root_")) & enough)
+    return pairs.select(F.least("k_text", "k_text_").alias("s"), F.greatest("k_text", "k_text_").alias("t")).distinct()
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,7 +136,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     its group that meets most others, and the links found make classes.  Groups
     that still hold several classes compare their texts across classes alone,
     so what one class holds is never paired again, and only texts that share
-    enough of their shingles with any other come into question.  Equal texts
+    enough of their shingles with any other come into question; of these a
+    text meets those that differ from the central text in the same rare
+    shingles as itself (``_across``).  Equal texts
     are one text to the search, so copies in any number make no pairs; null
     texts and texts without words have none; an empty table gives an empty
     result.  The sizes of two sets alone rule out most false candidates before
@@ -133,15 +154,15 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     grouped = materialise(grouped.drop("texts").join(materialise(centre.select("key", F.col("c.k_text").alias("hub"), F.col("c.n").alias("m"))), "key"))
     pair = [F.least("hub", "k_text").alias("s"), F.greatest("hub", "k_text").alias("t")]
     star = materialise(grouped.where(sized & (F.col("k_text") != F.col("hub"))).select(*pair).distinct())
-    near = materialise(_alike(texts, star))
+    asked = grouped.select("k_text").distinct()
+    once = texts.dropDuplicates(["k_text"]).join(asked, "k_text")  # copies go before the join, which deals them to one task
+    sets = materialise(once.select("k_text", "text").mapInArrow(_sets, "k_text long, bits long, grams array<long>"))
+    near = materialise(_alike(sets, star))
     roots = materialise(connected_components(near.select(F.col("s").alias("a"), F.col("t").alias("b"))))
-    classed = materialise(grouped.join(roots, F.col("k_text") == F.col("node"), "left").select("key", "k_text", "n", F.coalesce("root", "k_text").alias("root")))
+    classed = materialise(grouped.join(roots, F.col("k_text") == F.col("node"), "left").select("key", "k_text", "n", "hub", F.coalesce("root", "k_text").alias("root")))
     mixed = materialise(classed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"))
-    rest = materialise(classed.join(mixed, "key"))
-    rest = materialise(rest.join(_shared(texts, rest), "k_text").where("5 * held >= 4 * n"))
-    other = rest.select("key", F.col("k_text").alias("t"), F.col("n").alias("m"), F.col("root").alias("of"), F.col("held").alias("holds"))
-    enough = sized & (9 * F.least("held", "holds") >= 4 * (F.col("n") + F.col("m")))  # a common part of 0.8 of the union
-    across = rest.join(other, "key").where(enough & (F.col("k_text") < F.col("t")) & (F.col("root") != F.col("of")))
-    across = materialise(across.select(F.col("k_text").alias("s"), "t").distinct().join(star, ["s", "t"], "left_anti"))
-    every = near.union(_alike(texts, across))
+    rest = materialise(classed.join(mixed, "key").select("hub", "k_text", "n", "root").distinct())
+    rest = materialise(rest.join(_shared(sets, rest), "k_text").where("5 * held >= 4 * n"))
+    across = materialise(_across(sets, rest).join(star, ["s", "t"], "left_anti"))
+    every = near.union(_alike(sets, across))
     return every.where("a != b").select("a", "b").distinct()

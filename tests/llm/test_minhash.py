@@ -64,6 +64,27 @@ def test_a_large_group_makes_few_rows(spark, monkeypatch):
     assert len(set(groups({simhash.fingerprint(t) for t in texts}, found).values())) == 1
 
 
+def test_a_group_of_many_classes_makes_few_rows(spark, monkeypatch):
+    """Near copies with so many changes that most are near to few others: the
+    classes of brute force, without all pairs of the group."""
+    r = random.Random(12)
+    base, texts = [f"w{k}" for k in range(146)], set()
+    while len(texts) < 900:
+        words = list(base)
+        for _ in range(r.randint(1, 6)):
+            words[r.randrange(len(words))] = r.choice(["", "again", f"x{r.randrange(400)}"])
+        texts.add(" ".join(words))
+    texts = sorted(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, slow = [], minhash._alike
+    monkeypatch.setattr(minhash, "_alike", lambda t, pairs: (sizes.append(pairs.count()), slow(t, pairs))[1])
+    found = [tuple(x) for x in minhash.links(docs).collect()]
+    bits, sets = [simhash.fingerprint(t) for t in texts], [grams(t) for t in texts]
+    pairs = [(bits[a], bits[b]) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])]
+    assert groups(set(bits), found) == groups(set(bits), pairs)
+    assert len(set(groups(set(bits), found).values())) > 50 and sum(sizes) < 20 * len(texts), sizes
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     assert minhash.links(odd_docs).count() == 0 and minhash.links(no_docs).count() == 0
     assert simhash.keep_one(no_docs, more=minhash.links(no_docs)).count() == 0
