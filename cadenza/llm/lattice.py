@@ -28,6 +28,25 @@ class Bounded(dict):
         return value
 
 
+class Recent(Bounded):
+    """Memo that forgets by halves: when the younger half is full it becomes the
+    older one, and what is asked for again moves back.  Frequent keys stay."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__(make, most)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def merged(parts: list[str], rank: Callable[[str, str], float | None]) -> list[str]:
     """Applies merges to a short list of symbols: least rank first, leftmost of equals."""
     parts = list(parts)
@@ -146,17 +165,20 @@ class Lattice:
         """Adds the last tokens of the prefixes of ``text`` from length
         ``len(ends)`` to ``at``; ends[i] is the last token at i.  Takes and
         returns the automaton's state."""
-        steps, outs, apart, base, size = self.steps, self.outs, self.apart, self.base, self.size
-        for i in range(len(ends), at + 1):
-            sign = text[i - 1]
+        steps, outs, apart, base, size, fallen, signs = self.steps, self.outs, self.apart, self.base, self.size, self.fallen, self.signs
+        i = len(ends)
+        for sign in text[i - 1 : at]:
             after = steps[state].get(sign)
-            state = self.step(state, sign) if after is None else after
-            last = 0
+            if after is None:
+                after = fallen[state, sign] if sign in signs else 0
+            state = after
             for t in outs[state]:
                 if apart[ends[i - size[t]] * base + t]:
-                    last = t
+                    ends.append(t)
                     break
-            ends.append(last)
+            else:
+                ends.append(0)
+            i += 1
         return state
 
     def whole(self, text: str) -> int:
@@ -231,7 +253,12 @@ class Stream:
         yield from (self.ends[i] for i in sorted(self._path(boundary))[1:])
         self.text, self.ends = self.text[boundary:], self.ends[boundary:]
 
-    def finish(self) -> Iterator[int]:
+    def finish(self) -> list[int]:
         self.commits += 1
-        yield from (self.ends[i] for i in sorted(self._path(len(self.text)))[1:])
+        out, at, ends, size = [], len(self.text), self.ends, self.lattice.size
+        while at:
+            out.append(ends[at])
+            at -= size[ends[at]]
+        out.reverse()
         self.text, self.ends, self.state = "", [0], 0
+        return out

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from cadenza.llm.common import inner, passing, row_and, whole_row
-from cadenza.llm.lattice import Bounded, Lattice, Stream
+from cadenza.llm.lattice import Lattice, Recent, Stream
 
 MARK = "▁"
 SHORT = 48  # fragments up to this length are kept
@@ -61,14 +61,14 @@ class Spelling:
 class Pieces:
     """Encoder over the same vocabulary."""
 
-    def __init__(self, vocabulary: list[tuple[str, float, str]], memo: int = 100_000):
+    def __init__(self, vocabulary: list[tuple[str, float, str]], memo: int = 600_000):
         ids = {p: k for k, (p, _, kind) in enumerate(vocabulary) if kind == "normal"}
         score = {p: -s for p, s, kind in vocabulary if kind == "normal"}
         self.byte = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(vocabulary) if kind == "byte"}
         self.unknown = next((k for k, v in enumerate(vocabulary) if v[2] == "unknown"), 0)
         self.lattice = Lattice(ids, lambda a, b: score.get(a + b), list, memo)
-        self.id_of = [-1, *ids.values()]
-        self.kept = Bounded(self._stream, memo)
+        self.raw_of = [b"", *(array("i", [k]).tobytes() for k in ids.values())]
+        self.kept = Recent(self._stream, memo)
         self.commits = 0
         mixed = self._mixed(ids)
         self.fragment = re.compile(rf"{MARK}*[^\W\d_{mixed}]+|{MARK}*(?:[^\w{MARK}]|[\d_{mixed}])+|{MARK}+")
@@ -88,25 +88,25 @@ class Pieces:
             out |= more
 
     def _ids(self, text: str, numbers: list[int]) -> bytes:
-        id_of = self.id_of
+        raw_of = self.raw_of
         if 0 not in numbers:
-            return array("i", [id_of[k] for k in numbers]).tobytes()
-        ids: list[int] = []
+            return b"".join([raw_of[k] for k in numbers])
+        raw: list[bytes] = []
         for k, t in zip(numbers, self.lattice.spelled(text, numbers)):
             if k:
-                ids.append(id_of[k])
+                raw.append(raw_of[k])
             elif self.byte:
-                ids.extend(self.byte[b] for b in t.encode("utf-8", "surrogatepass"))
+                raw.append(array("i", [self.byte[b] for b in t.encode("utf-8", "surrogatepass")]).tobytes())
             else:
-                ids.append(self.unknown)
-        return array("i", ids).tobytes()
+                raw.append(array("i", [self.unknown]).tobytes())
+        return b"".join(raw)
 
     def _stream(self, fragment: str) -> bytes:
         """Ids of a fragment as the window commits them."""
         one = self.lattice.whole(fragment)
         if one:
             self.commits += 1
-            return self._ids(fragment, [one])
+            return self.raw_of[one]
         stream = Stream(self.lattice)
         numbers = [*stream.feed(fragment), *stream.finish()]
         self.commits += stream.commits

@@ -112,3 +112,14 @@ def test_every_fragment_is_committed_by_the_window(texts):
         p.encode(t)
     assert p.commits - before >= n
     assert max(len(d) for d in (p.kept, p.lattice.apart, p.lattice.fallen)) <= 40
+
+
+def test_frequent_fragments_stay_in_the_memo():
+    """Fragments that come up once push out one another, not those that come up all the time."""
+    p = pieces.Pieces(pieces.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")), memo=40)
+    made, make = [], p.kept.make
+    p.kept.make = lambda f: (made.append(f), make(f))[1]
+    for k in range(300):
+        p.encode(f"often z{chr(97 + k // 26)}{chr(97 + k % 26)}q and often")
+    assert made.count(pieces.MARK + "often") == made.count(pieces.MARK + "and") == 1 and len(made) > 300
+    assert len(p.kept) + len(p.kept.older) <= 40
