@@ -117,6 +117,8 @@ def scan(
     (strictly when not ``inclusive``).  ``totals``: inclusive running sums.
     Inside a chunk these are windows; across chunks they are windows over one
     summary row per chunk, built by partial aggregation before any shuffle.
+    Looking ahead is looking back in descending order: a frame up to the end is
+    worked out anew for every row, so it costs the square of the chunk.
     """
     keys, prev, next_, totals = list(keys), prev or {}, next_ or {}, totals or {}
     rows = df.withColumn("chunk", chunk_index(idx, size))
@@ -129,12 +131,12 @@ def scan(
     near = 0 if inclusive else 1
     w = chunk_window(keys, idx)
     w_prev = w.rowsBetween(Window.unboundedPreceding, -near)
-    w_next = w.rowsBetween(near, Window.unboundedFollowing)
+    w_next = Window.partitionBy(*keys, "chunk").orderBy(F.col(idx).desc()).rowsBetween(Window.unboundedPreceding, -near)
     w_sum = w.rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select(
         "*",
         *[F.last(f"_p_{k}", True).over(w_prev).alias(f"_lp_{k}") for k in prev],
-        *[F.first(f"_n_{k}", True).over(w_next).alias(f"_ln_{k}") for k in next_],
+        *[F.last(f"_n_{k}", True).over(w_next).alias(f"_ln_{k}") for k in next_],
         *[F.sum(f"_t_{k}").over(w_sum).alias(f"_lt_{k}") for k in totals],
     )
     at = F.col(idx)
@@ -146,12 +148,12 @@ def scan(
     )
     by_chunk = Window.partitionBy(*keys).orderBy("chunk")
     earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_chunk.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     incoming = summary.select(
         *keys,
         "chunk",
         *[F.last(f"_sp_{k}", True).over(earlier).alias(f"_cp_{k}") for k in prev],
-        *[F.first(f"_sn_{k}", True).over(later).alias(f"_cn_{k}") for k in next_],
+        *[F.last(f"_sn_{k}", True).over(later).alias(f"_cn_{k}") for k in next_],
         *[F.sum(f"_st_{k}").over(earlier).alias(f"_ct_{k}") for k in totals],
     )
     joined = local.join(incoming, [*keys, "chunk"], "left")

@@ -13,6 +13,21 @@ from cadenza.functions.landmarks import (
 )
 
 LANDMARKS = "landmarks"
+FIELDS = ("x", "y", "vis")
+
+
+class Points:
+    """Landmarks of flat rows: columns ``x11``, ``y11``, ``vis11``, ... stand for
+    the array.  Formulas over many slots of an array take the optimizer, which
+    compares all its extractions, longer than the rows."""
+
+    def __getitem__(self, i: int) -> dict[str, Column]:
+        return {field: F.col(f"{field}{i}") for field in FIELDS}
+
+
+def flat_points(lm: Column, slots: Sequence[int]) -> list[Column]:
+    """The columns that ``Points`` reads."""
+    return [at(lm, i, field).alias(f"{field}{i}") for i in slots for field in FIELDS]
 
 
 def at(lm: Column, i: int, field: str) -> Column:

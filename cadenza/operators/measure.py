@@ -155,80 +155,121 @@ def _mirror(chain: Sequence[int], left: bool) -> tuple[int, ...]:
     return tuple(chain) if left else tuple(_MIRROR[i] for i in chain)
 
 
+def _side_sample(lm: Column, left: bool, conf: Sequence[int], angle: Sequence[int] | None, extra: tuple[int, str] | None,
+                 min_conf: float, rise_chain: Sequence[int], rise_conf: float) -> dict[str, Column]:
+    """Confidence, angle and a coordinate of one side of a frame."""
+    c = g.chain_min(lm, _mirror(conf, left))
+    a = g.joint_angle(lm, *_mirror(angle, left)) if angle else F.lit(0.0)
+    ok = (c >= min_conf) & a.isNotNull()
+    e = g.at(lm, _mirror((extra[0],), left)[0], extra[1]) if extra else F.lit(0.0)
+    shoulder, wrist = _mirror((LS,), left)[0], _mirror((LW,), left)[0]
+    rise = g.at(lm, shoulder, "y") - g.at(lm, wrist, "y")
+    shown = g.chain_min(lm, _mirror(rise_chain, left)) >= rise_conf
+    return {"side": F.lit("left" if left else "right"), "c": F.when(ok, c), "a": F.when(ok, a), "e": F.when(ok, e),
+            "rise": F.when(shown, rise), "raw_c": c}
+
+
 def side_samples(frames: DataFrame, keys: Sequence[str], conf: Sequence[int], angle: Sequence[int] | None,
                  extra: tuple[int, str] | None, min_conf: float = 0.12,
                  rise_chain: Sequence[int] = (LS, LW), rise_conf: float = 0.45) -> DataFrame:
     """Two rows per frame (left, right) with confidence, angle and a coordinate;
     measurable samples only carry values."""
-    lm = F.col("landmarks")
-
     def one(left: bool) -> Column:
-        c = g.chain_min(lm, _mirror(conf, left))
-        a = g.joint_angle(lm, *_mirror(angle, left)) if angle else F.lit(0.0)
-        ok = (c >= min_conf) & a.isNotNull()
-        e = g.at(lm, _mirror((extra[0],), left)[0], extra[1]) if extra else F.lit(0.0)
-        shoulder, wrist = _mirror((LS,), left)[0], _mirror((LW,), left)[0]
-        rise = g.at(lm, shoulder, "y") - g.at(lm, wrist, "y")
-        shown = g.chain_min(lm, _mirror(rise_chain, left)) >= rise_conf
-        return F.struct(
-            F.lit("left" if left else "right").alias("side"), F.when(ok, c).alias("c"), F.when(ok, a).alias("a"),
-            F.when(ok, e).alias("e"), F.when(shown, rise).alias("rise"), c.alias("raw_c"),
-        )
+        sample = _side_sample(F.col("landmarks"), left, conf, angle, extra, min_conf, rise_chain, rise_conf)
+        return F.struct(*[c.alias(name) for name, c in sample.items()])
 
     return frames.select(*keys, "n", F.explode(F.array(one(True), one(False))).alias("s")).select(*keys, "n", "s.*")
 
 
+# Confidence chain, angle chain and second series of each variant, for the left side.
+SIDE_SHAPES = {
+    "pulldown": ((LS, LE, LW), (LS, LE, LW), (LE, "y")),
+    "row": ((LS, LE, LW), (LS, LE, LW), (LW, "x")),
+    "rear_leg": ((LS, LH, LK), (LS, LH, LK), None),
+    "press": ((LS, LE, LW), None, None),
+    "y_raise": ((LH, LS, LE), (LH, LS, LE), None),
+}
+
+
 def working_side(frames: DataFrame, variant: str, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """Score both sides and choose one.
 
     Variants: ``pulldown``, ``row``, ``rear_leg``, ``press``, ``y_raise``.  The
     right side has to be strictly better; for press and y_raise ties the same.
     """
+    return working_sides(frames, [variant], keys).drop("variant")
+
+
+def working_sides(frames: DataFrame, variants: Sequence[str], keys: Sequence[str] = ("video_id",),
+                  wanted: str | None = None, lm: g.Points | None = None) -> DataFrame:
+    """``working_side`` for several variants in one pass over the frames, a row
+    per series and ``variant``; ``wanted`` names an array column with the
+    variants of the row's series, without it every series gets all."""
     keys = list(keys)
-    shape = {
-        "pulldown": ((LS, LE, LW), (LS, LE, LW), (LE, "y")),
-        "row": ((LS, LE, LW), (LS, LE, LW), (LW, "x")),
-        "rear_leg": ((LS, LH, LK), (LS, LH, LK), None),
-        "press": ((LS, LE, LW), None, None),
-        "y_raise": ((LH, LS, LE), (LH, LS, LE), None),
-    }[variant]
-    rise = ((LH, LS, LE, LW), 0.35) if variant == "y_raise" else ((LS, LW), 0.45)
-    s = side_samples(frames, keys, *shape, rise_chain=rise[0], rise_conf=rise[1])
-    flexion = F.lit(180.0) - F.col("a") if variant in ("pulldown", "row") else F.col("a")
-    s = s.withColumn("f", flexion)
-    low_p = 0.10 if variant == "y_raise" else 0.05
-    conf_of = "raw_c" if variant == "press" else "c"
-    q = quantiles(s, [*keys, "n", "side"], {
-        "conf": (conf_of, 0.25), "hi": ("f", 0.95), "lo": ("f", low_p), "ehi": ("e", 0.95), "elo": ("e", 0.05), "above": ("rise", 0.80),
-    })
-    counts = s.groupBy(*keys, "n", "side").agg(F.count("f").alias("_valid"))
-    q = counts.join(q, [*keys, "n", "side"], "left")
+    lm = F.col("landmarks") if lm is None else lm
+    columns: list[Column] = []
+    samples: list[Column] = []
+    for variant in variants:
+        rise = ((LH, LS, LE, LW), 0.35) if variant == "y_raise" else ((LS, LW), 0.45)
+        for left in (True, False):
+            s = _side_sample(lm, left, *SIDE_SHAPES[variant], 0.12, *rise)
+            f = F.lit(180.0) - s["a"] if variant in ("pulldown", "row") else s["a"]
+            values = {"c": s["raw_c" if variant == "press" else "c"], "f": f, "e": s["e"], "rise": s["rise"]}
+            names = {name: f"_s{len(samples)}_{name}" for name in values}
+            columns += [values[name].alias(column) for name, column in names.items()]
+            samples.append(F.struct(
+                F.lit(variant).alias("variant"), s["side"].alias("side"), *[F.col(column).alias(name) for name, column in names.items()]))
+    asked = [wanted] if wanted else []
+    s = frames.select(*keys, "n", *asked, *columns).select(*keys, "n", *asked, F.explode(F.array(*samples)).alias("s"))
+    if wanted:
+        s = s.where(F.array_contains(wanted, F.col("s.variant")))
+    s = s.select(*keys, "n", "s.*")
+    low_of = lambda v: (0.10, "lo10") if v == "y_raise" else (0.05, "lo")
+    lows = {name: ("f", p) for p, name in sorted({low_of(v) for v in variants})}
+    by = [*keys, "n", "variant", "side"]
+    q = quantiles(s, by, {"conf": ("c", 0.25), "hi": ("f", 0.95), **lows, "ehi": ("e", 0.95), "elo": ("e", 0.05), "above": ("rise", 0.80)})
+    counts = s.groupBy(*by).agg(F.count("f").alias("_valid"))
+    q = counts.join(q, by, "left")
     z = lambda c, fb=0.0: F.coalesce(F.col(c), F.lit(fb))
-    conf, rng, erng = z("conf"), z("hi") - z("lo"), z("ehi") - z("elo")
+
+    def of_variant(make) -> Column:
+        """The column that ``make`` gives for the row's variant."""
+        out = make(variants[-1])
+        for v in variants[:-1]:
+            out = F.when(F.col("variant") == v, make(v)).otherwise(out)
+        return out
+
+    conf, erng = z("conf"), z("ehi") - z("elo")
     ratio = F.col("_valid") / F.greatest(F.lit(1), F.col("n"))
-    rear = F.greatest(F.lit(0.0), z("hi") - z("lo", 180.0))
-    score = {
-        "pulldown": conf * (rng + erng * 120.0),
-        "row": conf * (rng + erng * 160.0),
-        "rear_leg": conf * (rear + F.greatest(F.lit(0.0), z("hi") - 118.0) * 0.25),
-        "press": conf,
-        "y_raise": F.greatest(F.lit(0.0), rng) * clamp(ratio / 0.55) * F.greatest(F.lit(0.2), conf)
-        + F.greatest(F.lit(0.0), z("hi") - 80.0) * 0.15 + F.greatest(F.lit(0.0), z("above")) * 20.0,
-    }[variant]
-    score = score if variant == "press" else rnd(score, 3)
+
+    def spread(v: str) -> Column:
+        low = low_of(v)[1]
+        return F.greatest(F.lit(0.0), z("hi") - z(low, 180.0)) if v == "rear_leg" else z("hi") - z(low)
+
+    def score(v: str) -> Column:
+        rng = spread(v)
+        if v == "press":
+            return conf
+        return rnd({
+            "pulldown": conf * (rng + erng * 120.0),
+            "row": conf * (rng + erng * 160.0),
+            "rear_leg": conf * (rng + F.greatest(F.lit(0.0), z("hi") - 118.0) * 0.25),
+            "y_raise": F.greatest(F.lit(0.0), rng) * clamp(ratio / 0.55) * F.greatest(F.lit(0.2), conf)
+            + F.greatest(F.lit(0.0), z("hi") - 80.0) * 0.15 + F.greatest(F.lit(0.0), z("above")) * 20.0,
+        }[v], 3)
+
     sides = q.select(
-        *keys, "n", "side", score.alias("score"), rnd(conf, 3).alias("confidence"),
-        rnd(rear if variant == "rear_leg" else rng, 3).alias("range"), rnd(z("hi"), 3).alias("peak"), rnd(erng, 3).alias("extra_range"),
+        *by, of_variant(score).alias("score"), rnd(conf, 3).alias("confidence"),
+        of_variant(lambda v: rnd(spread(v), 3)).alias("range"), rnd(z("hi"), 3).alias("peak"), rnd(erng, 3).alias("extra_range"),
         rnd(ratio, 3).alias("valid_ratio"), rnd(z("above"), 3).alias("wrist_above"),
     )
     best = F.min(F.struct((-F.col("score")).alias("o"), "side", "confidence", "range", "peak", "extra_range", "valid_ratio", "wrist_above"))
-    out = sides.groupBy(*keys, "n").agg(best.alias("b"), F.min("score").alias("_other"))
-    chosen = out.select(*keys, "n", "b.side", (-F.col("b.o")).alias("score"), "b.confidence", "b.range", "b.peak", "b.extra_range",
+    out = sides.groupBy(*keys, "n", "variant").agg(best.alias("b"), F.min("score").alias("_other"))
+    chosen = out.select(*keys, "n", "variant", "b.side", (-F.col("b.o")).alias("score"), "b.confidence", "b.range", "b.peak", "b.extra_range",
                         "b.valid_ratio", "b.wrist_above", "_other")
-    if variant == "y_raise":
-        lead = F.greatest(F.lit(0.0), F.col("score") - F.col("_other")) / F.greatest(F.lit(30.0), F.col("score"))
-        chosen = chosen.withColumn("confidence", rnd(clamp(F.col("confidence") * 0.45 + F.col("valid_ratio") * 0.35 + lead * 0.20), 3))
-    return chosen.drop("_other")
+    lead = F.greatest(F.lit(0.0), F.col("score") - F.col("_other")) / F.greatest(F.lit(30.0), F.col("score"))
+    led = rnd(clamp(F.col("confidence") * 0.45 + F.col("valid_ratio") * 0.35 + lead * 0.20), 3)
+    return chosen.withColumn("confidence", of_variant(lambda v: led if v == "y_raise" else F.col("confidence"))).drop("_other")
 
 
 def axis_range(frames: DataFrame, slots: dict[str, tuple[int, str]], keys: Sequence[str] = ("video_id",),

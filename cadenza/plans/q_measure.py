@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.core.session import materialise
 from cadenza.functions import dims
 from cadenza.functions.dims import LOWER_BODY, MATCH_FAMILIES, UPPER_BODY
 from cadenza.functions.landmarks import (
@@ -14,7 +13,7 @@ from cadenza.operators import measure, signals
 from cadenza.plans.q_pose import q_metric, q_signals
 from cadenza.plans.q_series import K, SIG, SIGG, r6
 from cadenza.plans.registry import query
-from cadenza.plans.views import FPS, Q_LEAN, Q_TORSO, frames, frames_sql, q_angle, q_dist, q_min, sig
+from cadenza.plans.views import FPS, Q_LEAN, Q_TORSO, frames, frames_sql, q_angle, q_dist, q_min, sig, table
 
 FR = "WITH " + frames_sql()
 V = ["video_id"]
@@ -212,9 +211,10 @@ def q_action_signals() -> str:
 def x3_actions(spark, d):
     """Every video under every action, the view changing from action to action."""
     acts = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(name).alias("action_type"), F.lit(f).alias("family")) for k, (name, (f, _)) in enumerate(dims.ACTIONS.items())])
-    rows = frames(spark, d).select("*", F.explode(acts).alias("a")).select("video_id", "pose_idx", "n", "landmarks", "a.*")
     view = F.element_at(F.array(*[F.lit(v) for v in VIEWS]), ((F.col("video_id") + F.col("no")) % 7 + 1).cast("int"))
-    out = signals.action_signals(materialise(rows.withColumn("camera_angle", view)), ["video_id", "action_type"])
+    videos = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("video_id")).distinct()
+    actions = videos.select("video_id", F.explode(acts).alias("a")).select("video_id", "a.*").withColumn("camera_angle", view)
+    out = signals.action_signals(frames(spark, d), actions, V)
     return out.select("video_id", "action_type", "pose_idx", "source", r6("signal"))
 
 
